@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import language_id, substring_dedup, token_count
+from leafline.llm import decontaminate, language_id, lm_score, substring_dedup, token_count
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "held_out", "text"), model)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,9 +36,16 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = read(spark, sf_dir, "labels").where("quality = 1")
+    return lm_score.score(read(spark, sf_dir, "documents"), good)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
+    "op8_decontamination": op8_decontamination,
     "op9_token_count": op9_token_count,
+    "op10_lm_score": op10_lm_score,
 }
 ORACLE_SQL: dict[str, str] = {}
