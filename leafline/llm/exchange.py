@@ -38,7 +38,7 @@ class Layout:
         total = df.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         keys = max(1, total // bytes_per_key)
-        return Layout(max(2 * parts, math.ceil(total / chunk_bytes)), max(2 * parts, math.ceil(keys / 2_000_000)), min(64, max(24, math.ceil(math.log2(keys)) + 13)))
+        return Layout(max(parts, math.ceil(total / chunk_bytes)), max(parts, math.ceil(keys / 2_000_000)), min(64, max(24, math.ceil(math.log2(keys)) + 13)))
 
 
 def chunked(df: DataFrame, columns: Iterable[str], text: str, chunks: int) -> DataFrame:
