@@ -35,9 +35,12 @@ MOST_MODEL_BYTES = 64 << 20
 
 
 class HeapBpe:
-    """Counts tokens; ``most_kept`` bounds the unit counts that are remembered."""
+    """Counts tokens; at most ``2 * most_kept`` unit counts are remembered.
 
-    def __init__(self, model: bytes, most_kept: int = 500_000):
+    They are in two generations: when the younger is full, the older goes, and units
+    that are met again move on to the new younger one."""
+
+    def __init__(self, model: bytes, most_kept: int = 700_000):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -57,6 +60,7 @@ class HeapBpe:
         self.units = re.compile(rf"{SPACE}*{unit}+|{SPACE}+|[{alone}]" if alone else rf"{SPACE}*{unit}+|{SPACE}+") if splits else re.compile(r"(?s).+")
         self.most_kept = most_kept
         self.kept: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def text(self, text: str) -> int:
         """Tokens of one text."""
@@ -66,9 +70,12 @@ class HeapBpe:
         for unit, times in Counter(self.units.findall(self.prefix + text.replace(" ", SPACE))).items():
             n = kept.get(unit)
             if n is None:
-                n = self.unit(unit)
+                n = self.older.get(unit)
+                if n is None:
+                    n = self.unit(unit)
                 if len(kept) >= self.most_kept:
-                    kept.clear()
+                    self.older, self.kept = kept, {}
+                    kept = self.kept
                 if len(unit) <= 64:
                     kept[unit] = n
             total += n * times
