@@ -1,12 +1,71 @@
-"""The corpus pipeline: stages that each apply one operator to what the last one kept."""
+"""The corpus pipeline: stages that each apply one operator to what the last one kept.
+
+Stages take and return the columns of ``documents``, but for the last, whose rows are
+the training schedule: a row for each time that a document is used.  SQL cannot
+express the language model, the alignment or the suffix order, so there is no
+``ORACLE_SQL``; the tests hold the stages against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafline.llm import decontaminate, jaccard_join, language_id, mixing, scratch, suffix_dedup
+
+#: A language that is less sure than this is no language; guessing one of four has 0.25.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters or without a likely language.
+
+    Null and empty texts go.  The model learns from the stage's labelled documents."""
+    model = language_id.fit(docs.where(~language_id.held_out()).select("text", "lang"))
+    found = language_id.predict(docs, model, keep=True)
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group of near copies.
+
+    Documents without words are no copies and stay, as do rows with a null id; rows
+    that repeat an id stay or go together."""
+    groups = scratch.stored(jaccard_join.near_duplicates(docs, "doc_id", "text"), "near-copies")
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts strings of 200 bytes that occur twice, to whole characters; texts of which nothing is left go.
+
+    ``n_chars`` follows the text; texts that were empty before stay."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = suffix_dedup.remove_repeated(docs, "doc_id", "text", carry=rest, whole_characters=True)
+    cut = cut.where("n_removed = 0 OR octet_length(kept) > 0").withColumn("text", F.col("kept").cast("string"))
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a test item or an edited copy of one."""
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = scratch.stored(found.select("doc_id").distinct(), "contaminated")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The schedule that mixes the sources at nine tenths of the greatest entropy."""
+    light = scratch.stored(mixing.count_words(docs.select("doc_id", "source", "text"), "text").select("doc_id", "source", "tokens"), "tokens")
+    return mixing.realise(docs, mixing.plan(light))
 
-from leafline.llm import scratch
 
-STAGES: list = []
+STAGES = [
+    ("language_id", known_language),
+    ("ngram_jaccard_join", one_of_near_copies),
+    ("suffix_array_dedup", without_repeats),
+    ("benchmark_decontamination", without_benchmark),
+    ("source_mixing", mixed_sources),
+]
 ORACLE_SQL = None
 
 
@@ -16,5 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = scratch.stored(docs, f"stage-{k}")
+            docs = scratch.stored(docs, name)
     return docs

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 MESSAGE = "chunk long, tag int, bucket int, body binary"
@@ -152,6 +153,6 @@ def sent_counts(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.searchsorted(keys, key_ranges(bits, buckets)), [len(keys)])))
 
 
-def with_answers(docs: DataFrame, replies: DataFrame, each: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def with_answers(docs: DataFrame, replies: DataFrame, each: Callable[[pa.Table, pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
     """``each`` gets a chunk's documents and the answers to what it sent."""
     return docs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(each, schema)

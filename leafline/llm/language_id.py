@@ -119,20 +119,22 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int
     return Model(languages, *tables)
 
 
-def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` without ``text``, with ``lang_pred`` and ``score``; no row moves."""
+def predict(df: DataFrame, model: Model, text: str = "text", keep: bool = False) -> DataFrame:
+    """``df`` with ``lang_pred`` and ``score``, and without ``text`` unless ``keep``; no row moves."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = sent.value
         for batch in batches:
             got = [use.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 2], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=names)
 
     rest = [c for c in df.columns if c != text]
+    rest = [*rest, text] if keep else rest
     schema = StructType([df.schema[c] for c in rest]).add("lang_pred", StringType()).add("score", DoubleType())
     names = schema.names
-    return df.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text}`").alias("text ")).mapInArrow(run, schema)
+    given = [F.col(f"`{c}`") for c in rest] + ([] if keep else [F.col(f"`{text}`").alias("text ")])
+    return df.select(*given).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

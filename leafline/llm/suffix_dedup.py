@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leafline.llm import exchange, kernels
 from leafline.llm.exchange import U64, Layout
@@ -173,6 +174,15 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum())) if len(sizes) else np.zeros(0, np.int64)
 
 
+def whole(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals without the characters that they cut."""
+    part = np.append((data & 0xC0) == 0x80, False)
+    for _ in range(3):
+        lo = lo + (part[lo] & (lo < hi))
+        hi = hi - (part[hi] & (hi > lo))
+    return lo[lo < hi], hi[lo < hi]
+
+
 def _bucket(length: int):
     def run(table: pa.Table) -> pa.Table:
         got = [unpack_contexts(b) for b in table["body"].to_pylist()]
@@ -202,15 +212,19 @@ def _bucket(length: int):
     return run
 
 
-def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, seed: int = 48, bucket_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, seed: int = 48, bucket_bytes: int = 8 << 20, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """One row per document: ``key``, ``n_bytes``, ``n_removed``, ``removed`` (maximal byte
-    intervals, end exclusive) and ``kept`` (the remaining bytes, joined)."""
+    intervals, end exclusive) and ``kept`` (the remaining bytes, joined).
+
+    ``carry``: other columns that come along.  ``whole_characters``: intervals shrink to
+    whole UTF-8 characters, so that what is kept is a text again."""
     if not 8 <= seed < length:
         raise ValueError("seed is from 8 to length - 1")
     spark = df.sparkSession
     layout = Layout.of(df, text, bytes_per_key=(length - seed) // 2)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(layout.chunks * (4 << 20) / bucket_bytes))
-    docs = exchange.chunked(df.select(F.col(key).alias("key"), F.col(text).alias("text")), ["key"], "text", layout.chunks)
+    carried = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)), F.lit(None).cast("int").alias("c"))
+    docs = df.select(F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(layout.chunks)).cast("long").alias("chunk"), F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), carried.alias("carried"))
 
     def ask_seeds(table: pa.Table) -> pa.Table:
         chunk = _Chunk(table, length, seed, layout)
@@ -258,12 +272,17 @@ def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", leng
         for a, b in zip(chunk.off[:-1].tolist(), chunk.off[1:].tolist(), strict=True):
             mask = gone[a:b]
             lo, hi = kernels.runs(mask)
+            if whole_characters and len(lo):
+                lo, hi = whole(chunk.data[a:b], lo, hi)
+                mask = np.zeros(b - a, dtype=bool)
+                mask[ranges(lo, hi - lo)] = True
             size.append(b - a)
             removed.append(int((hi - lo).sum()))
             spans.append([{"start": int(x), "end": int(y)} for x, y in zip(lo, hi, strict=True)])
             kept.append(chunk.data[a:b][~mask].tobytes() if len(lo) else chunk.data[a:b].tobytes())
-        return pa.table({"key": table["key"], "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"key": table["key"], "carried": table["carried"], "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary())})
 
-    kind = docs.schema["key"].dataType.simpleString()
-    out = exchange.with_answers(docs, found.unionByName(sorted_), finish, f"key {kind}, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
-    return out.withColumnRenamed("key", key)
+    made = "n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary"
+    schema = StructType([docs.schema["key"], docs.schema["carried"], *StructType.fromDDL(made)])
+    out = exchange.with_answers(docs, found.unionByName(sorted_), finish, schema)
+    return out.select(F.col("key").alias(key), *(F.col(f"carried.c{k}").alias(c) for k, c in enumerate(carry)), "n_bytes", "n_removed", "removed", "kept")
