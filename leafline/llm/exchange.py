@@ -34,12 +34,12 @@ class Layout:
     bits: int
 
     @staticmethod
-    def of(df: DataFrame, text: str, chunk_bytes: int = 4 << 20, bytes_per_key: int = 6) -> "Layout":
+    def of(df: DataFrame, text: str, chunk_bytes: int = 4 << 20, bytes_per_key: int = 6, more_bits: int = 13) -> "Layout":
         """From the total bytes of ``text``: one pass that reads only that column."""
         total = df.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         keys = max(1, total // bytes_per_key)
-        return Layout(max(parts, math.ceil(total / chunk_bytes)), max(parts, math.ceil(keys / 2_000_000)), min(64, max(24, math.ceil(math.log2(keys)) + 13)))
+        return Layout(max(parts, math.ceil(total / chunk_bytes)), max(parts, math.ceil(keys / 2_000_000)), min(64, max(24, math.ceil(math.log2(keys)) + more_bits)))
 
 
 def chunked(df: DataFrame, columns: Iterable[str], text: str, chunks: int) -> DataFrame:
@@ -88,11 +88,12 @@ def key_ranges(bits: int, buckets: int) -> np.ndarray:
     return have
 
 
-def messages(chunk: int, tag: int, keys: np.ndarray, flags: np.ndarray, bits: int, buckets: int, extra: np.ndarray | None = None) -> pa.Table:
-    """The rows of one chunk: a body for each bucket that has keys."""
+def messages(chunk: int, tag: int, keys: np.ndarray, flags: np.ndarray, bits: int, buckets: int, extra: np.ndarray | Callable[[int, int], bytes] | None = None) -> pa.Table:
+    """The rows of one chunk: a body for each bucket that has keys, with what ``extra`` has for them."""
     cuts = np.concatenate(([0], np.searchsorted(keys, key_ranges(bits, buckets)), [len(keys)]))
     at = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-    bodies = [pack(keys[cuts[b] : cuts[b + 1]], flags[cuts[b] : cuts[b + 1]], b"" if extra is None else extra[cuts[b] : cuts[b + 1]].tobytes()) for b in at]
+    more = extra if callable(extra) else (lambda a, b: b"" if extra is None else extra[a:b].tobytes())
+    bodies = [pack(keys[cuts[b] : cuts[b + 1]], flags[cuts[b] : cuts[b + 1]], more(int(cuts[b]), int(cuts[b + 1]))) for b in at]
     return pa.table([pa.array([chunk] * len(at), pa.int64()), pa.array([tag] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(bodies, pa.binary())], schema=MESSAGE_ARROW)
 
 

@@ -8,7 +8,9 @@ one entry for the rest.  A document is scored by models from which its own count
 are taken out, so target documents gain nothing from having been counted.
 
 Counts of all words and of all bigrams are summed over the corpus by packed key
-ranges (see ``exchange``); no table of them is collected or broadcast.
+ranges (see ``exchange``); no table of them is collected or broadcast.  A key is the
+leading bits of a hash, 24 more than tell as many keys apart as there are words: one
+in some ten million shares its key.
 
 Words are runs of letters and digits in lower case.  Defined results: a null or empty
 text, or one without words, has 0 tokens, losses 0 and a null score; without target
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafline.llm import exchange, kernels, scratch
+from leafline.llm import exchange, kernels
 from leafline.llm.decontaminate import hashed_words
 from leafline.llm.exchange import U64, Layout
 
@@ -31,38 +33,59 @@ TARGET, WORD, PAIR, TOTAL = 0, 1, 2, 3
 OTHER = 0x5851F42D4C957F2D
 
 
+def pack_counts(*columns: np.ndarray) -> bytes:
+    """Counts as one byte each; 255 stands for the next of the eight-byte counts that follow."""
+    flat = np.concatenate(columns)
+    return np.minimum(flat, 255).astype(np.uint8).tobytes() + flat[flat >= 255].astype("<u8").tobytes()
+
+
+def unpack_counts(body: bytes, n: int, columns: int = 2) -> np.ndarray:
+    """The counts that ``pack_counts`` wrote, as ``columns`` rows of ``n``."""
+    flat = np.frombuffer(body, np.uint8, n * columns).astype(np.int64)
+    flat[flat == 255] = np.frombuffer(body, "<u8", -1, n * columns)
+    return flat.reshape(columns, n)
+
+
 class _Counts:
     """Distinct keys of a chunk with their counts in target documents and in all."""
 
-    def __init__(self, keys: np.ndarray, target: np.ndarray):
-        self.keys, self.of = np.unique(keys, return_inverse=True)
+    def __init__(self, keys: np.ndarray, target: np.ndarray, layout: Layout):
+        self.layout = layout
+        self.keys, self.of = np.unique(keys >> U64(64 - layout.bits), return_inverse=True)
         self.every = np.bincount(self.of, minlength=len(self.keys))
         self.target = np.bincount(self.of[target], minlength=len(self.keys))
 
-    def messages(self, chunk: int, tag: int, layout: Layout) -> pa.Table:
-        extra = np.stack([self.target, self.every], axis=1).astype("<u4")
-        return exchange.messages(chunk, tag, self.keys, np.zeros(len(self.keys), bool), 64, layout.buckets, extra)
+    def messages(self, chunk: int, tag: int) -> pa.Table:
+        extra = lambda a, b: pack_counts(self.target[a:b], self.every[a:b])
+        return exchange.messages(chunk, tag, self.keys, np.zeros(len(self.keys), bool), self.layout.bits, self.layout.buckets, extra)
 
-    def sums(self, replies: pa.Table, tag: int, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
+    def sums(self, replies: pa.Table, tag: int) -> tuple[np.ndarray, np.ndarray]:
         """Sums over the corpus for each distinct key."""
         at = {b: body for t, b, body in zip(replies["tag"].to_pylist(), replies["bucket"].to_pylist(), replies["body"].to_pylist(), strict=True) if t == tag}
-        counts = exchange.sent_counts(self.keys, 64, layout.buckets)
-        got = [np.frombuffer(at[b], "<u8").reshape(2, -1) for b in np.flatnonzero(counts).tolist()]
-        both = np.concatenate(got, axis=1) if got else np.zeros((2, 0), "<u8")
+        counts = exchange.sent_counts(self.keys, self.layout.bits, self.layout.buckets)
+        got = [unpack_counts(at[b], int(counts[b])) for b in np.flatnonzero(counts).tolist()]
+        both = np.concatenate(got, axis=1) if got else np.zeros((2, 0), np.int64)
         return both[0].astype(np.float64), both[1].astype(np.float64)
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    """One bucket: sums of the counts of each key, for every chunk that sent it."""
-    rows = [exchange.unpack(b) for b in table["body"].to_pylist()]
-    keys, of = np.unique(np.concatenate([k for k, _, _ in rows]), return_inverse=True)
-    counts = np.concatenate([np.frombuffer(x, "<u4").reshape(-1, 2) for _, _, x in rows])
-    target, every = (np.bincount(of, weights=counts[:, k], minlength=len(keys)) for k in (0, 1))
-    cut = np.cumsum([0, *(len(k) for k, _, _ in rows)])
-    body = [np.stack([target[of[a:b]], every[of[a:b]]]).astype("<u8").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    bucket, tag = table["bucket"][0].as_py(), table["tag"][0].as_py()
-    total = np.array([[(every >= x).sum(), target[every >= x].sum(), every[every >= x].sum()] for x in range(1, 9)], dtype="<f8").tobytes()
-    return pa.table([pa.array([*table["chunk"].to_pylist(), -1], pa.int64()), pa.array([*table["tag"].to_pylist(), TOTAL], pa.int32()), pa.array([bucket] * (len(body) + 1), pa.int32()), pa.array([*body, total if tag == WORD else b""], pa.binary())], schema=exchange.MESSAGE_ARROW)
+def _sum(chunks: int):
+    """One bucket: sums of each key's counts for every chunk that sent it, and for all
+    chunks the bucket's part of the totals by vocabulary bound."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = [exchange.unpack(b) for b in table["body"].to_pylist()]
+        keys, of = np.unique(np.concatenate([k for k, _, _ in rows]), return_inverse=True)
+        counts = np.concatenate([unpack_counts(x, len(k)) for k, _, x in rows], axis=1)
+        target, every = (np.bincount(of, weights=counts[k], minlength=len(keys)).astype(np.int64) for k in (0, 1))
+        cut = np.cumsum([0, *(len(k) for k, _, _ in rows)])
+        body = [pack_counts(target[of[a:b]], every[of[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        to, tag = table["chunk"].to_pylist(), table["tag"].to_pylist()
+        if tag[0] == WORD:
+            total = np.array([[(every >= x).sum(), target[every >= x].sum(), every[every >= x].sum()] for x in range(1, 9)], dtype="<f8").tobytes()
+            to, tag, body = [*to, *range(chunks)], [*tag, *([TOTAL] * chunks)], [*body, *([total] * chunks)]
+        return pa.table([pa.array(to, pa.int64()), pa.array(tag, pa.int32()), pa.array([table["bucket"][0].as_py()] * len(to), pa.int32()), pa.array(body, pa.binary())], schema=exchange.MESSAGE_ARROW)
+
+    return run
 
 
 class _Chunk:
@@ -78,15 +101,15 @@ class _Chunk:
         wanted = [np.frombuffer(b, "<i8") for t, b in zip(replies["tag"].to_pylist(), replies["body"].to_pylist(), strict=True) if t == TARGET]
         ids = table["key"].cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
         self.is_target = np.isin(ids, np.concatenate(wanted)) if wanted else np.zeros(len(ids), bool)
-        self.words = _Counts(self.raw, self.is_target[self.doc])
+        self.words = _Counts(self.raw, self.is_target[self.doc], layout)
 
     def pairs(self, replies: pa.Table, least: int) -> None:
         """The bigrams, of vocabulary words and the entry for the rest."""
-        self.sum_target, self.sum_every = self.words.sums(replies, WORD, self.layout)
+        self.sum_target, self.sum_every = self.words.sums(replies, WORD)
         self.known = (self.sum_every >= least)[self.words.of]
         word = np.where(self.known, self.raw, U64(OTHER))
         self.second = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
-        self.pair = _Counts(kernels.mix(word[self.second - 1] * U64(kernels.WORD_BASE) + word[self.second]), self.is_target[self.doc[self.second]])
+        self.pair = _Counts(kernels.mix(word[self.second - 1] * U64(kernels.WORD_BASE) + word[self.second]), self.is_target[self.doc[self.second]], self.layout)
         self.word = word
 
 
@@ -103,7 +126,7 @@ def score(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     ``targets``: a table whose column ``key`` holds the ids of the target documents."""
     if not 1 <= least <= 8:
         raise ValueError("least is from 1 to 8")
-    layout = Layout.of(df, text)
+    layout = Layout.of(df, text, more_bits=24)
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(layout.chunks)).cast("long")
     docs = df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     docs = docs.select(place(F.coalesce(F.col("key").cast("long"), F.xxhash64("text"))).alias("chunk"), "key", "text")
@@ -113,24 +136,19 @@ def score(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     def ask_words(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
             return exchange.MESSAGE_ARROW.empty_table()
-        return _Chunk(table, replies, layout).words.messages(table["chunk"][0].as_py(), WORD, layout)
+        return _Chunk(table, replies, layout).words.messages(table["chunk"][0].as_py(), WORD)
 
     def ask_pairs(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
             return exchange.MESSAGE_ARROW.empty_table()
         chunk = _Chunk(table, replies, layout)
         chunk.pairs(replies, least)
-        return chunk.pair.messages(table["chunk"][0].as_py(), PAIR, layout)
+        return chunk.pair.messages(table["chunk"][0].as_py(), PAIR)
 
     asked = exchange.with_answers(docs, told, ask_words, exchange.MESSAGE)
-    word_sums = scratch.stored(asked.groupBy("bucket").applyInArrow(_sum, exchange.MESSAGE), "lm-words")
-    # three numbers a bucket: vocabulary, and its words in target documents and in all
-    n_buckets = word_sums.where(F.col("tag") == TOTAL).select("body").toArrow()["body"].to_pylist()
-    size, in_target, in_every = np.sum([np.frombuffer(b, "<f8").reshape(8, 3) for b in n_buckets], axis=0)[least - 1] if n_buckets else (0, 0, 0)
-    all_target, all_every = np.sum([np.frombuffer(b, "<f8").reshape(8, 3) for b in n_buckets], axis=0)[0][1:] if n_buckets else (0, 0)
-    first = told.unionByName(word_sums.where(F.col("tag") == WORD))
-    pair_sums = exchange.with_answers(docs, first, ask_pairs, exchange.MESSAGE).groupBy("bucket").applyInArrow(_sum, exchange.MESSAGE).where(F.col("tag") == PAIR)
-    entries = size + 1
+    word_sums = asked.groupBy("bucket").applyInArrow(_sum(layout.chunks), exchange.MESSAGE)
+    first = told.unionByName(word_sums)
+    pair_sums = exchange.with_answers(docs, first, ask_pairs, exchange.MESSAGE).groupBy("bucket").applyInArrow(_sum(layout.chunks), exchange.MESSAGE)
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         names = ["key", "n_tokens", "loss_target", "loss_background"]
@@ -138,7 +156,11 @@ def score(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
             return pa.table([table["key"], pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())], names=names)
         chunk = _Chunk(table, replies, layout)
         chunk.pairs(replies, least)
-        pair_target, pair_every = chunk.pair.sums(replies, PAIR, layout)
+        pair_target, pair_every = chunk.pair.sums(replies, PAIR)
+        parts = [np.frombuffer(b, "<f8").reshape(8, 3) for t, b in zip(replies["tag"].to_pylist(), replies["body"].to_pylist(), strict=True) if t == TOTAL]
+        totals = np.sum([*parts, np.zeros((8, 3))], axis=0)
+        (size, in_target, in_every), (_, all_target, all_every) = totals[least - 1], totals[0]
+        entries = size + 1
         tokens = np.diff(chunk.off)
         # own counts, of the vocabulary entries and of the bigrams
         entry = np.where(chunk.known, chunk.words.of, len(chunk.words.keys))
