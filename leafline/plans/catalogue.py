@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from leafline.plans import boxes, relational, sequences, texts
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {}
+ORACLE_SQL = {}
+for module in (relational, sequences, boxes, texts):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
