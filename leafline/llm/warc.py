@@ -24,16 +24,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafline.llm import scratch
+
 END = b"\r\n\r\n"
 DATE = b"2024-01-01T00:00:00Z"
-PART = "record string, type string, url string, page_id long, origin string, number int, total long, digest string, refers long, block binary"
-PART_ARROW = pa.schema([("record", pa.string()), ("type", pa.string()), ("url", pa.string()), ("page_id", pa.int64()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("digest", pa.string()), ("refers", pa.int64()), ("block", pa.binary())])
+PART = "record string, type string, url string, page_id long, origin string, number int, total long, digest string, refers long, block binary, complete boolean, payload_bytes long, payload_digest string"
+PART_ARROW = pa.schema([("record", pa.string()), ("type", pa.string()), ("url", pa.string()), ("page_id", pa.int64()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("digest", pa.string()), ("refers", pa.int64()), ("block", pa.binary()), ("complete", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
 FIELDS = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
@@ -113,7 +116,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
 
     # a record is bytes, some of them half characters; the text writer writes them as they are
     lines = told.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", END.decode()).option("maxRecordsPerFile", file_records).text(path)
+    lines.write.option("lineSep", END.decode()).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[bytes, str], bytes]]:
@@ -133,57 +136,80 @@ def parse(content: bytes) -> Iterator[tuple[dict[bytes, str], bytes]]:
         at = head + 8 + n
 
 
+def _payload(block: bytes) -> bytes | None:
+    head = block.find(END)
+    if head < 0:
+        return None
+    chunked = re.search(rb"(?im)^transfer-encoding:[ \t]*chunked[ \t]*\r?$", block[:head])
+    return unchunk(block[head + 4 :]) if chunked else block[head + 4 :]
+
+
+def decoded(kind: str, stated: str | None, block: bytes) -> tuple[bool, int | None, str | None]:
+    """Whether a whole record is good, and its payload's length and digest; a revisit only has a digest."""
+    if kind == "revisit":
+        return True, None, (stated or "")[5:] or None
+    payload = _payload(block)
+    if payload is None:
+        return False, None, None
+    digest = hashlib.sha1(payload).hexdigest()
+    good = stated in (None, f"sha1:{digest}")
+    return good, len(payload) if good else None, digest if good else None
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of each file: whole ones decoded, segments with their blocks."""
     for batch in batches:
         for content in batch.column(0):
             rows = []
-            for fields, block in parse(content.as_py()):
+            for fields, block in parse(unzipped(content.as_py())):
                 bare = lambda k, f=fields: f[k].strip("<>") if k in f else None
-                number = int(fields.get(b"warc-segment-number", 0)) or None
-                rows.append((bare(b"warc-record-id"), fields[b"warc-type"], fields.get(b"warc-target-uri"), int(fields[b"warc-page-id"]) if b"warc-page-id" in fields else None, bare(b"warc-segment-origin-id"), number, int(fields[b"warc-segment-total-length"]) if b"warc-segment-total-length" in fields else None, fields.get(b"warc-payload-digest"), int(fields[b"warc-refers-to-page-id"]) if b"warc-refers-to-page-id" in fields else None, block))
+                number = lambda k, f=fields: int(f[k]) if k in f else None
+                kind, segment, digest = fields[b"warc-type"], number(b"warc-segment-number"), fields.get(b"warc-payload-digest")
+                made = decoded(kind, digest, block) if segment is None else (None, None, None)
+                rows.append((bare(b"warc-record-id"), kind, fields.get(b"warc-target-uri"), number(b"warc-page-id"), bare(b"warc-segment-origin-id"), segment, number(b"warc-segment-total-length"), digest, number(b"warc-refers-to-page-id"), None if segment is None else block, *made))
             for k in range(0, max(1, len(rows)), 512):
-                yield pa.RecordBatch.from_pylist([dict(zip(PART_ARROW.names, r, strict=True)) for r in rows[k : k + 512]], schema=PART_ARROW)
+                columns = list(zip(*rows[k : k + 512], strict=True)) or [[]] * len(PART_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PART_ARROW, strict=True)], schema=PART_ARROW)
 
 
-WHOLE = pa.schema([("record", pa.string()), ("type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("refers", pa.int64()), ("segments", pa.int32()), ("complete", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
-WHOLE_DDL = "record string, type string, page_id long, url string, refers long, segments int, complete boolean, payload_bytes long, payload_digest string"
+def unzipped(content: bytes) -> bytes:
+    """A file's bytes; gzip files may have any number of members."""
+    out = []
+    while content[:2] == b"\x1f\x8b":
+        one = zlib.decompressobj(31)
+        out += [one.decompress(content), one.flush()]
+        content = one.unused_data
+    return b"".join([*out, content])
 
 
-def _payload(block: bytes) -> bytes | None:
-    head = block.find(END)
-    if head < 0:
-        return None
-    chunked = re.search(rb"(?im)^transfer-encoding:[ \t]*chunked[ \t]*\r?$", block[:head])
-    return unchunk(block[head + 4 :]) if chunked else block[head + 4 :]
+WHOLE = pa.schema([("type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("refers", pa.int64()), ("segments", pa.int32()), ("complete", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+WHOLE_DDL = "type string, page_id long, url string, refers long, segments int, complete boolean, payload_bytes long, payload_digest string"
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Joins the segments of each record and decodes its payload."""
     for batch in batches:
         rows = []
-        for r in batch.to_pylist():
-            parts = r["parts"]
+        for parts in batch.column(0).to_pylist():
             first = next((p for p in parts if p["type"] != "continuation"), parts[0])
-            numbers, total = [p["number"] or 1 for p in parts], parts[-1]["total"]
             block = b"".join(p["block"] for p in parts)
-            complete = numbers == list(range(1, len(parts) + 1)) and (first["number"] is None or total == len(block))
-            payload = _payload(block) if complete and first["type"] == "response" else None
-            digest = hashlib.sha1(payload).hexdigest() if payload is not None else None
-            good = complete and (first["type"] == "revisit" or (payload is not None and first["digest"] in (None, f"sha1:{digest}")))
-            rows.append((r["origin"], first["type"], first["page_id"], first["url"], first["refers"], len(parts), good, len(payload) if good and payload is not None else None, digest if good else (first["digest"] or "")[5:] or None if first["type"] == "revisit" else None))
-        yield pa.RecordBatch.from_pylist([dict(zip(WHOLE.names, r, strict=True)) for r in rows], schema=WHOLE)
+            joined = [p["number"] for p in parts] == list(range(1, len(parts) + 1)) and parts[-1]["total"] == len(block)
+            made = decoded(first["type"], first["digest"], block) if joined else (False, None, None)
+            rows.append((first["type"], first["page_id"], first["url"], first["refers"], len(parts), *made))
+        columns = list(zip(*rows, strict=True)) or [[]] * len(WHOLE)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, WHOLE, strict=True)], schema=WHOLE)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row a record, segments joined: ``page_id``, ``url``, ``record_type``, ``refers_to``, ``segments``,
     ``complete``, ``payload_bytes`` and ``payload_digest`` (lower-case hex SHA-1)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    parts = files.mapInArrow(_parts, PART).withColumn("origin", F.coalesce("origin", "record"))
+    # what follows needs the records more than once, but the files only once
+    parts = scratch.stored(files.mapInArrow(_parts, PART), "warc-records")
     columns = ["number", "type", "page_id", "url", "total", "digest", "refers", "block"]
-    one = F.array(F.struct(*columns)).alias("parts")
-    single = parts.where("number IS NULL").select("origin", one)
-    cut = parts.where("number IS NOT NULL").groupBy("origin").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("parts"))
-    whole = single.unionByName(cut).mapInArrow(_whole, WHOLE_DDL)
+    single = parts.where("number IS NULL").select("type", "page_id", "url", "refers", F.lit(1).alias("segments"), "complete", "payload_bytes", "payload_digest")
+    cut = parts.where("number IS NOT NULL").groupBy(F.coalesce("origin", "record").alias("origin")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("parts"))
+    whole = single.unionByName(cut.select("parts").mapInArrow(_whole, WHOLE_DDL))
     # a revisit has the digest; its length is that of the payload it refers to
     held = whole.where("type = 'response' AND complete").groupBy(F.col("page_id").alias("refers"), "payload_digest").agg(F.max("payload_bytes").alias("held_bytes"))
     rows = whole.where("type = 'revisit'").join(held, ["refers", "payload_digest"], "left")
