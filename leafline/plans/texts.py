@@ -68,23 +68,24 @@ def q45_dehyphenate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
-    """Three readings of each document, with words changed or dropped by a hash of reader, document and place."""
-    words = load(spark, sf, "documents").select("doc_id", F.split(scalars.squeeze(F.col("text")), " ").alias("words"))
+    """Three readings of each line, with words changed or dropped by a hash of reader, document, line and place."""
+    lines = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    words = lines.select("doc_id", "line", F.split(scalars.squeeze(F.col("t")), " ").alias("words"))
     read = words.withColumn("reader", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))))
-    mark = lambda i: F.substring(F.md5(F.concat_ws("|", "reader", "doc_id", i.cast("string"))), 1, 2)
+    mark = lambda i: F.substring(F.md5(F.concat_ws("|", "reader", "doc_id", "line", i.cast("string"))), 1, 2)
     noisy = F.transform("words", lambda w, i: F.when(mark(i) < "04", "").when(mark(i) < "08", F.concat(w, F.lit("x"))).otherwise(w))
-    return read.select("doc_id", "reader", F.array_join(F.filter(noisy, lambda w: w != ""), " ").alias("text"))
+    return read.select("doc_id", "line", "reader", F.array_join(F.filter(noisy, lambda w: w != ""), " ").alias("text"))
 
 
 @query()
 def q46_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    out = consensus.consensus(readings(spark, sf), ["doc_id"], "reader", "text")
-    return out.select("doc_id", "status", "open_words", F.md5("text").alias("digest"))
+    out = consensus.consensus(readings(spark, sf), ["doc_id", "line"], "reader", "text")
+    return out.select("doc_id", "line", "status", "open_words", F.md5("text").alias("digest"))
 
 
 @query()
 def q47_difference_types(spark: SparkSession, sf: str) -> DataFrame:
-    each = readings(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("reader", "text"))).alias("r"))
+    each = readings(spark, sf).groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("reader", "text"))).alias("r"))
     kinds = each.select(scalars.difference_type(F.transform("r", lambda x: x["text"])).alias("reason"))
     return kinds.groupBy("reason").count().withColumnRenamed("count", "n")
 
