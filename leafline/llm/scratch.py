@@ -15,8 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_llm_scratch"
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return path.rstrip("/")
 
 
