@@ -314,7 +314,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     label = components(found)
     told = ordered.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "prefix", "skip", F.coalesce("component", "id").alias("component"))
     more = links(met(told, _across(percent)), ordered, percent, fragments).select("a", "b")
-    label = components(found.unionByName(more))
+    # the components so far are stars, so only what round two adds has to settle
+    stars = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    label = components(stars.unionByName(more))
     named = classes.join(label.withColumnRenamed("node", "class"), "class", "left").select("sig", F.coalesce("component", "class").alias("component_id"))
     alone = sets.where("sig IS NULL").select("id", "n", F.col("id").alias("component_id"))
     joined = some.select("id", "n", "sig").join(named, "sig").select("id", "n", "component_id")
