@@ -6,11 +6,13 @@
 2. Among the classes' sets a second count gives each shingle its document frequency.
    The global order is by falling rarity; a set's prefix is the part that two similar
    sets cannot both miss.
-3. Sets that share a prefix shingle are compared.  Round one links each set to hubs:
-   for each prefix shingle the set with the least random priority, and the neighbour
-   in size.  Round two compares only sets which round one left in different
-   components, so a group of near copies costs a few comparisons a member and not one
-   for every pair, and still no link between components is missed.
+3. Sets that share a prefix shingle are compared, in rounds.  The first links
+   sets to hubs: for the rarest and commonest shingles of a prefix, the set with the
+   least random priority and the neighbour in size.  The next compare sets of
+   different components at a few distances in random orders.  The last compares all
+   that are in different components then.  So a group of near copies costs some
+   comparisons a member and not one for every pair, and no link that joins two
+   components is missed.
 4. A comparison is made in fragments: the order is cut into ``fragments`` ranges, the
    overlaps of each range are counted apart, and summed per pair.
 
@@ -39,6 +41,10 @@ from leafline.llm.components import components
 from leafline.llm.exchange import U64, Layout
 
 FILTER, RARITY = 0, 1
+#: How far apart in a random order sets are compared before all that are still apart are.
+DISTANCES = (1, 2, 3, 5, 8, 11, 15, 20, 27, 36, 48, 64, 85, 113, 150, 200)
+#: Rounds of such comparisons, each in another order.
+NEIGHBOUR_ROUNDS = 2
 
 
 def shingles(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,8 +174,9 @@ def ordered_sets(sets: DataFrame, percent: int) -> DataFrame:
 ENTRY = np.dtype([("h", "<u8"), ("id", "<i8"), ("n", "<i8"), ("at", "<i8"), ("component", "<i8")])
 
 
-def _entries(buckets: int):
-    """The prefixes of a batch of sets as packed entries of each key range."""
+def _entries(buckets: int, ends: int | None = None):
+    """The prefixes of a batch of sets as packed entries of each key range; with ``ends``,
+    only so many of the rarest and of the commonest shingles of each prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +187,10 @@ def _entries(buckets: int):
             e = np.empty(len(h), dtype=ENTRY)
             e["h"], e["id"], e["n"], e["component"] = h, np.repeat(ids, size), np.repeat(n, size), np.repeat(component, size)
             e["at"] = np.arange(len(h)) - np.repeat((off // 8)[:-1], size) + np.repeat(skip, size)
-            e = e[np.argsort(h)]
+            if ends is not None:
+                nth = np.arange(len(h)) - np.repeat((off // 8)[:-1], size)
+                e = e[(nth < ends) | (nth >= np.repeat(size, size) - ends)]
+            e = e[np.argsort(e["h"])]
             cuts = np.concatenate(([0], np.searchsorted(e["h"], exchange.key_ranges(64, buckets)), [len(e)]))
             at = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([e[cuts[b] : cuts[b + 1]].tobytes() for b in at], pa.binary())], names=["bucket", "body"])
@@ -211,7 +221,7 @@ PAIR = "a long, b long, na long, nb long, met long"
 
 
 def _hubs(percent: int):
-    def run(table: pa.Table) -> pa.Table:
+    def hub_pairs(table: pa.Table) -> pa.Table:
         e = np.frombuffer(b"".join(table["body"].to_pylist()), dtype=ENTRY)
         e = e[np.lexsort((kernels.mix(e["id"].astype(U64)), e["h"]))]
         first = np.flatnonzero(np.diff(e["h"], prepend=~e["h"][:1]) != 0)
@@ -221,11 +231,27 @@ def _hubs(percent: int):
         ok = (a["h"] == b["h"]) & (a["id"] != b["id"]) & _fits(a, b, percent)
         return _pair_table(a[ok], b[ok])
 
-    return run
+    return hub_pairs
+
+
+def _neighbours(percent: int, salt: int):
+    def neighbour_pairs(table: pa.Table) -> pa.Table:
+        """In each shingle's sets, in one random order, those of different components at a few distances."""
+        e = np.frombuffer(b"".join(table["body"].to_pylist()), dtype=ENTRY)
+        e = e[np.lexsort((kernels.mix(e["id"].astype(U64) + U64(salt << 40)), e["h"]))]
+        left, right = [e[:0]], [e[:0]]
+        for d in DISTANCES:
+            a, b = e[d:], e[:-d]
+            ok = (a["h"] == b["h"]) & (a["component"] != b["component"]) & _fits(a, b, percent)
+            left.append(a[ok])
+            right.append(b[ok])
+        return _pair_table(np.concatenate(left), np.concatenate(right))
+
+    return neighbour_pairs
 
 
 def _across(percent: int, block: int = 1 << 20):
-    def run(table: pa.Table) -> pa.Table:
+    def cross_pairs(table: pa.Table) -> pa.Table:
         e = np.frombuffer(b"".join(table["body"].to_pylist()), dtype=ENTRY)
         e = e[np.lexsort((e["n"], e["component"], e["h"]))]
         first = np.flatnonzero(np.diff(e["h"], prepend=~e["h"][:1]) != 0)
@@ -251,7 +277,7 @@ def _across(percent: int, block: int = 1 << 20):
             found.append(_pair_table(np.concatenate(left), np.concatenate(right)))
         return pa.concat_tables(found)
 
-    return run
+    return cross_pairs
 
 
 def _fragments(n: int):
@@ -290,7 +316,7 @@ def links(pairs: DataFrame, ordered: DataFrame, percent: int, fragments: int) ->
     return summed.where(F.col("common") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("common")))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, fragments: int = 4, hubs: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, fragments: int = 2, hubs: int = 3) -> DataFrame:
     """One row per document: ``key``, ``n_shingles`` and ``component_id``, the least id that
     it reaches by links of Jaccard similarity of at least ``percent`` hundredths."""
     spark = df.sparkSession
@@ -301,22 +327,30 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     ordered = scratch.stored(ordered_sets(own, percent), "ordered")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def met(rows: DataFrame, each) -> DataFrame:
-        packed = rows.mapInArrow(_entries(buckets), "bucket int, body binary")
+    def met(rows: DataFrame, each, ends: int | None = None) -> DataFrame:
+        packed = rows.mapInArrow(_entries(buckets, ends), "bucket int, body binary")
         return packed.groupBy("bucket").applyInArrow(each, PAIR).groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
 
-    first = scratch.stored(met(ordered.select("id", "n", "prefix", "skip", F.col("id").alias("component")), _hubs(percent)), "hub-pairs")
-    sides = first.select(F.col("a").alias("x"), "*").unionByName(first.select(F.col("b").alias("x"), "*"))
-    # the ``hubs`` partners met most often; all others are left to round two
-    best = sides.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("met", "a", "b", "na", "nb")), asc=False), 1, hubs).alias("top"))
-    tried = best.select(F.explode("top").alias("p")).select("p.a", "p.b", "p.na", "p.nb").distinct()
-    found = scratch.stored(links(tried, ordered, percent, fragments).select("a", "b"), "links-1")
-    label = components(found)
-    told = ordered.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "prefix", "skip", F.coalesce("component", "id").alias("component"))
-    more = links(met(told, _across(percent)), ordered, percent, fragments).select("a", "b")
-    # the components so far are stars, so only what round two adds has to settle
-    stars = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    label = components(stars.unionByName(more))
+    def placed(label: DataFrame) -> DataFrame:
+        return ordered.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "prefix", "skip", F.coalesce("component", "id").alias("component"))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        """Each set's ``hubs`` partners met most often; all others are left to later rounds."""
+        pairs = scratch.stored(pairs, "met-pairs")
+        sides = pairs.select(F.col("a").alias("x"), "*").unionByName(pairs.select(F.col("b").alias("x"), "*"))
+        top = sides.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("met", "a", "b", "na", "nb")), asc=False), 1, hubs).alias("top"))
+        return top.select(F.explode("top").alias("p")).select("p.a", "p.b", "p.na", "p.nb").distinct()
+
+    def joined_by(label: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        """Components after the links among ``pairs``; those so far are stars, so little has to settle."""
+        found = links(pairs, ordered, percent, fragments).select("a", "b")
+        return components(found if label is None else label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+
+    single = ordered.select("id", "n", "prefix", "skip", F.col("id").alias("component"))
+    label = joined_by(None, best(met(single, _hubs(percent), ends=hubs)))
+    for salt in range(NEIGHBOUR_ROUNDS):
+        label = joined_by(label, met(placed(label), _neighbours(percent, salt + 1)))
+    label = joined_by(label, met(placed(label), _across(percent)))
     named = classes.join(label.withColumnRenamed("node", "class"), "class", "left").select("sig", F.coalesce("component", "class").alias("component_id"))
     alone = sets.where("sig IS NULL").select("id", "n", F.col("id").alias("component_id"))
     joined = some.select("id", "n", "sig").join(named, "sig").select("id", "n", "component_id")
