@@ -32,6 +32,8 @@ from leafline.llm.components import components
 RADII = (1.0, 0.5, 0.25)
 #: Allowance for rounding in the bounds; it only lets more pairs through to the last test.
 SLACK = 1e-9
+#: A table of at most so many labels is broadcast, about 20 bytes a row.
+MOST_BROADCAST = 100_000
 
 
 class CoverTree:
@@ -130,6 +132,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     rows = rows.withColumn("good", good)
     points = scratch.stored(rows.where("good").groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("times")), "points")
     counts = points.groupBy("label", F.size("vector").alias("dims")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    counts = scratch.stored(counts, "label-sizes")
+    counts = F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts
     placed = points.withColumn("dims", F.size("vector")).join(counts, ["label", "dims"]).withColumn("block", F.pmod(F.xxhash64("vector"), F.col("blocks")).cast("int"))
     spread = placed.select("label", "dims", "block", "id", "times", "vector", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     paired = spread.select("label", "dims", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "times", "vector")

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.llm import exchange, kernels, scratch
@@ -338,8 +338,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         """Each set's ``hubs`` partners met most often; all others are left to later rounds."""
         pairs = scratch.stored(pairs, "met-pairs")
         sides = pairs.select(F.col("a").alias("x"), "*").unionByName(pairs.select(F.col("b").alias("x"), "*"))
-        top = sides.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("met", "a", "b", "na", "nb")), asc=False), 1, hubs).alias("top"))
-        return top.select(F.explode("top").alias("p")).select("p.a", "p.b", "p.na", "p.nb").distinct()
+        # a rank with a limit is cut in the tasks that send, so a hub's many partners do not meet
+        rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("met"), "a", "b"))
+        return sides.withColumn("rank", rank).where(F.col("rank") <= hubs).select("a", "b", "na", "nb").distinct()
 
     def joined_by(label: DataFrame | None, pairs: DataFrame) -> DataFrame:
         """Components after the links among ``pairs``; those so far are stars, so little has to settle."""
