@@ -128,6 +128,27 @@ def test_contaminated_documents(spark):
     assert decontaminate.contaminated(spark.createDataFrame(rows, schema), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_edits_that_leave_few_seeds(spark, exact):
+    made = random.Random(9)
+    word = lambda: "".join(made.choice("abcdefghij") for _ in range(8))
+    text = lambda n: [word() for _ in range(n)]
+    items = [text(30) for _ in range(5)]
+    docs = [text(40) + [word() if k % every == 0 else w for k, w in enumerate(item)] + text(40) for item, every in zip(items, (4, 5), strict=False)]
+    docs += [text(40) + items[2][:15] + text(40), text(40) + items[3][15:] + text(40)]
+    # three equal words, 20 inserted, and no other three equal words in a row
+    tail = [x for k in range(3, 30, 2) for x in (*items[4][k : k + 2], word())]
+    docs += [text(40) + items[4][:3] + text(12) + tail + text(40)]
+    planted = [(k, " ".join(w)) for k, w in enumerate(docs)]
+    copies = [(100 + k, " ".join(text(9) + w)) for k, w in enumerate(items)] if exact else []
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = decontaminate.contaminated(spark.createDataFrame(planted + copies, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(k, k) for k in range(5)] + [(i, i - 100) for i, _ in copies]
+    for r in found:
+        words = dict(planted + copies)[r["doc_id"]].split()
+        assert r["score"] == smith_waterman(items[r["item_id"]], words) / 60 >= 0.5
+
+
 # Tokens
 
 
