@@ -2,8 +2,9 @@
 
 A source with share ``p`` of all tokens gets a weight in proportion to ``p ** a``.  The
 exponent ``a`` is bisected: with ``target_entropy`` to the exponent of which the weights
-have that share of the greatest entropy, ``log(sources)``; otherwise to the least
-exponent for which no source is repeated more than ``most_repeats`` times in a budget.
+have that share of the greatest entropy, ``log(sources)``, above 1 where the natural
+shares have more; otherwise to the least exponent up to 1 for which no source is
+repeated more than ``most_repeats`` times in a budget.
 
 The weights are realised as budgeted block permutations.  A source's documents are
 dealt by a hash to blocks of about ``block_tokens`` tokens, in hash order within a block;
@@ -15,12 +16,15 @@ and over the documents of one block, never over all documents of a source.
 Defined results: a null source is a source of its own; documents without tokens are
 scheduled once with each whole pass and cost nothing; rows that repeat are documents
 of their own and may share a place; an empty table gives an empty schedule; other
-columns pass through, but for the new ones, which must be new.
+columns pass through, but for the new ones, which must be new.  Where so many sources
+share the greatest count that no exponent brings the entropy down to the target (as when
+all are equal), the natural shares are kept, exponent 1, with a warning.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +36,8 @@ from leafline.llm import kernels, scratch
 
 #: Source totals are read by the driver, which bisects over them; more are refused.
 MOST_SOURCES = 1_000_000
+#: The greatest exponent that is tried; it tells shares apart that differ by one token in 10^15.
+MOST_EXPONENT = 2.0**60
 #: Tables of at most so many sources or blocks are broadcast, about 50 bytes a row.
 MOST_BROADCAST = 100_000
 
@@ -61,13 +67,22 @@ def bisect(good, low: float = 0.0, high: float = 1.0, steps: int = 60) -> float:
 
 
 def exponent_for(tokens: dict, budget: float, target_entropy: float | None, most_repeats: float) -> float:
-    """Entropy falls as the exponent rises from 0 to 1, and so do the repeats of small sources."""
+    """Entropy falls as the exponent rises, and up to 1 so do the repeats of small sources."""
     some = {s: n for s, n in tokens.items() if n > 0}
     if not some:
         return 1.0
     if target_entropy is not None:
         goal = target_entropy * math.log(len(some)) if len(some) > 1 else 0.0
-        return bisect(lambda a: entropy(weights(some, a)) <= goal + 1e-12)
+        met = lambda a: entropy(weights(some, a)) <= goal + 1e-12
+        if met(0.0):
+            return 0.0
+        high = 1.0
+        while not met(high):
+            high *= 2
+            if high > MOST_EXPONENT:
+                warnings.warn(f"no exponent has {target_entropy} of the greatest entropy; the natural shares are kept", stacklevel=2)
+                return 1.0
+        return bisect(met, high=high)
     return bisect(lambda a: all(w * budget <= most_repeats * some[s] * (1 + 1e-12) for s, w in weights(some, a).items()))
 
 

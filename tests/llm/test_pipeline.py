@@ -22,6 +22,20 @@ def test_exponent_meets_entropy_and_repeats():
     assert mixing.exponent_for({}, 0, 0.5, 4) == 1.0 and mixing.exponent_for({"a": 5}, 5, 0.5, 4) == 0.0
 
 
+@pytest.mark.parametrize("tokens", [{"a": 1000, "b": 990, "c": 970, "d": 960}, {"a": 10**12, "b": 10**12 - 1, "c": 10**12 - 2}, {None: 7, "b": 7, "c": 6, "d": 6, "e": 5}])
+def test_exponent_when_the_natural_entropy_is_above_the_target(tokens):
+    total = sum(tokens.values())
+    goal = 0.9 * math.log(len(tokens))
+    assert mixing.entropy(mixing.weights(tokens, 1.0)) > goal + 0.01
+    a = mixing.exponent_for(tokens, total, 0.9, 4)
+    assert a > 1 and mixing.entropy(mixing.weights(tokens, a)) == pytest.approx(goal, abs=1e-4)
+
+
+def test_exponent_when_no_exponent_meets_the_target():
+    with pytest.warns(UserWarning, match="no exponent"):
+        assert mixing.exponent_for({"a": 5, "b": 5, "c": 5}, 15, 0.9, 4) == 1.0
+
+
 @pytest.mark.parametrize("budget", [None, 3000, 100])
 def test_schedule_meets_the_quotas(spark, budget):
     made = random.Random(4)
