@@ -8,7 +8,9 @@ express the language model, the alignment or the suffix order, so there is no
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from itertools import accumulate
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafline.llm import decontaminate, jaccard_join, language_id, mixing, scratch, suffix_dedup
@@ -26,14 +28,46 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
+def _repeated_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose id no other row has, and one of each id and text of the others.
+
+    The others, those with a null id among them, have a ``digest`` of the text and a
+    ``row``, a number that is no id.  Only they are written."""
+    again = scratch.stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    others = docs.where("doc_id IS NULL").unionByName(docs.join(again, "doc_id", "left_semi")).withColumn("digest", F.sha2("text", 256))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text"))))
+    others = others.withColumn("rank", rank).where("rank = 1").drop("rank").withColumn("at", F.monotonically_increasing_id())
+    others = scratch.stored(others, "repeated-rows")
+    # one row a partition that was written
+    parts = sorted(others.groupBy(F.shiftright("at", 33).alias("part")).count().collect())
+    ends = list(accumulate(n for _, n in parts))
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    total, first = (ends or [0])[-1], 0 if most is None else most + 1
+    if first + total >= 1 << 63:
+        first = least - total
+    if first < -(1 << 63):
+        raise ValueError("no numbers are left beside the ids")
+    begins = docs.sparkSession.createDataFrame([(p, first + end - n) for (p, n), end in zip(parts, ends, strict=True)], "part long, begin long")
+    numbered = others.join(F.broadcast(begins), F.shiftright("at", 33) == F.col("part"))
+    numbered = numbered.withColumn("row", F.col("begin") + F.col("at").bitwiseAND((1 << 33) - 1)).select(*docs.columns, "digest", "row")
+    return docs.where("doc_id IS NOT NULL").join(again, "doc_id", "left_anti").select(*docs.columns), numbered
+
+
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near copies.
 
-    Documents without words are no copies and stay, as do rows with a null id; rows
-    that repeat an id stay or go together."""
-    groups = scratch.stored(jaccard_join.near_duplicates(docs, "doc_id", "text"), "near-copies")
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    Documents without words are no copies and stay.  Rows are documents of their own,
+    with a null id or one that others have, too: of rows equal in id and text one is
+    kept, then of a group the row with the least id, a null id last, and text digest."""
+    single, others = _repeated_rows(docs)
+    rows = single.select(F.col("doc_id").alias("row"), "text").unionByName(others.select("row", "text"))
+    groups = scratch.stored(jaccard_join.near_duplicates(rows, "row", "text"), "near-copies")
+    known = groups.join(others.select("row", "doc_id", "digest", F.lit(True).alias("other")), "row", "left")
+    known = known.withColumn("doc_id", F.when(F.col("other"), F.col("doc_id")).otherwise(F.col("row")))
+    kept = known.groupBy("component_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("kept"))
+    gone = scratch.stored(known.join(kept, "component_id").where("row <> kept").select("row"), "gone")
+    left = single.join(gone.select(F.col("row").alias("doc_id")), "doc_id", "left_anti")
+    return left.select(*docs.columns).unionByName(others.join(gone, "row", "left_anti").select(*docs.columns))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

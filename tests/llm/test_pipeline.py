@@ -90,6 +90,21 @@ def test_stages_in_order(spark):
     assert ids["source_mixing"] <= ids["benchmark_decontamination"] and len(ids["source_mixing"]) > 50
 
 
+def test_one_row_of_each_class_stays(spark):
+    made = random.Random(12)
+    text = lambda: " ".join("".join(made.choice("abcdefghij") for _ in range(7)) for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    near = c.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a, "en", "s", 0)] * 3 + [(None, b, "en", "s", 0), (None, b, "en", "t", 0)] + [(7, near, "en", "s", 0), (5, c, "en", "s", 0), (5, c, "en", "s", 0), (None, c, "en", "s", 0)]
+    rows += [(9, d, "en", "s", 0), (9, e, "en", "s", 0), (None, f, "en", "s", 0), (2, " " * 150, "en", "s", 0), (2, " " * 150, "en", "s", 0), (2**63 - 1, a[:50], "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    want = sorted([(1, a), (None, b), (5, c), (9, d), (9, e), (None, f), (2, " " * 150), (2**63 - 1, a[:50])], key=str)
+    stayed = corpus_pipeline.one_of_near_copies(spark, docs, SF).persist()
+    assert sorted(((r["doc_id"], r["text"]) for r in stayed.collect()), key=str) == want
+    assert {r["source"] for r in stayed.collect()} == {"s"}
+    assert sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.without_repeats(spark, stayed, SF).collect()), key=str) == want
+
+
 def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
