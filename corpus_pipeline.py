@@ -81,10 +81,14 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a test item or an edited copy of one."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = scratch.stored(found.select("doc_id").distinct(), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents that hold a test item or an edited copy of one.
+
+    Rows go by id and text, so rows with a null id go as well."""
+    digest = F.sha2("text", 256)
+    named = docs.select(F.struct("doc_id", digest.alias("digest")).alias("row"), "text")
+    found = decontaminate.contaminated(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row")
+    gone = scratch.stored(found.select(F.col("row.doc_id").alias("gone_id"), F.col("row.digest").alias("gone_digest")).distinct(), "contaminated")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_digest")), "left_anti").select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

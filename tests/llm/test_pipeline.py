@@ -105,6 +105,14 @@ def test_one_row_of_each_class_stays(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.without_repeats(spark, stayed, SF).collect()), key=str) == want
 
 
+def test_contaminated_rows_with_null_ids_go(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(None, "before " + item, "en", "s", 0), (None, "nothing of it", "en", "s", 0), (3, item + " after", "en", "s", 0), (4, "nor here", "en", "s", 0), (None, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = corpus_pipeline.without_benchmark(spark, docs, SF).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(None, "nothing of it"), (4, "nor here"), (None, None)], key=str)
+
+
 def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
