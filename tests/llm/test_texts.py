@@ -80,13 +80,74 @@ def test_language_edges(spark):
     assert [got[k]["lang_pred"] for k in range(1, 7)] == ["en", "und", "und", "de", got[5]["lang_pred"], "de"] and got[2]["score"] == 0.0
     assert got[1]["text"] == "The" and got[6]["score"] == 1.0
     nothing = language_id.fit(spark.createDataFrame([], schema))
-    assert nothing.predict("text") == ("und", 0.0)
+    assert nothing.predict(["text"])[0] == ["und"] and language_id.predict(ask, nothing).count() == 6
     assert language_id.predict(ask.limit(0), model).count() == 0
+    numerals = language_id.predict(spark.createDataFrame([(1, "½ ² ① Ⅷ"), (2, "_ 7")], "doc_id long, text string"), model).collect()
+    assert all(r["lang_pred"] == "und" and r["score"] == 0.0 for r in numerals)
+
+
+def slow_model(rows, most=10**9):
+    """Counts of words and marked n-grams by language in plain dictionaries."""
+    counts = {}
+    for lang, text in sorted(set(rows)):
+        for w in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            counts.setdefault((0, w), Counter())[lang] += 1
+            for n in range(1, 6):
+                marked = f" {w} " if n > 1 else w
+                for i in range(len(marked) - n + 1):
+                    counts.setdefault((n, marked[i : i + n]), Counter())[lang] += 1
+    return counts
+
+
+def slow_prediction(counts, languages, text):
+    sums = {(n, x): sum(c[x] for (m, _), c in counts.items() if m == n) + 0.5 * (1 + sum(m == n for m, _ in counts)) for n in range(6) for x in languages}
+    log = lambda n, g, x: math.log((counts[n, g][x] + 0.5) / sums[n, x])
+    total, seen = dict.fromkeys(languages, 0.0), False
+    for w in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        seen = True
+        if (0, w) in counts:
+            for x in languages:
+                total[x] += log(0, w, x)
+            continue
+        for n in range(5, 0, -1):
+            marked = f" {w} " if n > 1 else w
+            known = [g for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if (n, g) in counts]
+            if known:
+                for x in languages:
+                    total[x] += sum(log(n, g, x) for g in known) / len(known)
+                break
+    if not seen:
+        return "und", 0.0
+    best = max(languages, key=lambda x: (total[x], [-ord(c) for c in x]))
+    return best, 1 / sum(math.exp(v - total[best]) for v in total.values())
+
+
+def test_language_against_a_slow_prediction(spark):
+    made = random.Random(5)
+    words = {x: ["".join(made.choice(a) for _ in range(made.randint(1, 8))) for _ in range(40)] for x, a in (("da", "aeorsæ"), ("en", "aeorst"), ("ru", "абвгdo"))}
+    text = lambda x, n: " ".join(made.choice(words[x]) if made.random() < 0.8 else made.choice(words["en"])[::-1] for _ in range(n))
+    rows = [(x, text(x, 12)) for x in words for _ in range(15)]
+    rows += rows[:10]
+    model = language_id.fit(spark.createDataFrame([(*r, 1) for r in rows], "lang string, text string, n int"))
+    asked = [text(x, made.randint(1, 6)) + made.choice(["", " Zzz", " ½x", "İ é"]) for x in words for _ in range(30)] + ["", "qqq", "12"]
+    names, scores = model.predict(asked)
+    counts = slow_model(rows)
+    want = [slow_prediction(counts, sorted(words), t) for t in asked]
+    assert names == [w[0] for w in want] and scores == pytest.approx([w[1] for w in want])
+
+
+def test_language_is_learned_from_texts_that_repeat(spark):
+    rows = [("en", "the cat")] * 600 + [("de", f"der hund {chr(97 + k % 26)}{chr(97 + k // 26)}") for k in range(200)]
+    model = language_id.fit(spark.createDataFrame(rows, "lang string, text string"), per_language=50)
+    assert model.predict(["the", "hund"])[0] == ["en", "de"]
 
 
 def test_backoff_uses_the_longest_known_length():
-    model = language_id.Model(["a", "b"], {"word": [5, 1]}, {"ab": [9, 1], "a": [1, 9]})
-    assert model.word("xaby") == model.parts[2]["ab"] and model.word("xay") == model.parts[1]["a"] and model.word("zzz") == (0.0, 0.0)
+    word = language_id.Words(["ab"])
+    grams = lambda n: word.grams(np.array([0]), n)[0].view(np.int64).tolist()
+    assert [len(grams(n)) for n in (1, 2, 3, 4, 5)] == [2, 3, 2, 1, 0]
+    model = language_id.Model(["a", "b"], [(2, grams(2)[1], 0, 9), (2, grams(2)[1], 1, 1), (1, grams(1)[0], 0, 1), (1, grams(1)[0], 1, 9)])
+    assert model.predict(["xaby", "xay", "zzz"])[0] == ["a", "b", "a"] and model.predict(["zzz"])[1].tolist() == [0.5]
 
 
 # Decontamination
