@@ -78,7 +78,7 @@ class _Chunk:
 
     def shared(self, replies: pa.Table) -> np.ndarray:
         keys, _ = self.filter_keys()
-        found = exchange.answer_bits(replies, FILTER, exchange.sent_counts(keys, self.layout.bits, self.layout.buckets))
+        found = exchange.answer_bits(replies, FILTER, exchange.coarse_range(keys, self.layout.bits, self.layout))
         return found[np.searchsorted(keys, self.short)] if len(keys) else np.zeros(0, bool)
 
 
@@ -87,15 +87,15 @@ def _least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def shared_sets(df: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+def shared_sets(df: DataFrame, key: str, text: str, width: int, percent: int, layout: Layout | None = None) -> DataFrame:
     """``id``, ``n``, and for documents of which enough shingles occur elsewhere ``sig``
     (a digest of the set) and ``shared`` (those shingles; null in rows that repeat)."""
-    layout = Layout.of(df, text)
+    layout = layout or Layout.of(df, text)
     docs = exchange.chunked(df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), ["key"], "text", layout.chunks)
 
     def ask(table: pa.Table) -> pa.Table:
         chunk = _Chunk(table, width, layout)
-        return exchange.messages(table["chunk"][0].as_py(), FILTER, *chunk.filter_keys(), layout.bits, layout.buckets)
+        return exchange.messages(table["chunk"][0].as_py(), FILTER, *chunk.filter_keys(), layout.bits, layout)
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = _Chunk(table, width, layout)
@@ -114,7 +114,7 @@ def shared_sets(df: DataFrame, key: str, text: str, width: int, percent: int) ->
             seen.add((k, digest))
         return pa.table({"id": table["key"].cast(pa.int64()), "n": pa.array(size, pa.int64()), "sig": pa.array(sig, pa.binary()), "shared": pa.array(shared, pa.binary())})
 
-    found = exchange.answers(docs.groupBy("chunk").applyInArrow(ask, exchange.MESSAGE))
+    found = exchange.round_trip(docs.groupBy("chunk").applyInArrow(ask, exchange.MESSAGE), exchange.Bits(layout.bits), layout)
     return exchange.with_answers(docs, found, finish, "id long, n long, sig binary, shared binary")
 
 
@@ -129,13 +129,18 @@ def _rarity(table: pa.Table) -> pa.Table:
     return pa.table([table["chunk"], table["tag"], table["bucket"], pa.array(body, pa.binary())], schema=exchange.MESSAGE_ARROW)
 
 
-def ordered_sets(sets: DataFrame, percent: int) -> DataFrame:
+def _u4(body: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(body, "<u4", n)[None, :].astype(np.int64)
+
+
+def ordered_sets(sets: DataFrame, percent: int, layout: Layout | None = None) -> DataFrame:
     """``id``, ``n``, ``items`` (shared shingles, sorted), ``prefix`` (the shared ones of the
     prefix, rarest first) and ``skip`` (unshared ones before them) of sets that can link."""
-    spark = sets.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = sets.agg(F.sum(F.octet_length("shared")).alias("n")).first()["n"] or 0
-    chunks, buckets = max(parts, math.ceil(total / (8 << 20))), max(parts, math.ceil(total / (16 << 20)))
+    if layout is None:
+        parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        total = sets.agg(F.sum(F.octet_length("shared")).alias("n")).first()["n"] or 0
+        layout = Layout.sized(total, parts, chunk_bytes=8 << 20, bytes_per_key=8)
+    chunks = layout.chunks
     rows = sets.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("long").alias("chunk"), "id", "n", "shared")
 
     def hashes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -144,15 +149,14 @@ def ordered_sets(sets: DataFrame, percent: int) -> DataFrame:
 
     def ask(table: pa.Table) -> pa.Table:
         keys, n = np.unique(hashes(table)[0], return_counts=True)
-        return exchange.messages(table["chunk"][0].as_py(), RARITY, keys, np.zeros(len(keys), bool), 64, buckets, n.astype("<u4"))
+        return exchange.messages(table["chunk"][0].as_py(), RARITY, keys, np.zeros(len(keys), bool), 64, layout, n.astype("<u4"))
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         names = ["id", "n", "items", "prefix", "skip"]
         h, off = hashes(table) if len(table) else (np.zeros(0, U64), np.zeros(1, np.int64))
         keys, of = np.unique(h, return_inverse=True)
         at = dict(zip(replies["bucket"].to_pylist(), replies["body"].to_pylist(), strict=True))
-        counts = exchange.sent_counts(keys, 64, buckets)
-        level = np.frombuffer(b"".join(at[b] for b in np.flatnonzero(counts).tolist()), np.uint8)[of]
+        level = np.frombuffer(b"".join(at[b] for b in exchange.spans(exchange.coarse_range(keys, 64, layout))[0].tolist()), np.uint8)[of]
         out = []
         for k, n, a, b in zip(table["id"].to_pylist(), table["n"].to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
             keep = level[a:b] > 0
@@ -167,7 +171,8 @@ def ordered_sets(sets: DataFrame, percent: int) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    told = rows.groupBy("chunk").applyInArrow(ask, exchange.MESSAGE).groupBy("bucket").applyInArrow(_rarity, exchange.MESSAGE)
+    kind = exchange.Counts(64, _rarity, _u4, lambda c: c[0].astype("<u4").tobytes(), lambda b, n: np.frombuffer(b, np.uint8, n)[None, :], lambda a: a[0].tobytes())
+    told = exchange.round_trip(rows.groupBy("chunk").applyInArrow(ask, exchange.MESSAGE), kind, layout)
     return exchange.with_answers(rows, told, finish, "id long, n long, items binary, prefix binary, skip long")
 
 
@@ -191,9 +196,8 @@ def _entries(buckets: int, ends: int | None = None):
                 nth = np.arange(len(h)) - np.repeat((off // 8)[:-1], size)
                 e = e[(nth < ends) | (nth >= np.repeat(size, size) - ends)]
             e = e[np.argsort(e["h"])]
-            cuts = np.concatenate(([0], np.searchsorted(e["h"], exchange.key_ranges(64, buckets)), [len(e)]))
-            at = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([e[cuts[b] : cuts[b + 1]].tobytes() for b in at], pa.binary())], names=["bucket", "body"])
+            at, cuts = exchange.spans(exchange.range_of(e["h"], 64, buckets))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([e[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())], names=["bucket", "body"])
 
     return run
 
@@ -288,12 +292,11 @@ def _fragments(n: int):
             ids, part, body = [], [], []
             for k, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = np.frombuffer(items, U64)
-                cuts = np.concatenate(([0], np.searchsorted(h, exchange.key_ranges(64, n)), [len(h)]))
-                for f in range(n):
-                    if cuts[f] < cuts[f + 1]:
-                        ids.append(k)
-                        part.append(f)
-                        body.append(h[cuts[f] : cuts[f + 1]].tobytes())
+                at, cuts = exchange.spans(exchange.range_of(h, 64, n))
+                for f, a, b in zip(at.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    ids.append(k)
+                    part.append(f)
+                    body.append(h[a:b].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(part, pa.int32()), pa.array(body, pa.binary())], names=["id", "fragment", "items"])
 
     return run

@@ -9,13 +9,14 @@ are taken out, so target documents gain nothing from having been counted.
 
 Counts of all words and of all bigrams are summed over the corpus by packed key
 ranges (see ``exchange``); no table of them is collected or broadcast.  A key is the
-leading bits of a hash, 24 more than tell as many keys apart as there are words: one
-in some ten million shares its key.
+leading bits of a 64-bit hash, all of them from some 16 million words on: two of a
+billion different keys are the same with a chance of about one in forty.
 
 Words are runs of letters and digits in lower case.  Defined results: a null or empty
 text, or one without words, has 0 tokens, losses 0 and a null score; without target
-documents the target model is uniform; rows that repeat are documents of their own;
-an empty table gives an empty result; other columns are not read.
+documents the target model is uniform; rows that repeat are documents of their own; a
+very long text is read whole, in blocks; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -57,35 +58,38 @@ class _Counts:
 
     def messages(self, chunk: int, tag: int) -> pa.Table:
         extra = lambda a, b: pack_counts(self.target[a:b], self.every[a:b])
-        return exchange.messages(chunk, tag, self.keys, np.zeros(len(self.keys), bool), self.layout.bits, self.layout.buckets, extra)
+        return exchange.messages(chunk, tag, self.keys, np.zeros(len(self.keys), bool), self.layout.bits, self.layout, extra)
 
     def sums(self, replies: pa.Table, tag: int) -> tuple[np.ndarray, np.ndarray]:
         """Sums over the corpus for each distinct key."""
         at = {b: body for t, b, body in zip(replies["tag"].to_pylist(), replies["bucket"].to_pylist(), replies["body"].to_pylist(), strict=True) if t == tag}
-        counts = exchange.sent_counts(self.keys, self.layout.bits, self.layout.buckets)
-        got = [unpack_counts(at[b], int(counts[b])) for b in np.flatnonzero(counts).tolist()]
+        which, cuts = exchange.spans(exchange.coarse_range(self.keys, self.layout.bits, self.layout))
+        got = [unpack_counts(at[b], n) for b, n in zip(which.tolist(), np.diff(cuts).tolist(), strict=True)]
         both = np.concatenate(got, axis=1) if got else np.zeros((2, 0), np.int64)
         return both[0].astype(np.float64), both[1].astype(np.float64)
 
 
-def _sum(chunks: int):
-    """One bucket: sums of each key's counts for every chunk that sent it, and for all
-    chunks the bucket's part of the totals by vocabulary bound."""
+def _summed(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of a bucket's messages, the place of each key among the distinct ones, and their sums."""
+    rows = [exchange.unpack(b) for b in table["body"].to_pylist()]
+    keys, of = np.unique(np.concatenate([k for k, _, _ in rows]), return_inverse=True)
+    counts = np.concatenate([unpack_counts(x, len(k)) for k, _, x in rows], axis=1)
+    target, every = (np.bincount(of, weights=counts[k], minlength=len(keys)).astype(np.int64) for k in (0, 1))
+    return [len(k) for k, _, _ in rows], of, target, every
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = [exchange.unpack(b) for b in table["body"].to_pylist()]
-        keys, of = np.unique(np.concatenate([k for k, _, _ in rows]), return_inverse=True)
-        counts = np.concatenate([unpack_counts(x, len(k)) for k, _, x in rows], axis=1)
-        target, every = (np.bincount(of, weights=counts[k], minlength=len(keys)).astype(np.int64) for k in (0, 1))
-        cut = np.cumsum([0, *(len(k) for k, _, _ in rows)])
-        body = [pack_counts(target[of[a:b]], every[of[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        to, tag = table["chunk"].to_pylist(), table["tag"].to_pylist()
-        if tag[0] == WORD:
-            total = np.array([[(every >= x).sum(), target[every >= x].sum(), every[every >= x].sum()] for x in range(1, 9)], dtype="<f8").tobytes()
-            to, tag, body = [*to, *range(chunks)], [*tag, *([TOTAL] * chunks)], [*body, *([total] * chunks)]
-        return pa.table([pa.array(to, pa.int64()), pa.array(tag, pa.int32()), pa.array([table["bucket"][0].as_py()] * len(to), pa.int32()), pa.array(body, pa.binary())], schema=exchange.MESSAGE_ARROW)
 
-    return run
+def _sum(table: pa.Table) -> pa.Table:
+    """One bucket: sums of each key's counts for every message that has it."""
+    sizes, of, target, every = _summed(table)
+    cut = np.cumsum([0, *sizes])
+    body = [pack_counts(target[of[a:b]], every[of[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.table([table["chunk"], table["tag"], table["bucket"], pa.array(body, pa.binary())], schema=exchange.MESSAGE_ARROW)
+
+
+def _totals(table: pa.Table) -> pa.Table:
+    """One bucket's entries and words, in target documents and in all, by vocabulary bound from 1 to 8."""
+    _, _, target, every = _summed(table)
+    return pa.table({f"t{x}": [[int((every >= x).sum()), int(target[every >= x].sum()), int(every[every >= x].sum())]] for x in range(1, 9)})
 
 
 class _Chunk:
@@ -119,14 +123,14 @@ def _own(of: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
     return n[back]
 
 
-def score(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", least: int = 2, weight: float = 0.7, smooth: float = 0.1) -> DataFrame:
+def score(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", least: int = 2, weight: float = 0.7, smooth: float = 0.1, layout: Layout | None = None) -> DataFrame:
     """``key``, ``n_tokens``, ``loss_target``, ``loss_background`` (nats, summed over the
     tokens) and ``score``, their difference a token: below 0 is closer to the target.
 
     ``targets``: a table whose column ``key`` holds the ids of the target documents."""
     if not 1 <= least <= 8:
         raise ValueError("least is from 1 to 8")
-    layout = Layout.of(df, text, more_bits=24)
+    layout = layout or Layout.of(df, text, more_bits=40)
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(layout.chunks)).cast("long")
     docs = df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     docs = docs.select(place(F.coalesce(F.col("key").cast("long"), F.xxhash64("text"))).alias("chunk"), "key", "text")
@@ -146,9 +150,15 @@ def score(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
         return chunk.pair.messages(table["chunk"][0].as_py(), PAIR)
 
     asked = exchange.with_answers(docs, told, ask_words, exchange.MESSAGE)
-    word_sums = asked.groupBy("bucket").applyInArrow(_sum(layout.chunks), exchange.MESSAGE)
-    first = told.unionByName(word_sums)
-    pair_sums = exchange.with_answers(docs, first, ask_pairs, exchange.MESSAGE).groupBy("bucket").applyInArrow(_sum(layout.chunks), exchange.MESSAGE)
+    kind = exchange.Counts(layout.bits, _sum, unpack_counts, lambda c: pack_counts(*c), unpack_counts, lambda c: pack_counts(*c))
+    first = told.unionByName(exchange.round_trip(asked, kind, layout))
+    pair_sums = exchange.round_trip(exchange.with_answers(docs, first, ask_pairs, exchange.MESSAGE), kind, layout)
+    # the totals are 24 numbers, summed once; each chunk gets them as one short row
+    merged = exchange.merged(asked, kind, layout)
+    by_bound = merged.groupBy("bucket").applyInArrow(_totals, ", ".join(f"t{x} array<long>" for x in range(1, 9)))
+    one = by_bound.agg(F.concat(*(F.array(*(F.coalesce(F.sum(F.col(f"t{x}")[k]), F.lit(0)).cast("double") for k in range(3))) for x in range(1, 9))).alias("totals"))
+    totals = df.sparkSession.range(layout.chunks).join(F.broadcast(one.withColumn("every", F.lit(0).cast("long"))), F.col("id") * 0 == F.col("every"))
+    totals = totals.select(F.col("id").alias("chunk"), "totals").mapInArrow(_total_rows, exchange.MESSAGE)
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         names = ["key", "n_tokens", "loss_target", "loss_background"]
@@ -157,8 +167,7 @@ def score(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
         chunk = _Chunk(table, replies, layout)
         chunk.pairs(replies, least)
         pair_target, pair_every = chunk.pair.sums(replies, PAIR)
-        parts = [np.frombuffer(b, "<f8").reshape(8, 3) for t, b in zip(replies["tag"].to_pylist(), replies["body"].to_pylist(), strict=True) if t == TOTAL]
-        totals = np.sum([*parts, np.zeros((8, 3))], axis=0)
+        totals = next(np.frombuffer(b, "<f8").reshape(8, 3) for t, b in zip(replies["tag"].to_pylist(), replies["body"].to_pylist(), strict=True) if t == TOTAL)
         (size, in_target, in_every), (_, all_target, all_every) = totals[least - 1], totals[0]
         entries = size + 1
         tokens = np.diff(chunk.off)
@@ -179,7 +188,7 @@ def score(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
         return pa.table([table["key"], pa.array(tokens, pa.int64()), *(pa.array(x, pa.float64()) for x in losses)], names=names)
 
     kind = docs.schema["key"].dataType.simpleString()
-    out = exchange.with_answers(docs, first.unionByName(pair_sums), finish, f"key {kind}, n_tokens long, loss_target double, loss_background double")
+    out = exchange.with_answers(docs, first.unionByName(pair_sums).unionByName(totals), finish, f"key {kind}, n_tokens long, loss_target double, loss_background double")
     return out.withColumn("score", F.when(F.col("n_tokens") > 0, (F.col("loss_target") - F.col("loss_background")) / F.col("n_tokens"))).withColumnRenamed("key", key)
 
 
@@ -189,3 +198,11 @@ def _told(batches):
         bodies = [np.array(ids, dtype="<i8").tobytes() for ids in batch.column(1).to_pylist()]
         n = len(bodies)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([TARGET] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array(bodies, pa.binary())], names=["chunk", "tag", "bucket", "body"])
+
+
+def _total_rows(batches):
+    """The totals as a message to each chunk."""
+    for batch in batches:
+        bodies = [np.array(t, dtype="<f8").tobytes() for t in batch.column(1).to_pylist()]
+        n = len(bodies)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([TOTAL] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array(bodies, pa.binary())], names=["chunk", "tag", "bucket", "body"])

@@ -8,8 +8,9 @@ merged into maximal intervals, whose words go.
 
 Defined results: a null text has no words and reads as empty; a text with fewer
 words than the window keeps all; rows that are equal in id and text are two
-documents, so each is a copy of the other; an empty table gives an empty result;
-other columns are not read, whatever their names.
+documents, so each is a copy of the other; a very long text is read whole, in blocks
+of whole documents; an empty table gives an empty result; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ class _Chunk:
     def candidates(self, replies: pa.Table) -> np.ndarray:
         """Whether each window's filter key occurs elsewhere."""
         keys, _ = self.filter_keys()
-        found = exchange.answer_bits(replies, FILTER, exchange.sent_counts(keys, self.layout.bits, self.layout.buckets))
+        found = exchange.answer_bits(replies, FILTER, exchange.coarse_range(keys, self.layout.bits, self.layout))
         return found[np.searchsorted(keys, self.short)] if len(keys) else np.zeros(0, bool)
 
     def exact(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,31 +82,31 @@ def repeated_windows(df: DataFrame, key: str, text: str, window: int, layout: La
 
     def ask(table: pa.Table) -> pa.Table:
         chunk = _Chunk(table, window, layout)
-        return exchange.messages(_chunk_id(table), FILTER, *chunk.filter_keys(), layout.bits, layout.buckets)
+        return exchange.messages(_chunk_id(table), FILTER, *chunk.filter_keys(), layout.bits, layout)
 
     def ask_exactly(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
             return exchange.MESSAGE_ARROW.empty_table()
         chunk = _Chunk(table, window, layout)
         high, low, many, _ = chunk.exact(chunk.candidates(replies))
-        return exchange.messages(_chunk_id(table), EXACT, high, many, 64, layout.buckets, low)
+        return exchange.messages(_chunk_id(table), EXACT, high, many, 64, layout, low)
 
-    found = exchange.answers(docs.groupBy("chunk").applyInArrow(ask, exchange.MESSAGE))
-    sure = exchange.answers(exchange.with_answers(docs, found, ask_exactly, exchange.MESSAGE))
+    found = exchange.round_trip(docs.groupBy("chunk").applyInArrow(ask, exchange.MESSAGE), exchange.Bits(layout.bits), layout)
+    sure = exchange.round_trip(exchange.with_answers(docs, found, ask_exactly, exchange.MESSAGE), exchange.Bits(64), layout)
     return docs, found.unionByName(sure), layout
 
 
-def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
+def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, layout: Layout | None = None) -> DataFrame:
     """One row per document: ``key``, ``n_words``, ``n_removed``, ``removed`` (word intervals,
     end exclusive) and ``kept`` (UTF-8 of the kept words, joined by one space)."""
-    docs, replies, layout = repeated_windows(df, key, text, window)
+    docs, replies, layout = repeated_windows(df, key, text, window, layout)
     kind = df.select(key).schema[0].dataType.simpleString()
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = _Chunk(table, window, layout)
         rep = chunk.candidates(replies)
         high, _, _, where = chunk.exact(rep)
-        sure = exchange.answer_bits(replies, EXACT, exchange.sent_counts(high, 64, layout.buckets))
+        sure = exchange.answer_bits(replies, EXACT, exchange.coarse_range(high, 64, layout))
         rep[rep] = sure[where] if len(sure) else False
         words, gone, spans, kept, seen = [], [], [], [], 0
         for _, starts, ends, word_off, at, _ in chunk._blocks(kernels.WORD_BASE):

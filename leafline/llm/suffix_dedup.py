@@ -7,24 +7,29 @@ only windows of anchors whose seeds occur twice can repeat; a first count over t
 corpus finds those seeds.  A neighbouring run of windows that share an anchor is one
 *context*, a string of at most ``2 * length`` bytes.
 
-Contexts are range-partitioned by the leading bytes of the suffix at their anchor,
-with splitters from a bounded sample.  A bucket takes the windows of its contexts as
-suffixes and sorts them by multikey quicksort, eight bytes a character; suffixes that
-agree in ``length`` bytes are repeated.  Splitters cut between different leading bytes,
-and equal windows have equal leading bytes at their anchors, so neighbours across two
-buckets differ within those bytes: no match crosses a boundary.
+A context is cut in two: its windows that have half of the bytes around the seed in front
+of it, and the others.  All windows of a half share a *lead*, the seed and so many bytes
+before or behind it (124 bytes for the usual lengths).  Contexts are range-partitioned
+by their leads, with splitters from a bounded sample of leads; beyond ``MOST_RANGES``
+ranges, each is dealt on to several buckets by a hash of the lead.  As leads are long,
+a common line with different text around it is cut by many splitters.  A bucket takes
+the windows of its contexts as suffixes and sorts them by multikey quicksort, eight
+bytes a character; suffixes that agree in ``length`` bytes are repeated.  Splitters cut
+between different leads, and equal windows have equal leads, so neighbours across two
+buckets differ within their leads: no match crosses a boundary.
 
 Equal contexts of a chunk are sent once, so a passage that fills the corpus reaches its
 bucket once a chunk.  Matches never cross documents.  Strings are judged on the input.
 
 Defined results: a null or empty text has no bytes; a text shorter than ``length``
-keeps all; rows equal in id and text are two documents, each a copy of the other;
-an empty table gives an empty result; other columns are not read.
+keeps all; rows equal in id and text are two documents, each a copy of the other; a very
+long text is read whole, in a block of its own; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +41,12 @@ from leafline.llm import exchange, kernels
 from leafline.llm.exchange import U64, Layout
 
 FILTER, SUFFIX = 0, 1
-#: Leading bytes of a suffix by which it is dealt to a bucket.
-LEAD = 16
-#: Leading bytes that are sampled for splitters: from so many chunks, so many a chunk.
+#: Leads that are sampled for splitters: from so many chunks, so many a chunk.
 SAMPLE_CHUNKS, SAMPLE_EACH = 16, 2000
+#: Ranges between splitters, eight sampled leads each at least.
+MOST_RANGES = 4000
+#: About the bytes of text for each context, and contexts that a message should hold.
+CONTEXT_BYTES, LEAST_CONTEXTS = 256, 4
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +86,7 @@ class _Chunk:
     """The anchors and contexts of one chunk's documents."""
 
     def __init__(self, table: pa.Table, length: int, seed: int, layout: Layout):
-        self.layout, self.length = layout, length
+        self.layout, self.length, self.seed = layout, length, seed
         self.data, self.off = kernels.column_bytes(table["text"])
         found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),)]
         for first, _, data, off in kernels.blocks(self.data, self.off):
@@ -92,30 +99,91 @@ class _Chunk:
     def filter_keys(self) -> tuple[np.ndarray, np.ndarray]:
         return exchange.distinct(self.short)
 
+    def halves(self, some: np.ndarray) -> None:
+        """The contexts of the anchors ``some``, cut in two, with the places of their leads."""
+        at, lo, hi = self.at[some], self.lo[some], self.hi[some]
+        half = (self.length - self.seed) // 2
+        front, back = lo <= at - half, hi > at - half
+        self.lead = np.concatenate([at[front] - half, at[back]])
+        self.lo, self.hi = np.concatenate([lo[front], np.maximum(lo, at - half + 1)[back]]), np.concatenate([np.minimum(hi, at - half)[front], hi[back]])
+        self.lead_bytes = self.seed + half
+
     def candidates(self, replies: pa.Table) -> None:
-        """Keeps the anchors whose seeds occur elsewhere."""
+        """Keeps the anchors whose seeds occur elsewhere, in halves."""
         keys, _ = self.filter_keys()
-        found = exchange.answer_bits(replies, FILTER, exchange.sent_counts(keys, self.layout.bits, self.layout.buckets))
-        some = found[np.searchsorted(keys, self.short)] if len(keys) else np.zeros(0, bool)
-        self.at, self.lo, self.hi = self.at[some], self.lo[some], self.hi[some]
+        found = exchange.answer_bits(replies, FILTER, exchange.coarse_range(keys, self.layout.bits, self.layout))
+        self.halves(found[np.searchsorted(keys, self.short)] if len(keys) else np.zeros(0, bool))
+
+    def leads(self) -> list[bytes]:
+        flat = self.data.tobytes()
+        return [flat[a : a + self.lead_bytes] for a in self.lead.tolist()]
 
-    def contexts(self, splitters: np.ndarray) -> tuple[list[list[bytes]], list[list[bool]], list[bytes]]:
-        """Distinct contexts of each bucket in order, whether each occurs twice here, and each anchor's."""
+    def contexts(self, deal: "Dealt") -> tuple[dict[int, tuple[list[bytes], list[bool], list[int]]], list[bytes]]:
+        """By range sent to, the distinct contexts in order with whether each occurs twice
+        here and its bucket; and each half's context."""
         flat = self.data.tobytes()
         own = [flat[a:b] for a, b in zip(self.lo.tolist(), (self.hi + self.length).tolist(), strict=True)]
-        lead = np.array([flat[a : a + LEAD] for a in self.at.tolist()], dtype=f"S{LEAD}")
-        bucket = np.searchsorted(splitters, lead, side="right").tolist() if len(splitters) else [0] * len(own)
         times: dict[bytes, int] = {}
         place: dict[bytes, int] = {}
-        for c, b in zip(own, bucket, strict=True):
+        # contexts of the same bytes have the same windows, so the first place does for all
+        for c, b in zip(own, deal.buckets(self.leads()), strict=True):
             times[c] = times.get(c, 0) + 1
-            place[c] = b
-        held: list[list[bytes]] = [[] for _ in range(len(splitters) + 1)]
-        for c, b in place.items():
-            held[b].append(c)
-        for h in held:
-            h.sort()
-        return held, [[times[c] > 1 for c in h] for h in held], own
+            place.setdefault(c, b)
+        held: dict[int, tuple[list[bytes], list[bool], list[int]]] = {}
+        for c in sorted(place):
+            lists = held.setdefault(deal.coarse(place[c]), ([], [], []))
+            for x, v in zip(lists, (c, times[c] > 1, place[c]), strict=True):
+                x.append(v)
+        return dict(sorted(held.items())), own
+
+
+class Dealt:
+    """Buckets of leads: ranges between splitters, and ``parts`` buckets a range."""
+
+    def __init__(self, splitters: np.ndarray, layout: Layout):
+        self.splitters, self.layout = splitters, layout
+        self.parts = -(-layout.buckets // (len(splitters) + 1)) if len(splitters) + 1 >= MOST_RANGES else 1
+        self.per = -(-(len(splitters) + 1) * self.parts // layout.coarse) if layout.coarse else 1
+
+    def buckets(self, leads: list[bytes]) -> list[int]:
+        if not len(self.splitters):
+            return [0] * len(leads)
+        ranges = np.searchsorted(self.splitters, np.array(leads, dtype=self.splitters.dtype), side="right").tolist()
+        return ranges if self.parts == 1 else [r * self.parts + zlib.crc32(x) % self.parts for r, x in zip(ranges, leads, strict=True)]
+
+    def coarse(self, bucket: int) -> int:
+        return bucket // self.per
+
+
+class Contexts:
+    """Messages of contexts; a bucket answers a bit a window."""
+
+    def __init__(self, length: int):
+        self.length, self.answer = length, _bucket(length)
+
+    def merge(self, bodies: list[bytes], layout: Layout) -> tuple[np.ndarray, list[bytes], list[np.ndarray]]:
+        got = [unpack_contexts(b) for b in bodies]
+        twice: dict[bytes, bool] = {}
+        bucket: dict[bytes, int] = {}
+        for contexts, many, where in got:
+            for c, m, b in zip(contexts, many.tolist(), where.tolist(), strict=True):
+                twice[c] = m or c in twice
+                bucket[c] = b
+        held: dict[int, list[bytes]] = {}
+        for c in sorted(bucket):
+            held.setdefault(bucket[c], []).append(c)
+        begin, n = {}, 0
+        for b in sorted(held):
+            for c in held[b]:
+                begin[c] = n
+                n += len(c) - self.length + 1
+        places = [ranges(np.array([begin[c] for c in cs], dtype=np.int64), np.array([len(c) - self.length + 1 for c in cs], dtype=np.int64)) for cs, _, _ in got]
+        return np.array(sorted(held)), [pack_contexts(held[b], [twice[c] for c in held[b]], [b] * len(held[b])) for b in sorted(held)], places
+
+    def sizes(self, bodies: list[bytes]) -> list[int]:
+        return [sum(len(c) - self.length + 1 for c in unpack_contexts(b)[0]) for b in bodies]
+
+    reply = exchange.Bits.reply
 
 
 def equal_suffixes(flat: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -155,18 +223,19 @@ def equal_suffixes(flat: np.ndarray, starts: np.ndarray, length: int) -> np.ndar
     return out
 
 
-def pack_contexts(contexts: list[bytes], many: list[bool]) -> bytes:
+def pack_contexts(contexts: list[bytes], many: list[bool], buckets: list[int]) -> bytes:
     n = len(contexts)
-    return np.array([n], "<u8").tobytes() + np.array([len(c) for c in contexts], "<u4").tobytes() + np.packbits(np.array(many, bool)).tobytes() + b"".join(contexts)
+    return np.array([n], "<u8").tobytes() + np.array([[len(c) for c in contexts], buckets], "<u4").tobytes() + np.packbits(np.array(many, bool)).tobytes() + b"".join(contexts)
 
 
-def unpack_contexts(body: bytes) -> tuple[list[bytes], np.ndarray]:
+def unpack_contexts(body: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Contexts, whether each occurs twice, and their buckets."""
     n = int(np.frombuffer(body, "<u8", 1)[0])
-    sizes = np.frombuffer(body, "<u4", n, 8)
+    sizes, buckets = np.frombuffer(body, "<u4", 2 * n, 8).reshape(2, n)
     bits = (n + 7) // 8
-    many = np.unpackbits(np.frombuffer(body, np.uint8, bits, 8 + 4 * n), count=n).astype(bool)
-    cut = (8 + 4 * n + bits + np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))).tolist()
-    return [body[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], many
+    many = np.unpackbits(np.frombuffer(body, np.uint8, bits, 8 + 8 * n), count=n).astype(bool)
+    cut = (8 + 8 * n + bits + np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))).tolist()
+    return [body[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], many, buckets
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -189,7 +258,7 @@ def _bucket(length: int):
         number: dict[bytes, int] = {}
         twice: list[bool] = []
         where = []
-        for contexts, many in got:
+        for contexts, many, _ in got:
             ids = []
             for c, m in zip(contexts, many.tolist(), strict=True):
                 i = number.setdefault(c, len(number))
@@ -212,55 +281,58 @@ def _bucket(length: int):
     return run
 
 
-def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, seed: int = 48, bucket_bytes: int = 8 << 20, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, seed: int = 48, bucket_bytes: int = 8 << 20, layouts: tuple[Layout, Layout] | None = None, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """One row per document: ``key``, ``n_bytes``, ``n_removed``, ``removed`` (maximal byte
     intervals, end exclusive) and ``kept`` (the remaining bytes, joined).
 
+    ``layouts``: of the seeds and of the contexts, else made to the size of the input.
     ``carry``: other columns that come along.  ``whole_characters``: intervals shrink to
     whole UTF-8 characters, so that what is kept is a text again."""
     if not 8 <= seed < length:
         raise ValueError("seed is from 8 to length - 1")
     spark = df.sparkSession
-    layout = Layout.of(df, text, bytes_per_key=(length - seed) // 2)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(layout.chunks * (4 << 20) / bucket_bytes))
+    if layouts is None:
+        total = df.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        layouts = (Layout.sized(total, parts, bytes_per_key=(length - seed) // 2), Layout.sized(total, parts, bytes_per_key=CONTEXT_BYTES, bucket_keys=max(1, bucket_bytes // CONTEXT_BYTES), least_keys=LEAST_CONTEXTS))
+    layout, to = layouts
     carried = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)), F.lit(None).cast("int").alias("c"))
     docs = df.select(F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(layout.chunks)).cast("long").alias("chunk"), F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), carried.alias("carried"))
 
     def ask_seeds(table: pa.Table) -> pa.Table:
         chunk = _Chunk(table, length, seed, layout)
-        return exchange.messages(table["chunk"][0].as_py(), FILTER, *chunk.filter_keys(), layout.bits, layout.buckets)
+        return exchange.messages(table["chunk"][0].as_py(), FILTER, *chunk.filter_keys(), layout.bits, layout)
 
     def sample(table: pa.Table) -> pa.Table:
         chunk = _Chunk(table, length, seed, layout)
-        at = chunk.at[np.argsort(chunk.short * U64(kernels.MIX_1))[:SAMPLE_EACH]]
-        return pa.table({"lead": pa.array([chunk.data[a : a + LEAD].tobytes() for a in at.tolist()], pa.binary())})
+        chunk.halves(np.argsort(chunk.short * U64(kernels.MIX_1))[: SAMPLE_EACH // 2])
+        return pa.table({"lead": pa.array(chunk.leads(), pa.binary())})
 
     step = max(1, layout.chunks // SAMPLE_CHUNKS)
     leads = docs.where(F.col("chunk") % step == 0).where(F.col("chunk") < step * SAMPLE_CHUNKS).groupBy("chunk").applyInArrow(sample, "lead binary").toArrow()["lead"].to_pylist()
     leads.sort()
-    splitters = np.unique(np.array([leads[len(leads) * b // buckets] for b in range(1, buckets)] if leads else [], dtype=f"S{LEAD}"))
+    many = min(to.buckets, MOST_RANGES)
+    deal = Dealt(np.unique(np.array([leads[len(leads) * b // many] for b in range(1, many)] if leads else [], dtype=f"S{seed + (length - seed) // 2}")), to)
 
     def ask_suffixes(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
             return exchange.MESSAGE_ARROW.empty_table()
         chunk = _Chunk(table, length, seed, layout)
         chunk.candidates(replies)
-        held, many, _ = chunk.contexts(splitters)
-        rows = [(b, pack_contexts(h, m)) for b, (h, m) in enumerate(zip(held, many, strict=True)) if h]
-        n = len(rows)
-        return pa.table([pa.array([table["chunk"][0].as_py()] * n, pa.int64()), pa.array([SUFFIX] * n, pa.int32()), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=exchange.MESSAGE_ARROW)
+        held, _ = chunk.contexts(deal)
+        return exchange.rows(table["chunk"][0].as_py(), SUFFIX, list(held), [pack_contexts(*lists) for lists in held.values()])
 
-    found = exchange.answers(docs.groupBy("chunk").applyInArrow(ask_seeds, exchange.MESSAGE))
-    sorted_ = exchange.with_answers(docs, found, ask_suffixes, exchange.MESSAGE).groupBy("bucket").applyInArrow(_bucket(length), exchange.MESSAGE)
+    found = exchange.round_trip(docs.groupBy("chunk").applyInArrow(ask_seeds, exchange.MESSAGE), exchange.Bits(layout.bits), layout)
+    sorted_ = exchange.round_trip(exchange.with_answers(docs, found, ask_suffixes, exchange.MESSAGE), Contexts(length), to)
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = _Chunk(table, length, seed, layout)
         chunk.candidates(replies)
-        held, _, own = chunk.contexts(splitters)
-        counts = np.array([sum(len(c) - length + 1 for c in h) for h in held], dtype=np.int64)
-        bits = exchange.answer_bits(replies, SUFFIX, counts)
+        held, own = chunk.contexts(deal)
+        counts = np.array([sum(len(c) - length + 1 for c in h) for h, _, _ in held.values()], dtype=np.int64)
+        bits = exchange.answer_bits(replies, SUFFIX, np.array(list(held), dtype=np.int64), counts)
         begin, n = {}, 0
-        for h in held:
+        for h, _, _ in held.values():
             for c in h:
                 begin[c] = n
                 n += len(c) - length + 1

@@ -70,6 +70,38 @@ def test_bytes_against_brute_force(spark, length):
     assert have == Counter((r[0], *w) for r, w in zip(rows, removed_bytes(rows, length), strict=True))
 
 
+TWO_HOPS = exchange.Layout(chunks=7, buckets=23, bits=40, coarse=3, group=2)
+
+
+def test_words_in_two_hops(spark):
+    rows = corpus()
+    got = substring_dedup.remove_repeated(spark.createDataFrame(rows, SCHEMA), window=35, layout=TWO_HOPS).collect()
+    have = Counter((r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"])) for r in got)
+    assert have == Counter((r[0], *w) for r, w in zip(rows, removed_words(rows, 35), strict=True))
+
+
+def test_bytes_in_two_hops(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_RANGES", 6)  # so each range is dealt on to four buckets
+    rows = corpus()
+    got = suffix_dedup.remove_repeated(spark.createDataFrame(rows, SCHEMA), layouts=(TWO_HOPS, TWO_HOPS)).collect()
+    have = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["removed"]), bytes(r["kept"])) for r in got)
+    assert have == Counter((r[0], *w) for r, w in zip(rows, removed_bytes(rows, 200), strict=True))
+
+
+@pytest.mark.parametrize("gigabytes", [30, 1000, 100_000])
+@pytest.mark.parametrize("sizes", [{}, {"bytes_per_key": 76}, {"bytes_per_key": 256, "bucket_keys": 32768, "least_keys": 4}, {"chunk_bytes": 8 << 20, "bytes_per_key": 8}])
+def test_messages_follow_the_keys(gigabytes, sizes):
+    total = gigabytes * 10**9
+    layout = exchange.Layout.sized(total, 1000, **sizes)
+    keys = total // sizes.get("bytes_per_key", 6)
+    least = 4 if "least_keys" in sizes else 20 if "bytes_per_key" in sizes else 100
+    # keys that each hop carries, a message
+    hops = 1 if not layout.coarse else 3
+    assert hops * keys / layout.messages() >= least or layout.messages() <= 1 << 20
+    if layout.coarse:
+        assert layout.group * keys / layout.chunks / layout.coarse <= 2 * sizes.get("bucket_keys", exchange.BUCKET_KEYS) and layout.buckets < 1 << 24
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert substring_dedup.remove_repeated(none).count() == 0
