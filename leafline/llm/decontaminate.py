@@ -9,14 +9,15 @@ every alignment in which ``n`` words in a row are equal is found; one without su
 run (of three words: edits of every third word, score 0.52 at 30 words) is not.
 
 The test items are a stated query set that is held against all documents in blocks
-of at most ``block_items`` items, which bounds what is sent to the workers; the
-documents do not move.
+of about ``block_items`` items and ``block_bytes`` bytes, which bounds what is broadcast
+to the workers; the documents do not move.
 
 Words are lower-cased runs of letters and digits (all bytes above 127 are letters).
 Defined results: null or empty documents and items match nothing; an item shorter
 than ``n`` words has itself as its only seed; rows that repeat, on either side, each
-give their rows; an empty table on either side gives an empty result; other columns
-are not read.
+give their rows; of equally good stretches of a text the first counts; very long texts
+and items are aligned whole; an empty table on either side gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from leafline.llm.kernels import U64
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bits below the score in an alignment cell; they hold where the alignment started.
-START_BITS = 22
+START_BITS = 32
 #: Slots of the table that tells most n-grams from seeds before they are searched.
 SLOTS = 1 << 20
 
@@ -131,8 +132,9 @@ def _passages(words: np.ndarray, off: np.ndarray, items: Items, least: float) ->
     return [tuple(x) for x in out]
 
 
-def _aligned(items: Items, least: float, names: list[str], batch_pairs: int = 256):
+def _aligned(sent, least: float, names: list[str], batch_pairs: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: Items = sent.value
         for batch in batches:
             keys = batch.column(0)
             row, item, score, start, end = [], [], [], [], []
@@ -147,7 +149,7 @@ def _aligned(items: Items, least: float, names: list[str], batch_pairs: int = 25
                     k += size
                     for (d, i, a, _), (points, s, e) in zip(part, align([(items.words[x[1]], words[x[2] : x[3]]) for x in part]), strict=True):
                         got = (points / (MATCH * len(items.words[i])), a + s - int(word_off[d]), a + e - int(word_off[d]))
-                        if got[0] >= least and got > best.get((d, i), (0.0,)):
+                        if got[0] >= least and ((d, i) not in best or (got[0], -got[1]) > (best[d, i][0], -best[d, i][1])):
                             best[d, i] = got
                 for (d, i), (x, a, b) in sorted(best.items()):
                     row.append(first + d)
@@ -160,11 +162,12 @@ def _aligned(items: Items, least: float, names: list[str], batch_pairs: int = 25
     return run
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 3, least: float = 0.5, block_items: int = 20_000) -> DataFrame:
+def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 3, least: float = 0.5, block_items: int = 20_000, block_bytes: int = 32 << 20) -> DataFrame:
     """One row per document and item whose alignment scores at least ``least``:
     ``key``, ``item``, ``score``, ``start_word``, ``end_word`` (end exclusive)."""
     bench = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
-    parts = math.ceil(bench.count() / block_items) or 1
+    size = bench.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts = max(1, math.ceil(size["n"] / block_items), math.ceil((size["bytes"] or 0) / block_bytes))
     kind = df.select(F.col(key).alias(key)).schema[0].dataType.simpleString()
     schema = f"`{key}` {kind}, `{item}` long, score double, start_word int, end_word int"
     names = [key, item, "score", "start_word", "end_word"]
@@ -174,6 +177,6 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         items = Items(block.column(0).to_pylist(), block.column(1), n)
         if not len(items.keys):
             continue
-        found = df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(_aligned(items, least, names), schema)
+        found = df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(_aligned(df.sparkSession.sparkContext.broadcast(items), least, names), schema)
         out = found if out is None else out.unionByName(found)
     return df.sparkSession.createDataFrame([], schema) if out is None else out

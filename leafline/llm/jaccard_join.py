@@ -135,7 +135,8 @@ def _u4(body: bytes, n: int) -> np.ndarray:
 
 def ordered_sets(sets: DataFrame, percent: int, layout: Layout | None = None) -> DataFrame:
     """``id``, ``n``, ``items`` (shared shingles, sorted), ``prefix`` (the shared ones of the
-    prefix, rarest first) and ``skip`` (unshared ones before them) of sets that can link."""
+    prefix, rarest first), ``skip`` (unshared ones before them) and ``levels`` (a byte for each
+    of the prefix: the class of its document frequency) of sets that can link."""
     if layout is None:
         parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         total = sets.agg(F.sum(F.octet_length("shared")).alias("n")).first()["n"] or 0
@@ -152,7 +153,7 @@ def ordered_sets(sets: DataFrame, percent: int, layout: Layout | None = None) ->
         return exchange.messages(table["chunk"][0].as_py(), RARITY, keys, np.zeros(len(keys), bool), 64, layout, n.astype("<u4"))
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
-        names = ["id", "n", "items", "prefix", "skip"]
+        names = ["id", "n", "items", "prefix", "skip", "levels"]
         h, off = hashes(table) if len(table) else (np.zeros(0, U64), np.zeros(1, np.int64))
         keys, of = np.unique(h, return_inverse=True)
         at = dict(zip(replies["bucket"].to_pylist(), replies["body"].to_pylist(), strict=True))
@@ -166,38 +167,107 @@ def ordered_sets(sets: DataFrame, percent: int, layout: Layout | None = None) ->
                 continue
             skip = n - len(items)
             order = np.lexsort((items, lv))[: max(0, n - least + 1 - skip)]
-            out.append((k, n, items.tobytes(), items[order].tobytes(), skip))
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+            out.append((k, n, items.tobytes(), items[order].tobytes(), skip, lv[order].tobytes()))
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     kind = exchange.Counts(64, _rarity, _u4, lambda c: c[0].astype("<u4").tobytes(), lambda b, n: np.frombuffer(b, np.uint8, n)[None, :], lambda a: a[0].tobytes())
     told = exchange.round_trip(rows.groupBy("chunk").applyInArrow(ask, exchange.MESSAGE), kind, layout)
-    return exchange.with_answers(rows, told, finish, "id long, n long, items binary, prefix binary, skip long")
+    return exchange.with_answers(rows, told, finish, "id long, n long, items binary, prefix binary, skip long, levels binary")
 
 
-ENTRY = np.dtype([("h", "<u8"), ("id", "<i8"), ("n", "<i8"), ("at", "<i8"), ("component", "<i8")])
+ENTRY = np.dtype([("h", "<u8"), ("id", "<i8"), ("n", "<i8"), ("at", "<i4"), ("side", "<i4"), ("component", "<i8")])
+#: Sets with one shingle that are one group of work; a commoner shingle is many groups.
+MOST_IN_GROUP = 200_000
 
 
-def _entries(buckets: int, ends: int | None = None):
+def _prefix_entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of some prefixes, the group count that the frequency of each shingle
+    asks for, each entry's place in its prefix and the prefix's size."""
+    ids, n, skip, component = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 5))
+    data, off = kernels.column_bytes(batch.column(2))
+    h = np.frombuffer(data.tobytes(), U64)
+    level = kernels.column_bytes(batch.column(4))[0]
+    size = np.diff(off // 8)
+    e = np.zeros(len(h), dtype=ENTRY)
+    e["h"], e["id"], e["n"], e["component"], e["side"] = h, np.repeat(ids, size), np.repeat(n, size), np.repeat(component, size), -1
+    nth = np.arange(len(h)) - np.repeat((off // 8)[:-1], size)
+    e["at"] = nth + np.repeat(skip, size)
+    return e, level, nth, np.repeat(size, size)
+
+
+def _groups(level: np.ndarray, most: int) -> np.ndarray:
+    """Groups into which the sets of a shingle of that frequency class are dealt."""
+    return np.ceil(2.0 ** ((level.astype(np.float64) + 1) / 4) / most).astype(np.int64)
+
+
+def _regrouped(h: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Another key for each group of a shingle that is dealt to many."""
+    return kernels.mix(h + kernels.mix(group.astype(U64) + U64(1)))
+
+
+def _packed(e: np.ndarray, buckets: int) -> pa.RecordBatch:
+    e = e[np.argsort(e["h"])]
+    at, cuts = exchange.spans(exchange.range_of(e["h"], 64, buckets))
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([e[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())], names=["bucket", "body"])
+
+
+def _entries(buckets: int, most: int, salt: int | None, ends: int | None = None):
     """The prefixes of a batch of sets as packed entries of each key range; with ``ends``,
-    only so many of the rarest and of the commonest shingles of each prefix."""
+    only so many of the rarest and of the commonest shingles of each prefix.  The sets of
+    a shingle in more than ``most`` sets are dealt to groups by ``salt``, or left out if
+    that is None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e, level, nth, size = _prefix_entries(batch)
+            groups = _groups(level, most)
+            hot = groups > 1
+            if salt is None:
+                keep = ~hot
+            else:
+                dealt = kernels.mix(e["id"].astype(U64) + U64(salt << 32)) % groups.astype(U64)
+                e["h"] = np.where(hot, _regrouped(e["h"], dealt), e["h"])
+                keep = np.ones(len(e), bool) if ends is None else (nth < ends) | (nth >= size - ends)
+            yield _packed(e[keep], buckets)
+
+    return run
+
+
+HOT = "h long, groups long, id long, n long, at int, component long"
+
+
+def _hot_entries(most: int):
+    """The entries of shingles in more than ``most`` sets, one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e, level, _, _ = _prefix_entries(batch)
+            groups = _groups(level, most)
+            e, groups = e[groups > 1], groups[groups > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e["h"]).view(np.int64)), pa.array(groups), pa.array(e["id"]), pa.array(e["n"]), pa.array(e["at"]), pa.array(e["component"])], names=["h", "groups", "id", "n", "at", "component"])
+
+    return run
+
+
+def _in_pairs_of_groups(buckets: int):
+    """Hot entries as packed entries of every pair of groups that has their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n, skip, component = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4))
-            data, off = kernels.column_bytes(batch.column(2))
-            h = np.frombuffer(data.tobytes(), U64)
-            size = np.diff(off // 8)
-            e = np.empty(len(h), dtype=ENTRY)
-            e["h"], e["id"], e["n"], e["component"] = h, np.repeat(ids, size), np.repeat(n, size), np.repeat(component, size)
-            e["at"] = np.arange(len(h)) - np.repeat((off // 8)[:-1], size) + np.repeat(skip, size)
-            if ends is not None:
-                nth = np.arange(len(h)) - np.repeat((off // 8)[:-1], size)
-                e = e[(nth < ends) | (nth >= np.repeat(size, size) - ends)]
-            e = e[np.argsort(e["h"])]
-            at, cuts = exchange.spans(exchange.range_of(e["h"], 64, buckets))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([e[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())], names=["bucket", "body"])
+            h, groups, ids, n, at, component = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            own = (kernels.mix(ids.astype(U64)) % groups.astype(U64)).astype(np.int64)
+            begin = np.cumsum(groups) - groups
+            other = np.arange(int(groups.sum())) - np.repeat(begin, groups)
+            e = np.zeros(len(other), dtype=ENTRY)
+            for name, column in (("id", ids), ("n", n), ("at", at), ("component", component)):
+                e[name] = np.repeat(column, groups)
+            own, groups = np.repeat(own, groups), np.repeat(groups, groups)
+            pair = np.minimum(own, other) * groups + np.maximum(own, other)
+            e["h"] = _regrouped(np.repeat(h.view(U64), batch.column(1).to_numpy()), pair)
+            e["side"] = np.where(own == other, -1, own)
+            yield _packed(e, buckets)
 
     return run
 
@@ -270,7 +340,7 @@ def _across(percent: int, block: int = 1 << 20):
                 for w in range(u, v, span):
                     x = min(v, w + span)
                     a, b = np.repeat(e[w:x], rest), np.tile(e[v:t], x - w)
-                    ok = _fits(a, b, percent)
+                    ok = _fits(a, b, percent) & ((a["side"] < 0) | (a["side"] != b["side"]))
                     left.append(a[ok])
                     right.append(b[ok])
                     held += int(ok.sum())
@@ -319,23 +389,38 @@ def links(pairs: DataFrame, ordered: DataFrame, percent: int, fragments: int) ->
     return summed.where(F.col("common") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("common")))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, fragments: int = 2, hubs: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, fragments: int = 2, hubs: int = 3, layout: Layout | None = None, most: int = MOST_IN_GROUP, bucket_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: ``key``, ``n_shingles`` and ``component_id``, the least id that
-    it reaches by links of Jaccard similarity of at least ``percent`` hundredths."""
+    it reaches by links of Jaccard similarity of at least ``percent`` hundredths.
+
+    The key ranges in which sets meet hold about ``bucket_bytes`` of entries; a shingle
+    that more than ``most`` sets share is many groups of work."""
     spark = df.sparkSession
-    sets = scratch.stored(shared_sets(df, key, text, width, percent), "sets")
+    sets = scratch.stored(shared_sets(df, key, text, width, percent, layout), "sets")
     some = sets.where("sig IS NOT NULL")
     classes = some.groupBy("sig").agg(F.min("id").alias("class"))
     own = some.where("shared IS NOT NULL").join(classes, (some["sig"] == classes["sig"]) & (some["id"] == classes["class"])).select(some["id"], "n", "shared")
-    ordered = scratch.stored(ordered_sets(own, percent), "ordered")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = scratch.stored(ordered_sets(own, percent, layout), "ordered")
+    entries = (ordered.agg(F.sum(F.octet_length("prefix")).alias("n")).first()["n"] or 0) // 8
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries * ENTRY.itemsize / bucket_bytes))
 
-    def met(rows: DataFrame, each, ends: int | None = None) -> DataFrame:
-        packed = rows.mapInArrow(_entries(buckets, ends), "bucket int, body binary")
+    def paired(packed: DataFrame, each) -> DataFrame:
         return packed.groupBy("bucket").applyInArrow(each, PAIR).groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
 
+    def met(rows: DataFrame, each, salt: int, ends: int | None = None) -> DataFrame:
+        return paired(rows.mapInArrow(_entries(buckets, most, salt, ends), "bucket int, body binary"), each)
+
+    def met_across(rows: DataFrame) -> DataFrame:
+        """All that share a prefix shingle and are in different components; a shingle of many
+        groups only where it has more than one component."""
+        packed = rows.mapInArrow(_entries(buckets, most, None), "bucket int, body binary")
+        hot = rows.mapInArrow(_hot_entries(most), HOT)
+        mixed = hot.groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("greatest")).where("least <> greatest").select("h")
+        split = hot.join(mixed, "h").select("h", "groups", "id", "n", "at", "component").mapInArrow(_in_pairs_of_groups(buckets), "bucket int, body binary")
+        return paired(packed.unionByName(split), _across(percent))
+
     def placed(label: DataFrame) -> DataFrame:
-        return ordered.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "prefix", "skip", F.coalesce("component", "id").alias("component"))
+        return ordered.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "prefix", "skip", "levels", F.coalesce("component", "id").alias("component"))
 
     def best(pairs: DataFrame) -> DataFrame:
         """Each set's ``hubs`` partners met most often; all others are left to later rounds."""
@@ -350,11 +435,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         found = links(pairs, ordered, percent, fragments).select("a", "b")
         return components(found if label is None else label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 
-    single = ordered.select("id", "n", "prefix", "skip", F.col("id").alias("component"))
-    label = joined_by(None, best(met(single, _hubs(percent), ends=hubs)))
+    single = ordered.select("id", "n", "prefix", "skip", "levels", F.col("id").alias("component"))
+    label = joined_by(None, best(met(single, _hubs(percent), 0, hubs)))
     for salt in range(NEIGHBOUR_ROUNDS):
-        label = joined_by(label, met(placed(label), _neighbours(percent, salt + 1)))
-    label = joined_by(label, met(placed(label), _across(percent)))
+        label = joined_by(label, met(placed(label), _neighbours(percent, salt + 1), salt + 1))
+    label = joined_by(label, met_across(placed(label)))
     named = classes.join(label.withColumnRenamed("node", "class"), "class", "left").select("sig", F.coalesce("component", "class").alias("component_id"))
     alone = sets.where("sig IS NULL").select("id", "n", F.col("id").alias("component_id"))
     joined = some.select("id", "n", "sig").join(named, "sig").select("id", "n", "component_id")

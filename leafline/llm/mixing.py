@@ -15,8 +15,9 @@ and over the documents of one block, never over all documents of a source.
 
 Defined results: a null source is a source of its own; documents without tokens are
 scheduled once with each whole pass and cost nothing; rows that repeat are documents
-of their own and may share a place; an empty table gives an empty schedule; other
-columns pass through, but for the new ones, which must be new.  Where so many sources
+of their own and may share a place; only counts of tokens matter, however long a text
+is; an empty table gives an empty schedule; other columns pass through, and where one
+has a name of the new columns, the new one gets a trailing ``_``.  Where so many sources
 share the greatest count that no exponent brings the entropy down to the target (as when
 all are equal), the natural shares are kept, exponent 1, with a warning.
 """
@@ -150,10 +151,18 @@ def realise(df: DataFrame, made: Plan) -> DataFrame:
     """One row for each time that a document is scheduled: the columns of ``df`` and
     ``epoch`` (from 0), ``block``, ``block_rank`` (the block's place in its source) and
     ``place`` (the order in the block).  Rows meet only the tables of sources and blocks."""
-    placed = _placed(df, made.quotas, made.source, made.keys, made.seed)
-    chosen = placed.join(made.ends, F.col(made.source).eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
+    given = F.struct(*(F.col(f"`{c}`").alias(c) for c in df.columns)).alias("m_row")
+    own = list(dict.fromkeys((made.source, *made.keys)))
+    placed = _placed(df.select(given, *(F.col(f"`{c}`").alias(f"m_key_{k}") for k, c in enumerate(own))), made.quotas, f"m_key_{own.index(made.source)}", tuple(f"m_key_{own.index(c)}" for c in made.keys), made.seed)
+    chosen = placed.join(made.ends, F.col(f"m_key_{own.index(made.source)}").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
     times = F.col("m_passes") + F.when(F.coalesce(F.col("place") <= F.col("m_until"), F.lit(False)), 1).otherwise(0)
-    return chosen.withColumn("m_times", times.cast("int")).where("m_times > 0").select(*df.columns, F.explode(F.sequence(F.lit(0), F.col("m_times") - 1)).alias("epoch"), "block", "block_rank", "place")
+    used = chosen.withColumn("m_times", times.cast("int")).where("m_times > 0").select("m_row", F.explode(F.sequence(F.lit(0), F.col("m_times") - 1)).alias("epoch"), "block", "block_rank", "place")
+    names = list(df.columns)
+    for c in ("epoch", "block", "block_rank", "place"):
+        while c in names:
+            c += "_"
+        names.append(c)
+    return used.select(*(F.col("m_row").getField(c).alias(c) for c in df.columns), *(F.col(c).alias(n) for c, n in zip(("epoch", "block", "block_rank", "place"), names[len(df.columns) :], strict=True)))
 
 
 def schedule(df: DataFrame, **options) -> DataFrame:

@@ -5,9 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from leafline.llm import components, embedding_dedup, jaccard_join
+from leafline.llm import components, embedding_dedup, exchange, jaccard_join
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -61,6 +62,30 @@ def test_jaccard_against_brute_force(spark):
     assert Counter(got) == Counter((i, len(sets[i]), want[i]) for i, _ in rows)
 
 
+@pytest.mark.parametrize("options", [{"most": 3}, {"most": 2, "bucket_bytes": 2000}, {"layout": exchange.Layout(chunks=5, buckets=11, bits=40, coarse=3, group=2)}])
+def test_jaccard_in_many_groups_and_hops(spark, options):
+    rows = near_corpus()
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and sets[b]]
+    want = least_reachable(sets, links)
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
+    assert Counter(map(tuple, got)) == Counter((i, len(sets[i]), want[i]) for i, _ in rows)
+
+
+def test_pairs_of_groups_hold_every_pair_of_sets():
+    made = np.random.default_rng(6)
+    e = np.zeros(60, dtype=jaccard_join.ENTRY)
+    e["id"], e["n"], e["component"] = np.arange(60), 50, made.integers(0, 9, 60)
+    hot = pa.RecordBatch.from_arrays([pa.array(np.full(60, 7)), pa.array(np.full(60, 4)), pa.array(e["id"]), pa.array(e["n"]), pa.array(e["at"]), pa.array(e["component"])], names=["h", "groups", "id", "n", "at", "component"])
+    packed = pa.Table.from_batches(list(jaccard_join._in_pairs_of_groups(5)([hot])))
+    found = Counter()
+    for b in set(packed["bucket"].to_pylist()):
+        t = jaccard_join._across(80)(packed.filter(pa.array([x == b for x in packed["bucket"].to_pylist()])))
+        found.update(zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True))
+    part = e["component"]
+    assert found == Counter((a, b) for a in range(60) for b in range(a + 1, 60) if part[a] != part[b])
+
+
 def test_jaccard_null_id_and_empty_table(spark):
     schema = "doc_id long, text string"
     assert jaccard_join.near_duplicates(spark.createDataFrame([], schema)).count() == 0

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from leafline.llm import decontaminate, language_id, lm_score, scratch, token_count, warc
+from leafline.llm import decontaminate, exchange, kernels, language_id, lm_score, scratch, token_count, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -210,6 +210,40 @@ def test_edits_that_leave_few_seeds(spark, exact):
         assert r["score"] == smith_waterman(items[r["item_id"]], words) / 60 >= 0.5
 
 
+def test_all_pairs_at_rates_of_edits(spark):
+    """Every pair of document and item, aligned whole, and what the operator finds."""
+    made = random.Random(21)
+    word = lambda: "".join(made.choice("abcdefghij") for _ in range(made.randint(2, 6)))
+    text = lambda n: [word() for _ in range(n)]
+
+    def edit(w, rate):
+        kind = made.random()
+        return [w] if made.random() >= rate else [] if kind < 0.2 else [w, word()] if kind < 0.4 else [word()]
+
+    items = [text(40) for _ in range(50)]
+    docs, rates = [], (0.1, 0.2, 0.25, 0.3, 0.33)
+    for rate in rates:
+        docs += [text(60) + [x for w in item for x in edit(w, rate)] + text(60) for item in items]
+    h = lambda words: decontaminate.hashed_words(*kernels.column_bytes(pa.array([" ".join(words)])))[0]
+    items_h, docs_h = [h(x) for x in items], [h(x) for x in docs]
+    want = set()
+    for d, words in enumerate(docs_h):
+        want |= {(d, k) for k, got in enumerate(decontaminate.align([(i, words) for i in items_h])) if got[0] >= 40}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string"), bench).collect()}
+    assert found <= want
+    for k, rate in enumerate(rates):
+        true = {p for p in want if p[0] // 50 == k}
+        print(f"edits {rate}: {len(found & true)} of {len(true)} pairs")
+        assert len(found & true) >= 0.98 * len(true)
+
+
+def test_alignment_at_the_end_of_a_very_long_passage():
+    passage = np.arange(10, 10 + 4_400_000, dtype=np.uint64)
+    passage[200_000:200_002], passage[-3:] = [1, 2], [1, 2, 3]
+    assert decontaminate.align([(np.array([1, 2, 3], dtype=np.uint64), passage)]) == [(6, 4_399_997, 4_400_000)]
+
+
 # Tokens
 
 
@@ -270,6 +304,9 @@ def test_scores_against_brute_force(spark):
         assert r["n_tokens"] == len(ws) and r["loss_target"] == pytest.approx(losses[0]) and r["loss_background"] == pytest.approx(losses[1])
         assert r["score"] is None if not ws else r["score"] == pytest.approx((losses[0] - losses[1]) / len(ws))
     assert lm_score.score(df.limit(0), wanted).count() == 0
+    hops = lm_score.score(df, wanted, layout=exchange.Layout(chunks=7, buckets=13, bits=48, coarse=3, group=2))
+    plain = lambda r: tuple(0.0 if v is None else v for v in r)
+    assert {r["doc_id"]: plain(r) for r in hops.collect()} == {k: pytest.approx(plain(r), rel=1e-9) for k, r in got.items()}
     assert lm_score.score(df, wanted.limit(0)).count() == len(docs)
 
 
