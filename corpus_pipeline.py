@@ -4,6 +4,9 @@ Stages take and return the columns of ``documents``, but for the last, whose row
 the training schedule: a row for each time that a document is used.  SQL cannot
 express the language model, the alignment or the suffix order, so there is no
 ``ORACLE_SQL``; the tests hold the stages against brute force.
+
+For all stages: other columns than those named pass through, whatever their names and
+types; an empty table gives an empty table; very long texts are handled whole.
 """
 
 from __future__ import annotations
@@ -19,23 +22,37 @@ from leafline.llm import decontaminate, jaccard_join, language_id, mixing, scrat
 LEAST_LANGUAGE_SCORE = 0.4
 
 
+def _packed(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns ``own`` and, in the struct ``carried``, all others, so that no name can clash."""
+    rest = [F.col(f"`{c}`").alias(c) for c in docs.columns if c not in own]
+    return docs.select(*own, F.struct(*rest, F.lit(None).cast("int").alias("carried_end")).alias("carried"))
+
+
+def _unpacked(packed: DataFrame, docs: DataFrame, *own: str) -> DataFrame:
+    """The columns of ``docs`` again, in their order."""
+    return packed.select(*(F.col(c) if c in own else F.col("carried").getField(c).alias(c) for c in docs.columns))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters or without a likely language.
 
-    Null and empty texts go.  The model learns from the stage's labelled documents."""
+    The model learns from the stage's labelled documents.  Null and empty texts, and
+    without any label all texts, go; a null id is held out of no training.  Equal scores
+    go to the first language in alphabetical order, so equal texts stay or go together."""
     model = language_id.fit(docs.where(~language_id.held_out()).select("text", "lang"))
-    found = language_id.predict(docs, model, keep=True)
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    found = language_id.predict(_packed(docs, "text"), model, keep=True)
+    return _unpacked(found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)), docs, "text")
 
 
 def _repeated_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose id no other row has, and one of each id and text of the others.
+    """The rows of packed documents whose id no other row has, and one of each id and text of
+    the others.
 
     The others, those with a null id among them, have a ``digest`` of the text and a
     ``row``, a number that is no id.  Only they are written."""
     again = scratch.stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     others = docs.where("doc_id IS NULL").unionByName(docs.join(again, "doc_id", "left_semi")).withColumn("digest", F.sha2("text", 256))
-    rank = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text"))))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(F.to_json("carried")))
     others = others.withColumn("rank", rank).where("rank = 1").drop("rank").withColumn("at", F.monotonically_increasing_id())
     others = scratch.stored(others, "repeated-rows")
     # one row a partition that was written
@@ -58,8 +75,9 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Documents without words are no copies and stay.  Rows are documents of their own,
     with a null id or one that others have, too: of rows equal in id and text one is
-    kept, then of a group the row with the least id, a null id last, and text digest."""
-    single, others = _repeated_rows(docs)
+    kept, then of a group the row with the least id, a null id last, and text digest.
+    Rows that share an id and differ in text are told apart."""
+    single, others = _repeated_rows(_packed(docs, "doc_id", "text"))
     rows = single.select(F.col("doc_id").alias("row"), "text").unionByName(others.select("row", "text"))
     groups = scratch.stored(jaccard_join.near_duplicates(rows, "row", "text"), "near-copies")
     known = groups.join(others.select("row", "doc_id", "digest", F.lit(True).alias("other")), "row", "left")
@@ -67,32 +85,40 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     kept = known.groupBy("component_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("kept"))
     gone = scratch.stored(known.join(kept, "component_id").where("row <> kept").select("row"), "gone")
     left = single.join(gone.select(F.col("row").alias("doc_id")), "doc_id", "left_anti")
-    return left.select(*docs.columns).unionByName(others.join(gone, "row", "left_anti").select(*docs.columns))
+    every = left.select(*single.columns).unionByName(others.join(gone, "row", "left_anti").select(*single.columns))
+    return _unpacked(every, docs, "doc_id", "text")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts strings of 200 bytes that occur twice, to whole characters; texts of which nothing is left go.
 
-    ``n_chars`` follows the text; texts that were empty before stay."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = suffix_dedup.remove_repeated(docs, "doc_id", "text", carry=rest, whole_characters=True)
-    cut = cut.where("n_removed = 0 OR octet_length(kept) > 0").withColumn("text", F.col("kept").cast("string"))
-    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    ``n_chars`` follows the text; null texts and those that were empty before stay as they
+    are.  Rows that repeat are documents of their own, so each is a copy of the other."""
+    cut = suffix_dedup.remove_repeated(_packed(docs, "doc_id", "text", "n_chars").withColumn("unread", F.col("text").isNull()), "doc_id", "text", carry=("carried", "unread"), whole_characters=True)
+    cut = cut.where("n_removed = 0 OR octet_length(kept) > 0").withColumn("text", F.when(~F.col("unread"), F.col("kept").cast("string")))
+    return _unpacked(cut.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)), docs, "doc_id", "text", "n_chars")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a test item or an edited copy of one.
 
-    Rows go by id and text, so rows with a null id go as well."""
+    Rows go by id and text, so rows with a null id go as well, and rows that repeat go
+    together.  Null texts match nothing and stay."""
+    packed = _packed(docs, "doc_id", "text")
     digest = F.sha2("text", 256)
     named = docs.select(F.struct("doc_id", digest.alias("digest")).alias("row"), "text")
     found = decontaminate.contaminated(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row")
     gone = scratch.stored(found.select(F.col("row.doc_id").alias("gone_id"), F.col("row.digest").alias("gone_digest")).distinct(), "contaminated")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_digest")), "left_anti").select(*docs.columns)
+    left = packed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_digest")), "left_anti")
+    return _unpacked(left, docs, "doc_id", "text")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The schedule that mixes the sources at nine tenths of the greatest entropy."""
+    """The schedule that mixes the sources at nine tenths of the greatest entropy.
+
+    A null source is a source of its own; null and empty texts cost nothing; rows that
+    repeat may share a place and are used equally often.  Where a column of the documents
+    has a name of the schedule's, the schedule's gets a trailing ``_``."""
     light = scratch.stored(mixing.count_words(docs.select("doc_id", "source", "text"), "text").select("doc_id", "source", "tokens"), "tokens")
     return mixing.realise(docs, mixing.plan(light))
 
