@@ -140,7 +140,7 @@ def ordered_sets(sets: DataFrame, percent: int, layout: Layout | None = None) ->
     if layout is None:
         parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         total = sets.agg(F.sum(F.octet_length("shared")).alias("n")).first()["n"] or 0
-        layout = Layout.sized(total, parts, chunk_bytes=8 << 20, bytes_per_key=8)
+        layout = Layout.sized(total, parts, bytes_per_key=8)
     chunks = layout.chunks
     rows = sets.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("long").alias("chunk"), "id", "n", "shared")
 

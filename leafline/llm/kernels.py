@@ -31,7 +31,7 @@ BARE = LOWER.copy()
 BARE[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
 
 #: Bytes that are hashed at once; bounds the memory of the 8-byte work arrays.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

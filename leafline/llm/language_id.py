@@ -44,7 +44,7 @@ MOST_LANGUAGES = 1000
 #: Added to every count, those of unseen words among them.
 PRIOR = 0.5
 #: Characters that are scored at once.
-BLOCK_CHARACTERS = 1 << 19
+BLOCK_CHARACTERS = 1 << 18
 CHAR_BASE = 0x8CB92BA72F3D8DD7
 
 _LETTERS: list[np.ndarray] = []
