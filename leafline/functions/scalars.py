@@ -3,19 +3,13 @@
 from __future__ import annotations
 
 import json
-import re
-import unicodedata
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Typographic characters and the plain ones they are compared as.
-CURLY = "‘’‚‛“”„‐‑‒–—―−"
-PLAIN = "''''\"\"\"-------"
-
+from leafline.functions import compare, reasons
 
 def squeeze(c: Column) -> Column:
     """One space for each run of white space, none at the ends."""
@@ -27,34 +21,16 @@ def bare(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)[^\w]", "")
 
 
-def fold_marks(c: Column) -> Column:
-    """Quotes and dashes in one form, markdown marks gone, dot runs as an ellipsis."""
-    c = F.translate(c, CURLY, PLAIN)
-    c = F.regexp_replace(c, r"[*_`]+", "")
-    return F.regexp_replace(c, r"\.(?:\s*\.)+", "...")
-
-
 @F.arrow_udf(StringType())
-def nfkc(texts: pa.Array) -> pa.Array:
-    """Unicode compatibility form; Spark has no built-in for it."""
-    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+def compare_text(texts: pa.Array) -> pa.Array:
+    """The form in which readings of one text are compared (``compare.key_of``)."""
+    return pa.array([None if t is None else compare.key_of(t) for t in texts.to_pylist()], pa.string())
 
 
-def compare_text(c: Column) -> Column:
-    """The form in which readings of one text are compared."""
-    c = fold_marks(nfkc(c))
-    c = F.regexp_replace(c, r"(?U)\s*(\.\.\.)\s*", "$1")
-    c = F.regexp_replace(c, r"(?U)\s*-\s*", "-")
-    c = F.regexp_replace(c, r"(?U)([§¶])\s+", "$1")
-    c = F.regexp_replace(c, r"(?U)([(\[])\s+", "$1")
-    c = F.regexp_replace(c, r"(?U)\s+([)\],;:.])", "$1")
-    c = F.regexp_replace(c, r"(?U)\b(\p{Lu}\.)\s+(?=\p{Lu}\.)", "$1")
-    return squeeze(c)
-
-
-def strip_star(c: Column) -> Column:
-    """Without a leading star page of two digits or more, and a bracket token after it."""
-    return F.regexp_replace(c, r"^\s*\*\d{2,}\s*(?:\[[^\]]*\]\s*)?", "")
+@F.arrow_udf(StringType())
+def strip_star(texts: pa.Array) -> pa.Array:
+    """Without a star page of two digits or more in front, and a bracket of numbers after it."""
+    return pa.array([None if t is None else reasons.without_star(t) for t in texts.to_pylist()], pa.string())
 
 
 def heading_words(c: Column) -> Column:
@@ -101,38 +77,6 @@ def digest(*columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-# Reasons why readings of one place differ, in the order in which they are tried.
-MINOR = (("spacing", r"\s+"), ("quotes", r"[\"']"), ("hyphen", r"-"), ("punctuation", r"[^\w\s]"))
-
-
-def difference(readings: list[str | None]) -> str:
-    """The reason why readings differ; ``same`` if they do not."""
-    if len(readings) < 2:
-        return "single"
-    texts = [r or "" for r in readings]
-    if len(set(texts)) == 1:
-        return "same" if texts[0] else "nothing_read"
-    folded = [unicodedata.normalize("NFKC", t).translate(str.maketrans(CURLY, PLAIN)) for t in texts]
-    for name, gone in MINOR:
-        folded = [re.sub(gone, "", t) for t in folded]
-        if len(set(folded)) == 1 and folded[0]:
-            return name
-    if len({t.lower() for t in folded}) == 1 and folded[0]:
-        return "capitals"
-    if not any(folded):
-        return "nothing_read"
-    if not all(folded):
-        return "missing"
-    words = [re.findall(r"\w+", t.lower()) for t in texts]
-    ratios = [SequenceMatcher(None, a, b, autojunk=False).ratio() for i, a in enumerate(words) for b in words[i + 1 :]]
-    return "different_text" if min(ratios) < 0.5 and max(map(len, words)) >= 4 else "words_differ"
-
-
-@F.arrow_udf(StringType())
-def difference_type(readings: pa.Array) -> pa.Array:
-    return pa.array([None if r is None else difference(r) for r in readings.to_pylist()], pa.string())
-
-
 def repair(text: str | None, most: int = 3) -> str | None:
     """JSON that parses after at most ``most`` one-character edits where the parser stops; else null."""
     for _ in range(most + 1):

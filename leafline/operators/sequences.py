@@ -126,3 +126,54 @@ def slot_order(pages: DataFrame, edits: DataFrame, key: str, page: str) -> DataF
     every = rows.withColumn("_tie", F.col("source")).unionByName(new)
     order = Window.partitionBy(key).orderBy("_slot", "_rank", "_tie")
     return every.withColumn("final", F.row_number().over(order) - 1).select(key, "source", "final")
+
+
+def trailing_gap(df: DataFrame, keys: Sequence[str], order: str, known: Column) -> DataFrame:
+    """The run of rows after each key's last known one, as one placeholder ``(start, end, n)``."""
+    last = F.max(F.when(known, F.col(order)))
+    ends = df.groupBy(*keys).agg(last.alias("_last"), F.max(order).alias("end"), F.min(order).alias("_first"))
+    start = F.coalesce(F.col("_last") + 1, F.col("_first"))
+    return ends.withColumn("start", start).where("start <= end").select(*keys, "start", "end", (F.col("end") - F.col("start") + 1).alias("n"))
+
+
+def flagged_runs(df: DataFrame, keys: Sequence[str], order: str, flag: Column) -> DataFrame:
+    """Runs ``(start, end, n)`` of neighbouring flagged rows; a missing number ends a run."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    some = df.where(flag).withColumn("_run", F.col(order) - F.row_number().over(w))
+    return some.groupBy(*keys, "_run").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n")).drop("_run")
+
+
+def restarts(df: DataFrame, keys: Sequence[str], order: Sequence[str], number: str, step: int = 3) -> DataFrame:
+    """``series``: how often numbers began again, at one of at most ``step`` that is not above the one before."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    again = F.coalesce(F.col(number) <= F.least(F.lag(number).over(w), F.lit(step)), F.lit(False))
+    return df.withColumn("_again", again).withColumn("series", F.count_if("_again").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_again")
+
+
+def overlap_groups(df: DataFrame, keys: Sequence[str], left: str, right: str, tie: str, share: float = 0.5) -> DataFrame:
+    """``column``: boxes from left to right; one begins a new column unless more than ``share``
+    of its own width lies in the reach of the column so far.
+
+    The reach begins anew with each column, so the boxes of a key are folded in order."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(left).cast("double").alias("a"), F.col(tie).alias("id"), F.col(right).cast("double").alias("b"))))
+    start = F.struct(F.lit(None).cast("double").alias("reach"), F.lit(-1).alias("column"), F.array().cast(f"array<struct<id:{df.schema[tie].dataType.simpleString()},column:int>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        inside = s["reach"].isNotNull() & (F.least(x["b"], s["reach"]) - x["a"] > (x["b"] - x["a"]) * share)
+        column = F.when(inside, s["column"]).otherwise(s["column"] + 1)
+        return F.struct(F.when(inside, F.greatest(s["reach"], x["b"])).otherwise(x["b"]).alias("reach"), column.alias("column"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), column.alias("column")))).alias("out"))
+
+    folded = df.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.explode(F.aggregate("_rows", start, step)["out"]).alias("_o"))
+    return folded.select(*keys, F.col("_o.id").alias(tie), F.col("_o.column").alias("column"))
+
+
+def accepted_labels(df: DataFrame, keys: Sequence[str], order: Sequence[str], number: str, step: int = 3) -> DataFrame:
+    """``labels``: of each key's numbers in order those that are above the last accepted one by 1 to ``step``."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(number).cast("int").alias("_n"))))
+    start = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("out"))
+
+    def take(s: Column, x: Column) -> Column:
+        good = (x["_n"] > s["last"]) & (x["_n"] <= s["last"] + step)
+        return F.struct(F.when(good, x["_n"]).otherwise(s["last"]).alias("last"), F.when(good, F.concat(s["out"], F.array(x["_n"]))).otherwise(s["out"]).alias("out"))
+
+    return df.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.aggregate("_rows", start, take)["out"].alias("labels"))

@@ -209,13 +209,13 @@ def q52_whole_group_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH g AS (SELECT l_orderkey, count(DISTINCT l_linenumber) = max(l_linenumber) AS covered, bool_and(l_returnflag = 'R') AS all_returned FROM lineitem GROUP BY 1)
-SELECT o_orderkey, coalesce(covered, false) AS covered, CASE WHEN l_orderkey IS NULL THEN 'needs_scanning' WHEN all_returned AND covered THEN 'complete' WHEN covered THEN 'scanned' ELSE 'scanning' END AS status
+SELECT o_orderkey, coalesce(covered, false) AS covered, CASE WHEN l_orderkey IS NULL THEN 'waiting' WHEN all_returned AND covered THEN 'complete' WHEN covered THEN 'captured' ELSE 'in_work' END AS status
 FROM orders LEFT JOIN g ON l_orderkey = o_orderkey""")
 def q53_coverage_status(spark: SparkSession, sf: str) -> DataFrame:
     covered = F.size(F.collect_set("l_linenumber")) == F.max("l_linenumber")
     lines = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(covered.alias("c"), F.every(F.col("l_returnflag") == "R").alias("all_returned"))
     both = load(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    status = F.when(F.col("l_orderkey").isNull(), "needs_scanning").when(F.col("all_returned") & F.col("c"), "complete").when(F.col("c"), "scanned").otherwise("scanning")
+    status = F.when(F.col("l_orderkey").isNull(), "waiting").when(F.col("all_returned") & F.col("c"), "complete").when(F.col("c"), "captured").otherwise("in_work")
     return both.select("o_orderkey", F.coalesce("c", F.lit(False)).alias("covered"), status.alias("status"))
 
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.functions import scalars
+from leafline.functions import compare, reasons, scalars
 from leafline.operators import consensus, markup, structure
 from leafline.plans.registry import registry
 from leafline.sources.tables import load
@@ -77,6 +77,22 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("doc_id", "line", "reader", F.array_join(F.filter(noisy, lambda w: w != ""), " ").alias("text"))
 
 
+_READINGS = """n AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, list_filter(regexp_split_to_array(trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')), ' '), lambda w: w <> '') AS words FROM documents),
+r AS (SELECT doc_id, line, reader, array_to_string(list_filter(list_transform(words, lambda w, i: CASE WHEN substring(md5(concat(reader, '|', doc_id, '|', line, '|', i - 1)), 1, 2) < '04' THEN '' WHEN substring(md5(concat(reader, '|', doc_id, '|', line, '|', i - 1)), 1, 2) < '08' THEN concat(w, 'x') ELSE w END), lambda w: w <> ''), ' ') AS t
+ FROM n CROSS JOIN (VALUES ('a'), ('b'), ('c')) v(reader))"""
+
+
+@query(rf"""WITH {_READINGS}, g AS (SELECT doc_id, line, list(t ORDER BY reader) AS every, list(t ORDER BY reader) FILTER (t <> '') AS said FROM r GROUP BY 1, 2),
+p AS (SELECT *, coalesce(len(said), 0) AS n, len(list_filter(every, lambda t: regexp_matches(t, '[^a-zA-Z0-9 .,;:!?()À-ÖØ-öø-ÿ]') OR regexp_matches(t, '\.\s*[0-9.]') OR regexp_matches(concat(' ', t), '[^\pL0-9]\p{{Lu}}\.') OR (t <> '' AND NOT regexp_matches(t, '[\pL0-9]')))) = 0 AS plain FROM g),
+b AS (SELECT *, list_filter(said, lambda x: 2 * len(list_filter(said, lambda y: y = x)) > n)[1] AS best FROM p)
+SELECT doc_id, line, CASE WHEN NOT plain THEN 'not plain' WHEN n = 0 THEN 'nothing_read' WHEN n = 1 THEN 'single' WHEN len(list_filter(said, lambda y: y = best)) = n THEN 'unanimous' WHEN best IS NOT NULL THEN 'majority' ELSE 'open' END AS status,
+ CASE WHEN plain THEN md5(CASE WHEN n = 0 THEN '' ELSE best END) END AS digest FROM b""")
+def q46a_settled_places(spark: SparkSession, sf: str) -> DataFrame:
+    places = consensus.settled(consensus.gathered(readings(spark, sf), ["doc_id", "line"], "reader", "text"))
+    plain = F.forall("readings", lambda r: r.rlike(compare.PLAIN) & r.rlike(r"[\p{L}\d]|^$"))
+    return places.select("doc_id", "line", F.when(~plain, "not plain").otherwise(F.coalesce("status", F.lit("open"))).alias("status"), F.md5("text").alias("digest"))
+
+
 @query()
 def q46_consensus(spark: SparkSession, sf: str) -> DataFrame:
     out = consensus.consensus(readings(spark, sf), ["doc_id", "line"], "reader", "text")
@@ -86,11 +102,11 @@ def q46_consensus(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def q47_difference_types(spark: SparkSession, sf: str) -> DataFrame:
     each = readings(spark, sf).groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("reader", "text"))).alias("r"))
-    kinds = each.select(scalars.difference_type(F.transform("r", lambda x: x["text"])).alias("reason"))
+    kinds = each.select(reasons.reason(F.transform("r", lambda x: x["text"])).alias("reason"))
     return kinds.groupBy("reason").count().withColumnRenamed("count", "n")
 
 
-@query()
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
 def q56_repaired_json(spark: SparkSession, sf: str) -> DataFrame:
     broken = F.when(F.col("event_id") % 3 == 0, F.expr("substring(props, 1, length(props) - 1)")).when(F.col("event_id") % 3 == 1, F.concat("props", F.lit("}"))).otherwise(F.col("props"))
     fixed = load(spark, sf, "events").select("event_id", scalars.repair_json(broken).alias("j"))

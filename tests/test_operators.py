@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leafline.functions import scalars
+from leafline.functions import compare, reasons, scalars
 from leafline.operators import consensus, markup, matching, relational, sequences, structure
 from leafline.sources import tables
 
@@ -111,13 +111,33 @@ def test_scalar_functions(spark):
     assert [(g[1], g[2] and tuple(g[2])) for g in got] == [("range", (12, 15)), ("suffixed", (7, 7)), ("single", (9, 9)), ("range", None), ("range", None), (None, None), (None, None)]
     df = spark.createDataFrame([("[16-19]",), ("[1, 2]",), ("[0-2]",), ("[9-3]",), ("no",)], "t string")
     assert [r[0] for r in df.select(scalars.expand_brackets(F.col("t"))).collect()] == [[16, 17, 18, 19], [1, 2], [1, 2], [], []]
-    df = spark.createDataFrame([("“A.  B.”  ﬁn — *x*",)], "t string")
-    assert df.select(scalars.compare_text(F.col("t"))).first()[0] == '"A.B." fin-x'
+    df = spark.createDataFrame([("“A.  B.”  ﬁn — *x*",), (None,)], "t string")
+    assert [r[0] for r in df.select(scalars.compare_text("t")).collect()] == ['"A.B." finx', None]
+    df = spark.createDataFrame([("*12 [3] text",), ("801 General",), ("1 x",), ("[4, 5] held",), ("(C) Y",)], "t string")
+    assert [r[0] for r in df.select(scalars.strip_star("t")).collect()] == ["text", "General", "1 x", "held", "(C) Y"]
 
 
-@pytest.mark.parametrize(("readings", "want"), [(["a"], "single"), (["a", "a"], "same"), (["a b", "ab"], "spacing"), (["it’s", "it's"], "spacing"), (["well-known", "wellknown"], "hyphen"), (["a, b", "a b"], "punctuation"), (["Abc", "abc"], "capitals"), (["", ""], "nothing_read"), (["abc", None], "missing"), (["the cat sat", "the cut sat"], "words_differ"), (["a b c d e", "v w x y z"], "different_text")])
-def test_differences(readings, want):
-    assert scalars.difference(readings) == want
+@pytest.mark.parametrize(("text", "want"), [("131 L. Ed. 2d 490", "131 L.Ed.2d 490"), ("another . . . ,", "another...,"), ("S.D.N. Y.", "S.D.N.Y."), ("¶ 8 and § 1983", "¶8 and §1983"), ("Mohort-er", "Mohorter"), ("12-345", "12-345"), ("677 -- 679", "677-679"), ("CP-23-CR-0001065- 2021", "CP-23CR-0001065-2021"), ("express[ ]", "express[]"), ("“ ‘finally", "\"'finally"), ("A. Smith", "A. Smith"), ("## FACTS", "FACTS"), ("###", ""), ("F. App’x,", "F.App'x,")])
+def test_compared_forms(text, want):
+    assert compare.key_of(text) == want.replace("CP-23CR", "CP-23-CR")
+
+
+@pytest.mark.parametrize(
+    ("readings", "want"),
+    [
+        (["a"], "single_short"), (["a b c d"], "single_long"), (["a", "a"], "spacing"), (["a b", "ab"], "spacing"), (["it’s", "it's"], "quotes"), (["well-known", "wellknown"], "spacing"), (["a, b", "a b"], "punctuation"), (["Abc", "abc"], "capitals"),
+        (["¶10", "¶ 10", "¶0"], "spacing"), (["*12 held", "held"], "star_mark"), (["", ""], "spacing"), (["abc", None], "words_short"), (["not so", ""], "meaning_word"), (["17", ""], "star_mark"), (["page 17", ""], "numbers"), (["a bc de", ""], "words_long"),
+        (["the cat sat", "the cot sat"], "characters"), (["the Cat sat", "the Cot sat"], "name"), (["the cat sat", "the dog sat"], "different_word"), (["he may go", "he can go"], "meaning_word"), (["in 1983 x", "in 1984 x"], "numbers"), (["a quick brown fox", "xyz lmno pqrs tuv"], "different_text"),
+        (["the old cat", "the cat"], "words_short"), (["one two three four five", "one two"], "words_long"), (["Tal lahassec", "Tallahassee"], "name"), (["tal lahassec", "tallahassee"], "characters"),
+    ],
+)
+def test_reasons(readings, want):
+    assert reasons.reason_of(readings) == want and want in reasons.REASONS
+
+
+def test_places_that_need_no_person():
+    assert reasons.needs_no_person(["held,", "held.", "hold;"], "held") and not reasons.needs_no_person(["held,", "held.", "hold;"], "hold;")
+    assert not reasons.needs_no_person(["cat", "dog"], "cat") and not reasons.needs_no_person(["cat"], "cat")
 
 
 def test_json_repair():
@@ -130,12 +150,34 @@ def test_json_repair():
 def test_votes():
     assert consensus.resolve(["a b", "a b", "a c"]).status == "majority"
     assert consensus.resolve(["a b", None, ""]).status == "single"
-    assert consensus.resolve([]).status == "nothing_read"
+    assert consensus.resolve(["###", None]).status == "nothing_read" and consensus.resolve([]).status == "nothing_read"
+    assert (consensus.resolve(["“x” – y", '"x" - y', "“x”—y"]).status, consensus.resolve(["Mohort-er", "Mohorter"]).text) == ("unanimous", "Mohorter")
+    assert consensus.resolve(["self-defense", "selfdefense", "self-defense"]).text == "self-defense"
     got = consensus.resolve(["the cat sat", "the cat sit", "a cat sat"])
-    assert (got.status, got.text, got.open_words) == ("voted", "the cat sat", [])
+    assert (got.status, got.text, got.open_words) == ("voted", "the cat sat", 0) and [t.majority for t in got.tokens] == [True, False, True]
     got = consensus.resolve(["x y", "x z", "x w"])
-    assert (got.text, got.open_words) == ("x y", [1])
-    assert consensus.resolve(["a c", "a b c", "a b c d"]).text == "a b c"
+    assert (got.text, got.open_words) == ("x y", 1) and [t.low for t in got.tokens] == [False, True]
+    # a run that one of three readers puts in is dropped, and where none agree the gap blocks
+    assert [t.gap for t in consensus.resolve(["a c", "a b c", "b c"]).tokens] == ["", "warning"]
+    got = consensus.resolve(["a c e", "a b c e", "a d c f"])
+    assert (got.text, got.open_words) == ("a c e", 1) and [t.gap for t in got.tokens] == ["", "blocking", ""]
+    # with two readers every difference is a tie, which stays as low words
+    got = consensus.resolve(["a c", "a b c"])
+    assert (got.text, got.open_words) == ("a b c", 1) and [t.low and t.inserted for t in got.tokens] == [False, True, False]
+    # two readers that join what the first splits take it whole, and its rest goes
+    assert consensus.resolve(["see ab cd and x", "see abcd and y", "see abcd and z"]).text == "see abcd and x"
+    # a joined span that loses leaves the base's words
+    assert consensus.resolve(["see ¶ 235 and x", "see ¶ 235 and y", "see P235 and z"]).text == "see ¶ 235 and x"
+
+
+def test_settled_places_vote_alike(spark):
+    texts = [["a b", "a b", "a c"], ["a", "", ""], ["", "", ""], ["x.", "x.", "x."], ["a b", "a c", "b c"], ["A. B", "A.B", "A.B"], ["“q”", '"q"', "q"], [None, "a  b", " a b"], ["No. 2d", "No. 2d", "x"], ["?", "?", "a"]]
+    df = spark.createDataFrame([(k, r, t) for k, ts in enumerate(texts) for r, t in enumerate(ts)], "k int, reader int, text string")
+    got = {r["k"]: (r["text"], r["status"], r["open_words"]) for r in consensus.consensus(df, ["k"], "reader", "text").collect()}
+    want = {k: (v.text, v.status, v.open_words) for k, v in enumerate(map(consensus.resolve, texts))}
+    assert got == want
+    held = {r["k"]: r["status"] for r in consensus.settled(consensus.gathered(df, ["k"], "reader", "text")).collect()}
+    assert [k for k, v in held.items() if v is None and want[k][1] != "voted"] and held[0] == "majority" and held[2] == "nothing_read"
 
 
 def test_alignment_and_order():
