@@ -68,17 +68,21 @@ def q45_dehyphenate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
-    """Three readings of each line, with words changed or dropped by a hash of reader, document, line and place."""
+    """Three readings of each line, with words changed or dropped by a digest of reader, document, line and place."""
     lines = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     words = lines.select("doc_id", "line", F.split(scalars.squeeze(F.col("t")), " ").alias("words"))
     read = words.withColumn("reader", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))))
-    mark = lambda i: F.substring(F.md5(F.concat_ws("|", "reader", "doc_id", "line", i.cast("string"))), 1, 2)
-    noisy = F.transform("words", lambda w, i: F.when(mark(i) < "04", "").when(mark(i) < "08", F.concat(w, F.lit("x"))).otherwise(w))
+    # a digest has a byte for each of sixteen words
+    digests = F.transform(F.sequence(F.lit(0), (F.size("words") / 16).cast("int")), lambda b: F.md5(F.concat_ws("|", "reader", "doc_id", "line", b.cast("string"))))
+    read = read.withColumn("digests", digests)
+    mark = lambda i: F.substring(F.get("digests", (i / 16).cast("int")), i % 16 * 2 + 1, 2)
+    marked = F.transform("words", lambda w, i: F.struct(w.alias("w"), mark(i).alias("m")))
+    noisy = F.transform(marked, lambda x: F.when(x["m"] < "04", "").when(x["m"] < "08", F.concat(x["w"], F.lit("x"))).otherwise(x["w"]))
     return read.select("doc_id", "line", "reader", F.array_join(F.filter(noisy, lambda w: w != ""), " ").alias("text"))
 
 
 _READINGS = """n AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, list_filter(regexp_split_to_array(trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')), ' '), lambda w: w <> '') AS words FROM documents),
-r AS (SELECT doc_id, line, reader, array_to_string(list_filter(list_transform(words, lambda w, i: CASE WHEN substring(md5(concat(reader, '|', doc_id, '|', line, '|', i - 1)), 1, 2) < '04' THEN '' WHEN substring(md5(concat(reader, '|', doc_id, '|', line, '|', i - 1)), 1, 2) < '08' THEN concat(w, 'x') ELSE w END), lambda w: w <> ''), ' ') AS t
+r AS (SELECT doc_id, line, reader, array_to_string(list_filter(list_transform(words, lambda w, i: CASE WHEN substring(md5(concat(reader, '|', doc_id, '|', line, '|', (i - 1) // 16)), 2 * ((i - 1) % 16) + 1, 2) < '04' THEN '' WHEN substring(md5(concat(reader, '|', doc_id, '|', line, '|', (i - 1) // 16)), 2 * ((i - 1) % 16) + 1, 2) < '08' THEN concat(w, 'x') ELSE w END), lambda w: w <> ''), ' ') AS t
  FROM n CROSS JOIN (VALUES ('a'), ('b'), ('c')) v(reader))"""
 
 
