@@ -71,10 +71,11 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
     """Three readings of each line, with words changed or dropped by a digest of reader, document, line and place."""
     lines = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     words = lines.select("doc_id", "line", F.split(scalars.squeeze(F.col("t")), " ").alias("words"))
-    read = words.withColumn("reader", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))))
-    # a digest has a byte for each of sixteen words
-    digests = F.transform(F.sequence(F.lit(0), (F.size("words") / 16).cast("int")), lambda b: F.md5(F.concat_ws("|", "reader", "doc_id", "line", b.cast("string"))))
-    read = read.withColumn("digests", digests)
+    # a digest has a byte for each of sixteen words; made by the generator, it is made once
+    blocks = F.sequence(F.lit(0), (F.size("words") / 16).cast("int"))
+    digests = lambda r: F.transform(blocks, lambda b: F.md5(F.concat_ws("|", r, "doc_id", "line", b.cast("string"))))
+    each = F.transform(F.array(F.lit("a"), F.lit("b"), F.lit("c")), lambda r: F.struct(r.alias("reader"), digests(r).alias("digests")))
+    read = words.withColumn("each", F.explode(each)).select("doc_id", "line", "words", "each.reader", "each.digests")
     mark = lambda i: F.substring(F.get("digests", (i / 16).cast("int")), i % 16 * 2 + 1, 2)
     marked = F.transform("words", lambda w, i: F.struct(w.alias("w"), mark(i).alias("m")))
     noisy = F.transform(marked, lambda x: F.when(x["m"] < "04", "").when(x["m"] < "08", F.concat(x["w"], F.lit("x"))).otherwise(x["w"]))
