@@ -77,4 +77,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_count": op9_token_count,
     "op10_lm_score": op10_lm_score,
 }
-ORACLE_SQL: dict[str, str] = {}
+_COMPONENTS = """c(id, r) AS (SELECT DISTINCT a, a FROM l UNION SELECT c.id, l.b FROM c JOIN l ON l.a = c.r), m AS (SELECT id, min(r) AS least FROM c GROUP BY 1)"""
+#: SQL of the operators that it can express; the language model, the alignment, the byte-pair
+#: merges, the schedule and the suffixes are held against slow versions in the tests.
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, strlen(coalesce(html, '')) AS n FROM pages), d AS (SELECT page_id, n, sha1(t) AS digest FROM p),
+k AS (SELECT digest, max(page_id) AS last FROM d WHERE n >= 1000 GROUP BY 1), r AS (SELECT d.*, CASE WHEN last <> page_id AND n >= 1000 THEN last END AS refers_to FROM d LEFT JOIN k USING (digest))
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, CASE WHEN refers_to IS NOT NULL THEN 1 ELSE
+ CAST(ceil(({len(warc.HEAD)} + 5 + n // 4096 * (4096 + 8) + CASE WHEN n % 4096 = 0 THEN 0 ELSE n % 4096 + 4 + CASE WHEN n % 4096 < 16 THEN 1 WHEN n % 4096 < 256 THEN 2 ELSE 3 END END) / 16384) AS INTEGER) END AS segments, true AS complete FROM r""",
+    "op4_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d), s AS (SELECT row, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM (SELECT row, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d)),
+t AS (SELECT row, i FROM s WHERE h IN (SELECT h FROM s GROUP BY 1 HAVING count(*) > 1)), g AS (SELECT p.row, p.i, word, coalesce(max(t.i) OVER (PARTITION BY p.row ORDER BY p.i ROWS UNBOUNDED PRECEDING) >= p.i - 34, false) AS gone FROM p LEFT JOIN t ON t.row = p.row AND t.i = p.i),
+k AS (SELECT row, count(*) FILTER (gone) AS removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (row)""",
+    "op6_embedding_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), u AS (SELECT *, sqrt(list_inner_product(e, e)) AS s FROM v),
+w AS (SELECT * FROM u WHERE s > 0), l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM w x JOIN w y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_inner_product(x.e, y.e) / (x.s * y.s) >= 0.93), {_COMPONENTS},
+n AS (SELECT a, count(*) AS links FROM l GROUP BY 1) SELECT vec_id, coalesce(links, 0) AS n_links, coalesce(least, vec_id) AS component_id, coalesce(least, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN m ON id = vec_id""",
+    "op7_ngram_jaccard": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL), l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)), {_COMPONENTS}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON id = doc_id""",
+}

@@ -13,11 +13,13 @@ by the origin's id, ordered by number, joined, and held against the total length
 against the numbers 1 to n; then the chunked framing is decoded.  A revisit's payload
 is that of the record it refers to.
 
-Defined results: a null payload is empty; rows with a null id are not written; rows
+Defined results: a null payload is empty; a null id is an empty field and read back as
+null, and such a row is a revisit if any copy has an id, else a response; rows
 that are equal in id and payload are records of their own, with equal results, and
 all that share the largest id are responses; a record whose segments are missing,
 doubled or of the wrong length, or whose framing is broken, is returned with
-``complete`` false and no digest; an empty table gives an empty result.
+``complete`` false and no digest; a very long payload is cut into segments and never
+lies in one record; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ END = b"\r\n\r\n"
 DATE = b"2024-01-01T00:00:00Z"
 PART = "record string, type string, url string, page_id long, origin string, number int, total long, digest string, refers long, block binary, complete boolean, payload_bytes long, payload_digest string"
 PART_ARROW = pa.schema([("record", pa.string()), ("type", pa.string()), ("url", pa.string()), ("page_id", pa.int64()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("digest", pa.string()), ("refers", pa.int64()), ("block", pa.binary()), ("complete", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked" + END
 FIELDS = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
@@ -70,16 +73,16 @@ def _record(kind: bytes, record: str, fields: list[tuple[bytes, str]], block: by
     return b"\r\n".join([*head, b"Content-Type: application/http;msgtype=response", b"Content-Length: %d" % len(block)]) + END + block + END
 
 
-def records(page_id: int, copy: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
+def records(page_id: int | None, copy: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
     """The record of one page, or its first record and continuations."""
-    name = f"urn:page:{page_id}:{copy & 0xFFFFFFFFFFFFFFFF:016x}"
-    fields = [(b"WARC-Target-URI", re.sub(r"[\r\n]", " ", url or "")), (b"WARC-Payload-Digest", f"sha1:{digest}"), (b"WARC-Page-ID", str(page_id))]
-    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked" + END
+    page = "" if page_id is None else str(page_id)
+    name = f"urn:page:{page}:{copy & 0xFFFFFFFFFFFFFFFF:016x}"
+    fields = [(b"WARC-Target-URI", re.sub(r"[\r\n]", " ", url or "")), (b"WARC-Payload-Digest", f"sha1:{digest}"), (b"WARC-Page-ID", page)]
     if refers_to is not None:
         more = [(b"WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), (b"WARC-Refers-To-Page-ID", str(refers_to))]
-        yield _record(b"revisit", name, fields + more, head)
+        yield _record(b"revisit", name, fields + more, HEAD)
         return
-    block = head + chunk_frame(payload, chunk_bytes)
+    block = HEAD + chunk_frame(payload, chunk_bytes)
     cuts = range(0, len(block), segment_bytes)
     if len(cuts) == 1:
         yield _record(b"response", name, fields, block)
@@ -96,10 +99,10 @@ def records(page_id: int, copy: int, url: str | None, payload: bytes, digest: st
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = 1000, segment_bytes: int = 16 << 10, chunk_bytes: int = 4 << 10, file_records: int = 2048) -> None:
     """Writes the archives under ``path``.  A file holds at most ``file_records`` records of
     at most ``segment_bytes`` bytes, so a reader can hold any file in memory."""
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload")).where("page_id IS NOT NULL")
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     copies = rows.where(F.octet_length("payload") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
-    told = rows.join(copies, "digest", "left").select("page_id", "url", "payload", "digest", F.when((F.octet_length("payload") >= revisit_bytes) & (F.col("last") != F.col("page_id")), F.col("last")).alias("refers_to"), F.monotonically_increasing_id().alias("copy"))
+    told = rows.join(copies, "digest", "left").select("page_id", "url", "payload", "digest", F.when((F.octet_length("payload") >= revisit_bytes) & ~F.col("last").eqNullSafe(F.col("page_id")), F.col("last")).alias("refers_to"), F.monotonically_increasing_id().alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +166,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for fields, block in parse(unzipped(content.as_py())):
                 bare = lambda k, f=fields: f[k].strip("<>") if k in f else None
-                number = lambda k, f=fields: int(f[k]) if k in f else None
+                number = lambda k, f=fields: int(f[k]) if f.get(k) else None
                 kind, segment, digest = fields[b"warc-type"], number(b"warc-segment-number"), fields.get(b"warc-payload-digest")
                 made = decoded(kind, digest, block) if segment is None else (None, None, None)
                 rows.append((bare(b"warc-record-id"), kind, fields.get(b"warc-target-uri"), number(b"warc-page-id"), bare(b"warc-segment-origin-id"), segment, number(b"warc-segment-total-length"), digest, number(b"warc-refers-to-page-id"), None if segment is None else block, *made))

@@ -23,17 +23,16 @@ def test_warc_round_trip(spark):
     made = random.Random(2)
     long = "".join(made.choice("abcé<>\r\n") for _ in range(60_000)) + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"
     same = "x" * 999 + "é"
-    rows = [(1, "u1", long), (2, None, None), (3, "u\r\nX: y", ""), (4, "u", same), (9, "u", same), (7, "u", same), (5, "u", "y" * 999), (6, "u", "y" * 999), (9, "u", same), (10, "u", "z" * 16384), (11, "u", long + "!"), (None, "u", "lost")]
+    rows = [(1, "u1", long), (2, None, None), (3, "u\r\nX: y", ""), (4, "u", same), (9, "u", same), (7, "u", same), (5, "u", "y" * 999), (6, "u", "y" * 999), (9, "u", same), (10, "u", "z" * 16384), (11, "u", long + "!"), (None, "u", "no id"), (None, "u", same), (None, "u", "n" * 1200), (None, "u", "n" * 1200)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
     path = scratch.new_path(spark, "warc-test")
     warc.write(df, path)
-    got = sorted(tuple(r) for r in warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", F.coalesce("refers_to", F.lit(-1)), "complete").collect())
+    got = sorted(tuple(r) for r in warc.read(spark, path).select(F.coalesce("page_id", F.lit(-1)), "payload_bytes", "payload_digest", "record_type", F.coalesce("refers_to", F.lit(-1)), "complete").collect())
     want = []
     for i, _, html in rows:
-        if i is not None:
-            data = (html or "").encode()
-            other = 9 if html == same and i != 9 else None
-            want.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if other else "response", other or -1, True))
+        data = (html or "").encode()
+        other = 9 if html == same and i != 9 else None
+        want.append((-1 if i is None else i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if other else "response", other or -1, True))
     assert got == sorted(want)
     assert warc.read(spark, path).agg(F.max("segments")).first()[0] > 3
 
