@@ -1,10 +1,13 @@
 """Embedding near-dedup: exact threshold pairs by dual traversal of cover trees.
 
 Vectors are scaled to length one, where cosine ``c`` is the distance ``sqrt(2 - 2c)``.
-Equal vectors of a label are one point with a multiplicity.  A label's points are dealt
-to blocks of at most about ``block`` points, so a label that holds a third of all rows
-is many blocks, and each pair of blocks is one group.  A group builds a cover tree of
-each block: nested levels whose radii halve, every node with the true distance to its
+Equal vectors of a label are one point with a multiplicity.  The top level of the tree is
+global: of each label some points, chosen by a hash and about one for ``block`` points,
+are centres, and every point belongs to the cell of its nearest one.  A pair of cells
+whose centres are farther apart than both covering radii and the threshold goes before
+any point is copied.  Cells are cut to blocks of about ``block`` points, so a label that
+holds a third of all rows is many blocks, and each pair of blocks that is left is one
+group.  A group builds the lower levels of each block: nested levels whose radii halve, every node with the true distance to its
 farthest descendant.  Both trees are walked down together, a level at a time; a pair of
 nodes whose centres are farther apart than both covering radii and the threshold goes,
 with all pairs below.  What is left at the points is compared by cosine in double
@@ -13,7 +16,8 @@ precision.  A group returns a count and one edge a point, not its pairs.
 Defined results: a null label, and a vector that is null, empty, zero, or has null or
 non-finite components, links with nothing; vectors of different lengths do not link;
 rows that repeat are vectors of their own with equal ids; a null id gets a null
-component; an empty table gives an empty result; other columns are not read.
+component; a cosine of exactly the threshold links; vectors may be of any length; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,8 +26,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from leafline.llm import scratch
 from leafline.llm.components import components
@@ -32,8 +38,10 @@ from leafline.llm.components import components
 RADII = (1.0, 0.5, 0.25)
 #: Allowance for rounding in the bounds; it only lets more pairs through to the last test.
 SLACK = 1e-9
-#: A table of at most so many labels is broadcast, about 20 bytes a row.
-MOST_BROADCAST = 100_000
+#: Centres of all labels together, and their numbers; both are sent to every worker.
+MOST_CENTRES, MOST_CENTRE_NUMBERS = 20_000, 4_000_000
+#: Allowance for rounding in the distances between cells.
+CELL_SLACK = 1e-6
 
 
 class CoverTree:
@@ -123,6 +131,68 @@ def _group(least: float):
     return run
 
 
+def _cells(points: DataFrame, block: int) -> tuple[DataFrame, DataFrame, Broadcast]:
+    """The points with the cell of their nearest centre, the cells with the first and number
+    of their blocks and covering radius, and the centres.  A label without is one cell, -1."""
+    sizes = points.groupBy("label", "dims").agg(F.count("*").alias("n")).withColumn("wanted", F.greatest(F.lit(1.0), F.col("n") / block))
+    most = sizes.agg(F.sum("wanted").alias("centres"), F.sum(F.col("wanted") * F.col("dims")).alias("numbers"), F.count("*").alias("labels")).first()
+    share = min(1.0, MOST_CENTRES / (most["centres"] or 1), MOST_CENTRE_NUMBERS / (most["numbers"] or 1))
+    chance = F.least(F.lit(1.0), F.col("wanted") * share / F.col("n"))
+    chosen = points.join(sizes, ["label", "dims"]).where((F.col("wanted") > 1) & (F.pmod(F.xxhash64("vector", F.lit(1)), F.lit(1 << 30)) < chance * (1 << 30)))
+    centres: dict[tuple, np.ndarray] = {}
+    for r in chosen.select("label", "dims", "vector").sort("label", "dims", "vector").toLocalIterator():
+        centres.setdefault((r["label"], r["dims"]), []).append(np.asarray(r["vector"]))
+    centres = {k: np.stack([v / np.sqrt((v * v).sum()) for v in vs]) for k, vs in centres.items()}
+    sent = points.sparkSession.sparkContext.broadcast(centres)
+
+    def place(batches):
+        for batch in batches:
+            label, dims, vector = (batch.column(batch.schema.get_field_index(c)) for c in ("label", "dims", "vector"))
+            keys = list(zip(label.to_pylist(), dims.to_pylist(), strict=True))
+            flat, begin = vector.flatten().to_numpy(), np.cumsum([0, *(d for _, d in keys)])
+            cell, far = np.full(len(keys), -1, np.int32), np.full(len(keys), 2.0)
+            by: dict[tuple, list[int]] = {}
+            for i, k in enumerate(keys):
+                by.setdefault(k, []).append(i)
+            for k, mine in by.items():
+                if k in sent.value:
+                    x = np.stack([flat[begin[i] : begin[i + 1]] for i in mine])
+                    d2 = 2.0 - 2.0 * (x / np.sqrt((x * x).sum(axis=1))[:, None]) @ sent.value[k].T
+                    cell[mine], far[mine] = d2.argmin(axis=1), np.sqrt(np.maximum(0.0, d2.min(axis=1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
+
+    placed = scratch.stored(points.mapInArrow(place, StructType([*points.schema.fields, StructField("cell", IntegerType()), StructField("far", DoubleType())])), "placed")
+    counted = placed.groupBy("label", "dims", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).withColumn("blocks", F.ceil(F.col("n") / (1.5 * block)).cast("int"))
+    first = F.coalesce(F.sum("blocks").over(Window.partitionBy("label", "dims").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    return placed, scratch.stored(counted.withColumn("first", first).select("label", "dims", "cell", "first", "blocks", "radius"), "cells"), sent
+
+
+def _near(cells: DataFrame, sent: Broadcast, least: float):
+    """Each cell with the blocks of all cells, its own among them, that may hold a partner."""
+    reach = math.sqrt(2.0 - 2.0 * least) + CELL_SLACK
+    known: dict[tuple, list[tuple]] = {}
+    for r in cells.where("cell >= 0").sort("label", "dims", "cell").toLocalIterator():  # at most a row a centre
+        known.setdefault((r["label"], r["dims"]), []).append((r["cell"], r["first"], r["blocks"], r["radius"]))
+    table = cells.sparkSession.sparkContext.broadcast({k: np.array(v) for k, v in known.items()})
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            others = []
+            for r in rows:
+                if r["cell"] < 0:
+                    others.append(np.arange(r["first"], r["first"] + r["blocks"], dtype=np.int32))
+                    continue
+                every, centre = table.value[r["label"], r["dims"]], sent.value[r["label"], r["dims"]]
+                d2 = 2.0 - 2.0 * centre[every[:, 0].astype(int)] @ centre[r["cell"]]
+                ok = np.sqrt(np.maximum(0.0, d2)) <= every[:, 3] + r["radius"] + reach
+                others.append(np.concatenate([np.arange(f, f + n) for f, n in every[ok][:, 1:3].astype(int).tolist()]).astype(np.int32))
+            plain = [batch.column(batch.schema.get_field_index(c)) for c in ("label", "dims", "cell", "first", "blocks")]
+            yield pa.RecordBatch.from_arrays([*plain, pa.array(others, pa.list_(pa.int32()))], names=["label", "dims", "cell", "first", "blocks", "others"])
+
+    return run
+
+
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, block: int = 1024) -> DataFrame:
     """One row per vector: ``key``, ``n_links``, ``component_id`` and ``kept``."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
@@ -130,12 +200,11 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     length = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v)
     good = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & finite & (length > 0) & (length < float("inf")), F.lit(False))
     rows = rows.withColumn("good", good)
-    points = scratch.stored(rows.where("good").groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("times")), "points")
-    counts = points.groupBy("label", F.size("vector").alias("dims")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    counts = scratch.stored(counts, "label-sizes")
-    counts = F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts
-    placed = points.withColumn("dims", F.size("vector")).join(counts, ["label", "dims"]).withColumn("block", F.pmod(F.xxhash64("vector"), F.col("blocks")).cast("int"))
-    spread = placed.select("label", "dims", "block", "id", "times", "vector", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    points = scratch.stored(rows.where("good").groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("times")).withColumn("dims", F.size("vector")), "points")
+    placed, cells, centres = _cells(points, block)
+    near = cells.mapInArrow(_near(cells, centres, least), StructType([*cells.schema.fields[:5], StructField("others", ArrayType(IntegerType()))]))
+    own = F.col("first") + F.pmod(F.xxhash64("vector"), F.col("blocks")).cast("int")
+    spread = placed.join(near, ["label", "dims", "cell"]).select("label", "dims", own.alias("block"), "id", "times", "vector", F.explode("others").alias("other"))
     paired = spread.select("label", "dims", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "times", "vector")
     found = scratch.stored(paired.groupBy("label", "dims", "p", "q").applyInArrow(_group(least), "id long, links long, root long"), "links")
     summed = found.groupBy("id").agg(F.sum("links").alias("links"))

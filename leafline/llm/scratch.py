@@ -40,7 +40,7 @@ def _remove_all(spark: SparkSession) -> None:
         try:
             remove(spark, path)
         except Exception:  # the session may have ended before the interpreter  # noqa: BLE001
-            return
+            continue
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

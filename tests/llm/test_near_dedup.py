@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from leafline.llm import components, embedding_dedup, exchange, jaccard_join
 
@@ -137,6 +138,24 @@ def test_dual_pairs_of_two_trees():
     assert got == {(i, j) for i in range(70) for j in range(50) if x[i] @ x[70 + j] >= 0.9}
 
 
+def test_far_cells_are_not_compared(spark):
+    """Tight groups far apart: pairs of their cells go before any point is copied."""
+    made = np.random.default_rng(8)
+    base = np.linalg.qr(made.normal(size=(32, 32)))[0][:8]
+    x = np.concatenate([b + 0.03 * made.normal(size=(60, 32)) for b in base])
+    df = spark.createDataFrame([(i, [float(v) for v in row], "a") for i, row in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    points = df.select("label", F.col("embedding").alias("vector"), F.col("vec_id").alias("id"), F.lit(1).cast("long").alias("times"), F.lit(32).alias("dims"))
+    _, cells, centres = embedding_dedup._cells(points, 8)
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in cells.collect()], schema=pa.schema([("label", pa.string()), ("dims", pa.int32()), ("cell", pa.int32()), ("first", pa.int32()), ("blocks", pa.int32()), ("radius", pa.float64())]))
+    near = next(embedding_dedup._near(cells, centres, 0.93)([batch]))
+    blocks = sum(near["blocks"].to_pylist())
+    met = sum(b * len(o) for b, o in zip(near["blocks"].to_pylist(), near["others"].to_pylist(), strict=True))
+    assert blocks > 20 and met < 0.3 * blocks * blocks
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (u @ u.T >= 0.93).sum(axis=1) - 1
+    assert [r["n_links"] for r in embedding_dedup.near_duplicates(df, block=8).orderBy("vec_id").collect()] == links.tolist()
+
+
 def test_embeddings_empty_table(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
