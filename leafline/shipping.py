@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -23,4 +24,6 @@ def ship(spark: SparkSession) -> None:
     with tempfile.TemporaryDirectory() as folder:
         where = Path(folder) / "src" / "leafline"
         shutil.copytree(ROOT / "leafline", where, ignore=shutil.ignore_patterns("__pycache__"))
-        sc.addPyFile(shutil.make_archive(str(Path(tempfile.mkdtemp()) / "leafline"), "zip", where.parent))
+        kept = tempfile.mkdtemp()  # the driver serves the file from here for as long as it runs
+        atexit.register(shutil.rmtree, kept, ignore_errors=True)
+        sc.addPyFile(shutil.make_archive(str(Path(kept) / "leafline"), "zip", where.parent))
