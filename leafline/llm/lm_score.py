@@ -157,8 +157,7 @@ def score(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     merged = exchange.merged(asked, kind, layout)
     by_bound = merged.groupBy("bucket").applyInArrow(_totals, ", ".join(f"t{x} array<long>" for x in range(1, 9)))
     one = by_bound.agg(F.concat(*(F.array(*(F.coalesce(F.sum(F.col(f"t{x}")[k]), F.lit(0)).cast("double") for k in range(3))) for x in range(1, 9))).alias("totals"))
-    totals = df.sparkSession.range(layout.chunks).join(F.broadcast(one.withColumn("every", F.lit(0).cast("long"))), F.col("id") * 0 == F.col("every"))
-    totals = totals.select(F.col("id").alias("chunk"), "totals").mapInArrow(_total_rows, exchange.MESSAGE)
+    totals = one.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(layout.chunks - 1).cast("long"))).alias("chunk"), "totals").mapInArrow(_total_rows, exchange.MESSAGE)
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         names = ["key", "n_tokens", "loss_target", "loss_background"]
