@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafline.functions import boxes
@@ -85,3 +85,60 @@ WITH {_BOX}, r AS (SELECT label, x0 AS nxt, max(x1) OVER (PARTITION BY label ORD
 SELECT label, arg_max(reach, row(nxt - reach, -reach)) AS start, arg_max(nxt, row(nxt - reach, -reach)) AS "end" FROM r WHERE nxt > reach GROUP BY 1""")
 def q34_widest_band(spark: SparkSession, sf: str) -> DataFrame:
     return seq.widest_gap(boxed(spark, sf).where("x1 - x0 < 0.02"), ["label"], "x0", "x1")
+
+
+_RECTS = ((-0.2, -0.2, -0.05, 0.1), (-0.05, -0.1, 0.1, 0.02), (0.0, 0.0, 0.2, 0.2), (0.05, -0.3, 0.3, -0.02))
+_RECT_SQL = ", ".join("{{'x0': {}::DOUBLE, 'y0': {}::DOUBLE, 'x1': {}::DOUBLE, 'y1': {}::DOUBLE}}".format(*r) for r in _RECTS)
+
+
+def _rects() -> Column:
+    return F.array(*(F.struct(*(F.lit(v).alias(s) for s, v in zip(boxes.SIDES, r, strict=True))) for r in _RECTS))
+
+
+@query(f"""WITH {_BOX} SELECT vec_id, CASE WHEN greatest(x0, -0.1) < least(x1, 0.1) AND greatest(y0, -0.1) < least(y1, 0.1) THEN round((least(x1, 0.1) - greatest(x0, -0.1)) * (least(y1, 0.1) - greatest(y0, -0.1)), 6) END AS left_area,
+ CAST(trunc(x0 / (800 / 1700.0) * 1) AS INTEGER) AS px0, CAST(trunc(y1 * 10000 / (1000 / 2200.0)) AS INTEGER) AS py1 FROM b""")
+def q104_clipped_and_rescaled(spark: SparkSession, sf: str) -> DataFrame:
+    b = boxed(spark, sf)
+    c = boxes.clip(boxes.box(), tuple(F.lit(v) for v in (-0.1, -0.1, 0.1, 0.1)))
+    big = boxes.rescaled((F.col("x0"), F.col("y0") * 10000, F.col("x1"), F.col("y1") * 10000), (F.lit(800.0), F.lit(1000.0)), (F.lit(1700.0), F.lit(2200.0)))
+    return b.select("vec_id", F.round((c["x1"] - c["x0"]) * (c["y1"] - c["y0"]), 6).alias("left_area"), big[0].alias("px0"), big[3].alias("py1"))
+
+
+@query(f"""WITH {_BOX}, s AS (SELECT vec_id, list_max(list_transform([{_RECT_SQL}], lambda r: greatest(least(x1, r.x1) - greatest(x0, r.x0), 0) * greatest(least(y1, r.y1) - greatest(y0, r.y0), 0) / ((x1 - x0) * (y1 - y0)))) AS share FROM b WHERE x1 > x0 AND y1 > y0)
+SELECT vec_id, round(share, 6) AS share, CASE WHEN share >= 0.5 THEN 'footnotes' ELSE 'body' END AS section FROM s""")
+def q105_section_by_zone(spark: SparkSession, sf: str) -> DataFrame:
+    share = boxes.zone_share(boxes.box(), _rects())
+    rows = boxed(spark, sf).where("x1 > x0 AND y1 > y0").withColumn("share", share)
+    return rows.select("vec_id", F.round("share", 6).alias("share"), F.when(F.col("share") >= 0.5, "footnotes").otherwise("body").alias("section"))
+
+
+_SHARE_SQL = "greatest(least(x1, {2}) - greatest(x0, {0}), 0) * greatest(least(y1, {3}) - greatest(y0, {1}), 0) / ((x1 - x0) * (y1 - y0))"
+
+
+@query(f"""WITH {_BOX}, s AS (SELECT vec_id, {_SHARE_SQL.format(*_RECTS[0])} AS red, {_SHARE_SQL.format(*_RECTS[2])} AS outside, {_SHARE_SQL.format(*_RECTS[1])} AS framed FROM b WHERE x1 > x0 AND y1 > y0)
+SELECT vec_id, CASE WHEN vec_id % 50 = 0 THEN 'unjudged' WHEN vec_id % 50 = 1 THEN 'running_head' WHEN vec_id % 7 = 2 AND greatest(red, outside) < 0.9 THEN 'page_number' WHEN red >= 0.1 AND red >= outside THEN 'redaction' WHEN outside >= 0.1 THEN 'outside'
+ WHEN vec_id % 7 = 2 THEN 'page_number' WHEN framed < 0.25 THEN 'undetected' END AS reason FROM s""")
+def q106_exclusion_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    share = lambda k: boxes.zone_share(boxes.box(), F.array(F.struct(*(F.lit(v).alias(s) for s, v in zip(boxes.SIDES, _RECTS[k], strict=True)))))
+    why = boxes.verdict(F.col("vec_id") % 50 != 0, F.col("vec_id") % 50 == 1, share(0), share(2), F.col("vec_id") % 7 == 2, share(1))
+    return boxed(spark, sf).where("x1 > x0 AND y1 > y0").select("vec_id", why["reason"].alias("reason"))
+
+
+@query(f"""WITH {_BOX}, n AS (SELECT *, list_filter([{_RECT_SQL}], lambda r: x0 < r.x1 AND r.x0 < x1 AND y0 < r.y1 AND r.y0 < y1) AS near FROM b),
+f AS (SELECT *, greatest(x0, list_min(list_transform(near, lambda r: r.x0)) - 0.01) AS a, least(x1, list_max(list_transform(near, lambda r: r.x1)) + 0.01) AS z FROM n),
+w AS (SELECT *, CASE WHEN x1 <= x0 THEN 'refused' WHEN len(near) = 0 THEN 'unreached' WHEN a >= z OR z - a < (x1 - x0) * 0.4 THEN 'refused' ELSE '' END AS why FROM f)
+SELECT vec_id, why, round(CASE WHEN why = '' THEN a END, 6) AS x0, round(CASE WHEN why = '' THEN z END, 6) AS x1 FROM w""")
+def q107_fitted_span(spark: SparkSession, sf: str) -> DataFrame:
+    f = boxes.fit_span(boxes.box(), _rects(), 0.01)
+    return boxed(spark, sf).select("vec_id", f["why"].alias("why"), F.round(f["x0"], 6).alias("x0"), F.round(f["x1"], 6).alias("x1"))
+
+
+@query(f"""WITH {_BOX}, i AS (SELECT *, least(greatest(x0, 0), 0.15) AS i0, least(greatest(y0, 0), 0.15) AS j0, least(greatest(x1, 0), 0.15) AS i1, least(greatest(y1, 0), 0.15) AS j1 FROM b),
+h AS (SELECT *, list_filter([{_RECT_SQL}], lambda r: i0 < r.x1 AND r.x0 < i1 AND j0 < r.y1 AND r.y0 < j1) AS near FROM i),
+t AS (SELECT *, CASE WHEN x0 < 0 AND len(near) > 0 THEN list_min(list_transform(near, lambda r: r.x0)) ELSE x0 END AS a, CASE WHEN y0 < 0 AND len(near) > 0 THEN list_min(list_transform(near, lambda r: r.y0)) ELSE y0 END AS c,
+ CASE WHEN x1 > 0.15 AND len(near) > 0 THEN list_max(list_transform(near, lambda r: r.x1)) ELSE x1 END AS z, CASE WHEN y1 > 0.15 AND len(near) > 0 THEN list_max(list_transform(near, lambda r: r.y1)) ELSE y1 END AS e FROM h),
+k AS (SELECT *, least(greatest(a, 0), 0.15) AS fa, least(greatest(c, 0), 0.15) AS fc, least(greatest(z, 0), 0.15) AS fz, least(greatest(e, 0), 0.15) AS fe FROM t)
+SELECT vec_id, round(CASE WHEN fa < fz AND fc < fe THEN fz - fa ELSE i1 - i0 END, 6) AS width, round(CASE WHEN fa < fz AND fc < fe THEN fe - fc ELSE j1 - j0 END, 6) AS height FROM k""")
+def q108_fitted_overrun(spark: SparkSession, sf: str) -> DataFrame:
+    f = boxes.fit_overrun(boxes.box(), F.lit(0.15), F.lit(0.15), _rects())
+    return boxed(spark, sf).select("vec_id", F.round(f["x1"] - f["x0"], 6).alias("width"), F.round(f["y1"] - f["y0"], 6).alias("height"))

@@ -140,3 +140,34 @@ def q48_day_windows(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id, arg_max(event_type, row(ts, event_id)) AS status, count(*) AS seen FROM events GROUP BY 1")
 def q49_latest_state(spark: SparkSession, sf: str) -> DataFrame:
     return streams.latest_state(spark, streams.event_stream(spark, sf))
+
+
+_ROLES = ("Smith, J., dissenting, in which Jones concurs.", "JONES, J., concurring.", "Concurring in part and dissenting in part", "On Rehearing", "On the  merits", "unanimous court", "Plurality opinion", "We affirm", "dissenting, in part, but concurring in part", "concurrently filed")
+
+
+@query(r"""
+WITH r AS (SELECT o_orderkey, o_orderkey % 5 = 0 AS first, lower(regexp_replace(['Smith, J., dissenting, in which Jones concurs.', 'JONES, J., concurring.', 'Concurring in part and dissenting in part', 'On Rehearing', 'On the  merits', 'unanimous court', 'Plurality opinion', 'We affirm', 'dissenting, in part, but concurring in part', 'concurrently filed'][o_orderkey % 10 + 1], '\s+', ' ', 'g')) AS w FROM orders)
+SELECT o_orderkey, CASE WHEN first THEN CASE WHEN contains(w, 'plurality') THEN 'plurality' WHEN contains(w, 'unanimous') THEN 'unanimous' ELSE 'majority' END WHEN contains(w, 'in part and dissenting in part') OR contains(w, 'in part, but concurring in part') THEN 'concurring-in-part-and-dissenting-in-part'
+ WHEN regexp_matches(w, 'dissenting\b') THEN 'dissent' WHEN regexp_matches(w, 'concurring\b') THEN 'concurrence' WHEN contains(w, 'rehearing') THEN 'rehearing' WHEN contains(w, 'on the merits') THEN 'on-the-merits' END AS type FROM r""")
+def q109_opinion_types(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.get(F.array(*map(F.lit, _ROLES)), (F.col("o_orderkey") % 10).cast("int"))
+    return load(spark, sf, "orders").select("o_orderkey", scalars.opinion_type(words, F.col("o_orderkey") % 5 == 0).alias("type"))
+
+
+@query(r"""
+WITH t AS (SELECT l_orderkey, l_partkey, concat(CASE l_linenumber WHEN 1 THEN '  12. ' WHEN 2 THEN '†† ' WHEN 3 THEN '1234 ' WHEN 4 THEN '7)' WHEN 5 THEN '* ' ELSE 'x ' END, 'Text ', l_partkey) AS t FROM lineitem)
+SELECT l_orderkey, l_partkey, nullif(regexp_extract(t, '^\s*([0-9]{1,3}|[*†‡§¶]{1,3})(?:[.)]\s*|\s+)', 1), '') AS label, CASE WHEN regexp_matches(t, '^\s*([0-9]{1,3}|[*†‡§¶]{1,3})([.)]|\s)') THEN regexp_extract(t, 'Text .*$') END AS rest FROM t""")
+def q110_footnote_labels(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    lead = F.when(n == 1, "  12. ").when(n == 2, "†† ").when(n == 3, "1234 ").when(n == 4, "7)").when(n == 5, "* ").otherwise("x ")
+    label = scalars.split_label(F.concat(lead, F.lit("Text "), F.col("l_partkey")))
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", label["label"].alias("label"), label["rest"].alias("rest"))
+
+
+@query(r"""
+WITH t AS (SELECT o_orderkey, concat('Held. [Editor''s note: see ', o_custkey, '] and [ EDITORS’ Note', CASE WHEN o_orderkey % 2 = 0 THEN ' open' ELSE ' closed] end' END) AS t FROM orders)
+SELECT o_orderkey, 2 AS n, CASE WHEN o_orderkey % 2 = 0 THEN '[ EDITORS’ Note open' ELSE '[ EDITORS’ Note closed]' END AS last, concat('[Editor''s note: see ', regexp_extract(t, 'see ([0-9]+)', 1), ']') AS first FROM t""")
+def q111_editors_notes(spark: SparkSession, sf: str) -> DataFrame:
+    end = F.when(F.col("o_orderkey") % 2 == 0, " open").otherwise(" closed] end")
+    found = scalars.notes(F.concat(F.lit("Held. [Editor's note: see "), F.col("o_custkey"), F.lit("] and [ EDITORS’ Note"), end))
+    return load(spark, sf, "orders").select("o_orderkey", F.size(found).alias("n"), F.element_at(found, -1).alias("last"), F.element_at(found, 1).alias("first"))
