@@ -100,7 +100,7 @@ def admit(df: DataFrame, group: str, pending: Column, flying: Column, cap: int,
     """Pending rows that fit below a cap less what is in flight, first in order."""
     room = cap - F.count_if(flying).over(Window.partitionBy(group))
     rank = F.row_number().over(Window.partitionBy(group, "_pending").orderBy(*order))
-    return df.withColumn("_pending", pending).withColumn("_room", room).withColumn("admit_rank", rank).where("_pending AND admit_rank <= _room").drop("_pending", "_room")
+    return df.withColumn("_pending", pending).withColumn("_room", room).withColumn("admit_rank", rank).where(F.col("admit_rank") <= cap).where("_pending AND admit_rank <= _room").drop("_pending", "_room")
 
 
 def whole_groups(df: DataFrame, group: str, budget: int, size: str = "n") -> DataFrame:

@@ -11,15 +11,24 @@ from pyspark.sql import functions as F
 def islands(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Runs ``(start, end, n)`` of consecutive integers of each key.
 
-    Without keys, values are grouped by ranges of 2**16 first and runs are joined at the
-    ends of ranges, so no task sees all values."""
+    Values are grouped by ranges of 2**16 first.  Without keys, only the runs that touch the
+    end of a range, at most two a range, meet in one task."""
     part = F.floor(F.col(value) / 65536)
     local = Window.partitionBy(*keys, "_part").orderBy(value)
     pieces = df.select(*keys, value).distinct().withColumn("_part", part).withColumn("_run", F.col(value) - F.row_number().over(local))
     pieces = pieces.groupBy(*keys, "_part", "_run").agg(F.min(value).alias("start"), F.max(value).alias("end"))
-    order = Window.partitionBy(*keys).orderBy("start")
-    joined = pieces.withColumn("_new", (F.coalesce(F.lag("end").over(order) + 1 != F.col("start"), F.lit(True))).cast("int")).withColumn("_id", F.sum("_new").over(order))
-    return joined.groupBy(*keys, "_id").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*keys, "start", "end", (F.col("end") - F.col("start") + 1).alias("n"))
+    if keys:
+        order = Window.partitionBy(*keys).orderBy("start")
+        joined = pieces.withColumn("_new", (F.coalesce(F.lag("end").over(order) + 1 != F.col("start"), F.lit(True))).cast("int")).withColumn("_id", F.sum("_new").over(order))
+        return joined.groupBy(*keys, "_id").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*keys, "start", "end", (F.col("end") - F.col("start") + 1).alias("n"))
+    # pieces inside of a range are whole runs; only those that touch both ends of neighbouring
+    # ranges go on, at most two a range, and only these meet in one window
+    begins, ends = F.col("start") == F.col("_part") * 65536, F.col("end") == F.col("_part") * 65536 + 65535
+    inner = pieces.where(~begins & ~ends).select("start", "end")
+    order = Window.orderBy("start")
+    edge = pieces.where(begins | ends).withColumn("_new", (F.coalesce(F.lag("end").over(order) + 1 != F.col("start"), F.lit(True))).cast("int")).withColumn("_id", F.sum("_new").over(order))
+    merged = edge.groupBy("_id").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("start", "end")
+    return inner.unionByName(merged).select("start", "end", (F.col("end") - F.col("start") + 1).alias("n"))
 
 
 def coverage_gaps(bounds: DataFrame, spans: DataFrame, key: str) -> DataFrame:

@@ -153,11 +153,11 @@ def q12_claim_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS returned
-FROM orders ORDER BY returned DESC, o_orderkey LIMIT 100""")
+FROM orders ORDER BY returned DESC, o_orderkey""")
 def q13_count_as_sort_key(spark: SparkSession, sf: str) -> DataFrame:
     returned = load(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     each = load(spark, sf, "orders").join(returned, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("returned"))
-    return each.orderBy(F.desc("returned"), "o_orderkey").limit(100)
+    return each.orderBy(F.desc("returned"), "o_orderkey")
 
 
 @query("SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS INTEGER), 0) AS k FROM events WHERE coalesce(CAST(json_extract(props, '$.k') AS INTEGER), 0) < 50")
@@ -257,11 +257,11 @@ f AS (SELECT o_orderpriority, 500 - least(480, count(*) FILTER (o_orderstatus =
 SELECT o_orderkey, o_orderpriority, admit_rank FROM p JOIN f USING (o_orderpriority) WHERE admit_rank <= room""")
 def q39_capacity(spark: SparkSession, sf: str) -> DataFrame:
     orders = load(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_orderdate")
-    # pending work is ranked in its group; only ranks below the cap can be admitted
+    # a cap bounds what any group admits, so ranks beyond it are cut in the tasks that send
     flying = orders.groupBy("o_orderpriority").agg((500 - F.least(F.lit(480), F.count_if(F.col("o_orderstatus") == "P"))).alias("room"))
     rank = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey"))
-    pending = orders.where("o_orderstatus = 'O'").withColumn("admit_rank", rank)
-    return pending.join(F.broadcast(flying), "o_orderpriority").where("admit_rank <= room").select("o_orderkey", "o_orderpriority", "admit_rank")
+    pending = orders.where("o_orderstatus = 'O'").withColumn("admit_rank", rank).where("admit_rank <= 500")
+    return pending.join(flying, "o_orderpriority").where("admit_rank <= room").select("o_orderkey", "o_orderpriority", "admit_rank")
 
 
 @query("""

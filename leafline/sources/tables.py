@@ -40,11 +40,23 @@ def read_parts(df: DataFrame, group: Sequence[str], part: str, first: str, last:
 
 
 def read_queue_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The scan queue: parts of one volume become one row with the widest page range."""
-    raw = spark.read.csv(path, header=True, schema="reporter string, volume string, status string, first_page int, last_page int")
-    status = F.lower(F.trim("status"))
-    named = F.when(status.isin("done", "complete"), "complete").when(status.isin("scanned"), "scanned").when(status.isin("scanning", "in progress"), "scanning").otherwise("needs_scanning")
-    return raw.withColumn("status", named).groupBy("reporter", "volume").agg(F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page"), F.count("*").alias("parts"), F.max("status").alias("status"))
+    """The queue of volumes, tab-separated: rows of one volume become one row.
+
+    The first row in the file gives status and source; page ranges widen over all rows; any
+    row with a part label makes the volume partial.  Rows without slug or volume go."""
+    raw = spark.read.csv(path, header=True, sep="\t", enforceSchema=False, schema="`Slug` string, `Volume #` string, `Part` string, `Status` string, `First Page` string, `Last Page` string, `Located` string")
+    status = F.lower(F.trim("Status"))
+    named = F.when(status.isin("done", "complete"), "complete").when(status == "captured", "captured").when(status == "in progress", "in_work").otherwise("waiting")
+    page = lambda c: F.trim(F.col(c)).try_cast("int")
+    rows = raw.select(F.trim("Slug").alias("reporter"), F.trim("Volume #").alias("volume"), named.alias("status"), F.trim("Located").alias("located"), (F.coalesce(F.trim("Part"), F.lit("")) != "").alias("part"), page("First Page").alias("first_page"), page("Last Page").alias("last_page"), F.monotonically_increasing_id().alias("row"))
+    volumes = rows.where("reporter <> '' AND volume <> ''").groupBy("reporter", "volume")
+    return volumes.agg(F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page"), F.count("*").alias("parts"), F.bool_or("part").alias("partial"), F.min_by("status", "row").alias("status"), F.min_by("located", "row").alias("located"))
+
+
+def checked_results(df: DataFrame, action: str, item: int, schema_version: int) -> DataFrame:
+    """Results of a worker; one of another action, item or schema version stops the query."""
+    checked = checked_envelope(df, F.col("action") == action, "action")
+    return checked_envelope(checked_envelope(checked, F.col("item") == item, "item"), F.col("schema") == schema_version, "schema version")
 
 
 def list_objects(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +67,8 @@ def list_objects(spark: SparkSession, path: str) -> DataFrame:
 def replace_sets(df: DataFrame, path: str, set_columns: Sequence[str]) -> None:
     """Replaces the sets that ``df`` has rows of and leaves the others; writing twice is the same as once.
 
-    The committer's marker is written last, so readers never see half a set."""
+    Partition folders are renamed one by one, so a reader beside the writer may see some sets
+    new and others old; the committer's marker comes last."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*set_columns).parquet(path)
 
 

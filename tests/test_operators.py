@@ -235,8 +235,6 @@ def test_sources(spark, tmp_path):
     assert tables.read_parts(parts, ["r"], "p", "f", "l").count() == 2
     with pytest.raises(Exception, match="part numbers"):
         tables.read_parts(parts.where("p = 1"), ["r"], "p", "f", "l").collect()
-    (tmp_path / "q.csv").write_text("reporter,volume,status,first_page,last_page\nA,1,done,1,9\nA,1,done,10,20\nB,1,,,\n")
-    assert rows(tables.read_queue_csv(spark, str(tmp_path / "q.csv")).select("reporter", "first_page", "last_page", "parts")) == [("A", 1, 20, 2), ("B", None, None, 1)]
     out = str(tmp_path / "sets")
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     tables.replace_sets(df, out, ["k"])
@@ -245,3 +243,49 @@ def test_sources(spark, tmp_path):
     assert tables.list_objects(spark, out).count() >= 2
     assert rows(tables.upsert(df, spark.createDataFrame([(2, "z"), (3, "n")], "k int, v string"), ["k"], ["v"])) == [(1, "a", "stale"), (2, "z", "match"), (3, "n", "new")]
     assert [r["k"] for r in tables.fetch_in_order(df, "k", [2, 1]).collect()] == [2, 1]
+
+
+def test_queue_file(spark, tmp_path):
+    path = tmp_path / "queue.tsv"
+    path.write_text("Slug\tVolume #\tPart\tStatus\tFirst Page\tLast Page\tLocated\nU\t1\tA\tDone\t10\t20\tshelf\nU\t1\tB\tin progress\t1\t\tbox\nU\t2\t\t\tx\t9\t\n\t3\t\tdone\t1\t2\t\n")
+    got = rows(tables.read_queue_csv(spark, str(path)), "volume")
+    assert got == [("U", "1", 1, 20, 2, True, "complete", "shelf"), ("U", "2", None, 9, 1, False, "waiting", None)]
+
+
+def test_json_lines_and_results(spark, tmp_path):
+    path = tmp_path / "out.jsonl"
+    path.write_text('{"action": "read", "item": 4, "schema": 2, "page": 1}\n{"action": "read", "item": 4, "schema": 2, "page": 2}\n')
+    df = tables.read_json_lines(spark, str(path), "action string, item int, schema int, page int")
+    assert rows(tables.checked_results(df, "read", 4, 2).select("page")) == [(1,), (2,)]
+    for action, item, version in (("write", 4, 2), ("read", 5, 2), ("read", 4, 1)):
+        with pytest.raises(Exception, match="unexpected"):
+            tables.checked_results(df, action, item, version).collect()
+    tables.write_documents(df.select(F.col("page").cast("string").alias("t")), str(tmp_path / "sink"), "t")
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "sink")).collect()) == ["1", "2"]
+
+
+def test_islands_across_ranges(spark):
+    values = [*range(65530, 65540), *range(2 * 65536 - 3, 2 * 65536), *range(3 * 65536, 5 * 65536 + 2), 7, 9, 10]
+    got = rows(sequences.islands(spark.createDataFrame([(v,) for v in values], "v long"), "v"))
+    assert got == [(7, 7, 1), (9, 10, 2), (65530, 65539, 10), (131069, 131071, 3), (196608, 327681, 131074)]
+
+
+def test_request_filters():
+    from leafline.operators import review
+
+    with pytest.raises(ValueError, match="no filter"):
+        review.request_filters({"drop": 1}, {})
+    assert review.request_filters({"a": "", "b": None}, {"a": "a =", "b": "b ="}) == []
+
+
+def test_marks_and_words_without_a_test_so_far(spark):
+    from leafline.functions import boxes
+
+    df = spark.createDataFrame([("A. b-C 1",)], "t string")
+    assert df.select(scalars.bare(F.col("t")), scalars.heading_words(F.col("t"))).first() == ("AbC1", "a b c")
+    b = tuple(F.lit(v) for v in (-4.0, 2.0, 16.0, 10.0))
+    got = df.select(*boxes.core(b), *boxes.clamp(b, F.lit(10.0), F.lit(8.0)), boxes.to_points(F.lit(100.0), F.lit(200.0))).first()
+    assert tuple(got) == (-1.0, 4.0, 13.0, 8.0, 0.0, 2.0, 10.0, 8.0, 36.0)
+    assert consensus.level("voted", "x", 2) == "blocking" and consensus.level("voted", "x", 2, minor=True) == "warning" and consensus.level("single", "x", 0) == "blocking" and consensus.level("unanimous", "x", 0) == "none"
+    rows_ = spark.createDataFrame([(1, None), (2, True), (3, False)], "i int, b boolean")
+    assert rows(rows_.where(relational.none_of(F.col("b"))).select("i")) == [(1,), (3,)]
