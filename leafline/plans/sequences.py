@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafline.functions import scalars
+from leafline.functions import pages, scalars
 from leafline.operators import relational as rel
 from leafline.operators import sequences as seq
-from leafline.functions import pages
 from leafline.plans.registry import registry
 from leafline.sources.tables import load
 
@@ -177,15 +176,15 @@ _UNITS = """u AS (SELECT l_orderkey, l_partkey * 10 + l_linenumber AS unit, CASE
  WHEN 3 THEN concat(l_partkey, ' - ', l_partkey + 5) WHEN 4 THEN concat('**', l_linenumber, '**') WHEN 5 THEN concat('L', l_partkey % 999, ' in the case of ', l_suppkey) WHEN 6 THEN concat('• ', l_suppkey, 'b') WHEN 7 THEN 'no number here' WHEN 8 THEN concat(l_partkey % 500, '¹', chr(10), 'Cite as 12 R ', l_suppkey)
  ELSE concat('12', chr(10), l_linenumber, 'd') END AS text, CAST(l_suppkey * 7 % 800 AS DOUBLE) AS x0, CAST(l_suppkey * 7 % 800 + 190 AS DOUBLE) AS x1, CAST(l_partkey % 1000 AS DOUBLE) AS y0, CAST(l_partkey % 1000 + 20 AS DOUBLE) AS y1,
  CASE l_returnflag WHEN 'R' THEN 'header' WHEN 'A' THEN 'footer' END AS zone FROM lineitem)"""
-_TOKEN = """CASE WHEN regexp_matches({0}, '^L?[0-9]{{1,4}}L?$') THEN struct_pack(d := regexp_extract({0}, '[0-9]+'), k := 'single') WHEN regexp_matches({0}, '^[0-9]{{2,4}}[a-fA-F]$') THEN struct_pack(d := {0}, k := 'suffixed')
+_READING = """CASE WHEN regexp_matches({0}, '^L?[0-9]{{1,4}}L?$') THEN struct_pack(d := regexp_extract({0}, '[0-9]+'), k := 'single') WHEN regexp_matches({0}, '^[0-9]{{2,4}}[a-fA-F]$') THEN struct_pack(d := {0}, k := 'suffixed')
  WHEN regexp_matches({0}, '^[0-9]{{1,4}}[-–][0-9]{{1,4}}$') AND CAST(regexp_extract({0}, '^[0-9]+') AS INT) >= 1 AND CAST(regexp_extract({0}, '[0-9]+$') AS INT) - CAST(regexp_extract({0}, '^[0-9]+') AS INT) BETWEEN 1 AND 200
  THEN struct_pack(d := concat(CAST(regexp_extract({0}, '^[0-9]+') AS INT), '-', CAST(regexp_extract({0}, '[0-9]+$') AS INT)), k := 'range') END"""
 
 
 @query(rf"""WITH {_UNITS}, s AS (SELECT *, string_split(text, chr(10)) AS ls FROM u), l AS (SELECT *, unnest(ls) AS raw, generate_subscripts(ls, 1) - 1 AS line FROM s),
 c AS (SELECT *, trim(regexp_replace(regexp_replace(raw, '[⁰¹²³⁴-⁹*_`~#]+', '', 'g'), '^[•·\s]+', '')) AS t FROM l), w AS (SELECT *, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') AS tk, regexp_replace(t, '\s*[-–]\s*', '-') AS joined FROM c),
-r AS (SELECT *, CASE WHEN regexp_matches(t, '^[0-9]{{1,4}}\s*[-–]\s*[0-9]{{1,4}}$') AND {_TOKEN.format("joined")} IS NOT NULL THEN [struct_pack(s := 'both', v := {_TOKEN.format("joined")})]
- WHEN len(tk) = 1 THEN [struct_pack(s := 'both', v := {_TOKEN.format("tk[1]")})] ELSE [struct_pack(s := 'left', v := {_TOKEN.format("tk[1]")}), struct_pack(s := 'right', v := {_TOKEN.format("tk[-1]")})] END AS rs FROM w),
+r AS (SELECT *, CASE WHEN regexp_matches(t, '^[0-9]{{1,4}}\s*[-–]\s*[0-9]{{1,4}}$') AND {_READING.format("joined")} IS NOT NULL THEN [struct_pack(s := 'both', v := {_READING.format("joined")})]
+ WHEN len(tk) = 1 THEN [struct_pack(s := 'both', v := {_READING.format("tk[1]")})] ELSE [struct_pack(s := 'left', v := {_READING.format("tk[1]")}), struct_pack(s := 'right', v := {_READING.format("tk[-1]")})] END AS rs FROM w),
 e AS (SELECT l_orderkey, unit, line, zone, x0, x1, y0, y1, unnest(rs) AS r FROM r),
 g AS (SELECT *, r.s AS side, r.v.d AS detected, r.v.k AS kind, CASE WHEN y1 < 85 THEN 'header' WHEN y0 > 950 THEN 'footer' END AS band, greatest(CASE r.s WHEN 'left' THEN x0 WHEN 'right' THEN 1000 - x1 ELSE least(x0, 1000 - x1) END, 0) / 1000 AS distance FROM e WHERE r.v IS NOT NULL),
 k AS (SELECT *, coalesce(zone, band) AS zn, CASE WHEN distance <= 0.25 AND zone IS NOT NULL AND band IS NOT NULL THEN 1.0 WHEN (distance <= 0.25 AND (zone IS NOT NULL OR band IS NOT NULL)) OR (side = 'both' AND zone IS NOT NULL AND band IS NOT NULL) THEN 0.8 ELSE 0.5 END AS score FROM g
