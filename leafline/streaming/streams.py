@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -16,10 +17,13 @@ from leafline.sources.tables import load
 STATE = "user_id long, ts timestamp, event_id long, status string, seen long"
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a file stream, with an event time that watermarks accept."""
+def event_stream(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+    """The events table as a file stream, with an event time that watermarks accept.
+
+    ``files`` bounds what one micro-batch takes: the back-pressure of a file source."""
     schema: StructType = load(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").format("parquet").load(f"{sf_dir}/events.parquet")
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    raw = (reader.option("maxFilesPerTrigger", files) if files else reader).format("parquet").load(f"{sf_dir}/events.parquet")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -48,6 +52,20 @@ def _shared(spark: SparkSession) -> str:
     return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/streams"
 
 
+@contextlib.contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed state needs; the session's own setting comes back after."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
 class LatestStatus(StatefulProcessor):
     """Keeps each job's newest event and how many were seen; late events only count."""
 
@@ -71,15 +89,8 @@ class LatestStatus(StatefulProcessor):
 
 def latest_state(spark: SparkSession, events: DataFrame) -> DataFrame:
     """``user_id``, ``status`` and ``seen``: a keyed state machine over the stream."""
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with with_rocksdb(spark):
         stream = events.groupBy("user_id").transformWithStateInPandas(LatestStatus(), STATE, "Update", "None")
         rows = run_once(spark, stream, "latest", "update")
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     last = rows.groupBy("user_id").agg(F.max_by(F.struct("status", "seen"), "seen").alias("s"))
     return last.select("user_id", "s.status", "s.seen")
