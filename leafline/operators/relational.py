@@ -53,12 +53,13 @@ def funnel(df: DataFrame, key: str, stages: Mapping[str, Column]) -> DataFrame:
     return sums.select(F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.col(s).alias("n")) for s in stages))).alias("r")).select("r.stage", "r.n")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, columns: Sequence[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, columns: Sequence[str], left_at: str | None = None) -> DataFrame:
     """Each left row with the last right row of its keys at or before it: one shuffle, one sort, no range join.
 
-    Right rows at the same instant count; of equal right instants, the one with the greatest columns."""
+    Right rows at the same instant count; of equal right instants, the one with the greatest columns.
+    ``left_at`` names the left side's instant where it differs from ``at``."""
     r = right.select(*keys, F.col(at).alias("_at"), F.struct(F.col(at).alias("_at"), *columns).alias("_r"))
-    both = left.withColumn("_at", F.col(at)).withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).withColumn("_left", F.lit(1))
+    both = left.withColumn("_at", F.col(left_at or at)).withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).withColumn("_left", F.lit(1))
     both = both.unionByName(r.withColumn("_left", F.lit(0)), allowMissingColumns=True)
     order = Window.partitionBy(*keys).orderBy("_at", "_left", "_r").rowsBetween(Window.unboundedPreceding, 0)
     filled = both.withColumn("_r", F.last("_r", ignorenulls=True).over(order)).where("_left = 1")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafline.operators.relational import as_of
 
 def islands(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Runs ``(start, end, n)`` of consecutive integers of each key.
@@ -124,17 +125,27 @@ def plan_shards(df: DataFrame, pages: str, size: str, most_bytes: int, most_page
 
 
 def slot_order(pages: DataFrame, edits: DataFrame, key: str, page: str) -> DataFrame:
-    """The final order after edits: deletes go, moves land after their target, inserts after their anchor.
-
-    ``edits``: ``key``, ``page``, ``kind`` (delete, move, insert), ``target`` (page after which it goes)."""
-    own = edits.where("kind IN ('delete', 'move')").select(key, page, F.col("kind").alias("_kind"), F.col("target").alias("_target"))
-    kept = pages.join(own, [key, page], "left").where("_kind IS NULL OR _kind <> 'delete'")
-    slot = F.when(F.col("_kind") == "move", F.col("_target")).otherwise(F.col(page))
-    rows = kept.select(key, F.col(page).alias("source"), slot.alias("_slot"), F.when(F.col("_kind") == "move", 2).otherwise(0).alias("_rank"))
-    new = edits.where("kind = 'insert'").select(key, F.lit(None).cast("long").alias("source"), F.col("target").alias("_slot"), F.lit(1).alias("_rank"), F.col(page).alias("_tie"))
-    every = rows.withColumn("_tie", F.col("source")).unionByName(new)
-    order = Window.partitionBy(key).orderBy("_slot", "_rank", "_tie")
-    return every.withColumn("final", F.row_number().over(order) - 1).select(key, "source", "final")
+    """The final order after edits, one row a final page: what it is made of and where it stands.
+
+    ``edits`` has ``key``, ``page``, ``kind`` and ``target``, and may have ``count`` and ``turn``.
+    A delete drops its page, a replace puts ``count`` pages in its slot, a rotate turns it by
+    ``turn``; the first of these three wins.  A move takes what the page became to the gap after
+    ``target``, in page order; inserts of ``count`` pages follow there, in the order of ``page``."""
+    for name, kind in (("count", "int"), ("turn", "int")):
+        if name not in edits.columns:
+            edits = edits.withColumn(name, F.lit(None).cast(kind))
+    of = lambda kind, value: F.max(F.when(F.col("kind") == kind, value))
+    many = F.coalesce("count", F.lit(1))
+    own = edits.where("kind <> 'insert'").groupBy(key, page).agg(of("delete", F.lit(1)).alias("_gone"), of("move", F.col("target")).alias("_to"), of("replace", many).alias("_new"), of("rotate", F.col("turn")).alias("_turn"))
+    kept = pages.select(key, page).join(own, [key, page], "left").where("_gone IS NULL")
+    made = F.when(F.col("_new").isNotNull(), "replace").when(F.col("_turn").isNotNull(), "rotate").otherwise("original")
+    turn = F.when(made == "rotate", F.col("_turn"))
+    slot, rank = F.coalesce("_to", page), F.col("_to").isNotNull().cast("int")
+    rows = kept.select(key, F.col(page).alias("source"), made.alias("made"), turn.alias("turn"), slot.alias("_slot"), rank.alias("_rank"), F.col(page).alias("_tie"), F.coalesce("_new", F.lit(1)).alias("_n"))
+    new = edits.where("kind = 'insert'").select(key, F.lit(None).cast(pages.schema[page].dataType).alias("source"), F.lit("insert").alias("made"), F.lit(None).cast("int").alias("turn"), F.col("target").alias("_slot"), F.lit(2).alias("_rank"), F.col(page).alias("_tie"), many.alias("_n"))
+    every = rows.unionByName(new).where("_n > 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    order = Window.partitionBy(key).orderBy("_slot", "_rank", "_tie", "part")
+    return every.withColumn("final", F.row_number().over(order) - 1).select(key, "source", "made", "part", "turn", "final")
 
 
 def trailing_gap(df: DataFrame, keys: Sequence[str], order: str, known: Column) -> DataFrame:
@@ -186,3 +197,20 @@ def accepted_labels(df: DataFrame, keys: Sequence[str], order: Sequence[str], nu
         return F.struct(F.when(good, x["_n"]).otherwise(s["last"]).alias("last"), F.when(good, F.concat(s["out"], F.array(x["_n"]))).otherwise(s["out"]).alias("out"))
 
     return df.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.aggregate("_rows", start, take)["out"].alias("labels"))
+
+
+def printed_spans(boundaries: DataFrame, numbers: DataFrame, key: str) -> DataFrame:
+    """``first`` and ``last`` printed page of each boundary (``start``, ``end``), or its ``fault``.
+
+    ``numbers`` has ``page``, ``low`` and, on pages that print a range, ``high``.  A range gives
+    its end to what begins there and its start to what ends there; what lies on one page has all
+    of it.  The last number is that of the last numbered page after the start, so pages without
+    one at the end are skipped.  Faults: ``no_number`` at the start, ``backwards``."""
+    begins = numbers.select(key, F.col("page").alias("start"), F.col("low").alias("_low"), F.coalesce("high", "low").alias("_high"))
+    found = as_of(boundaries.join(begins, [key, "start"], "left"), numbers, [key], "page", ["low"], left_at="end")
+    within = F.col("end") <= F.col("start")
+    first = F.when(within, F.col("_low")).otherwise(F.col("_high"))
+    last = F.when(within, F.col("_high")).when(F.col("matched_at") > F.col("start"), F.col("matched_low")).otherwise(first)
+    fault = F.when(F.col("_low").isNull(), "no_number").when(last < first, "backwards")
+    good = lambda c: F.when(fault.isNull(), c)
+    return found.select(*boundaries.columns, good(first).alias("first"), good(last).alias("last"), fault.alias("fault"))

@@ -137,16 +137,19 @@ _KIND = "substr(md5(concat('e|', conv_id, '|', turn)), 1, 1)"
 
 
 @query(f"""
-WITH p AS (SELECT conv_id, turn, CASE WHEN {_KIND} < '2' THEN 'delete' WHEN {_KIND} < '4' THEN 'move' WHEN {_KIND} < '6' THEN 'insert' END AS kind, (turn + 2) % 4 AS target FROM conversations),
-r AS (SELECT conv_id, turn AS source, CASE WHEN kind = 'move' THEN target ELSE turn END AS slot, CASE WHEN kind = 'move' THEN 2 ELSE 0 END AS rank, turn AS tie FROM p WHERE kind IS NULL OR kind <> 'delete'
- UNION ALL SELECT conv_id, NULL, target, 1, turn FROM p WHERE kind = 'insert')
-SELECT conv_id, source, row_number() OVER (PARTITION BY conv_id ORDER BY slot, rank, tie) - 1 AS final FROM r""")
+WITH p AS (SELECT conv_id, turn, CASE WHEN {_KIND} < '2' THEN 'delete' WHEN {_KIND} < '4' THEN 'move' WHEN {_KIND} < '6' THEN 'insert' WHEN {_KIND} < '8' THEN 'replace' WHEN {_KIND} < 'a' THEN 'rotate' ELSE '' END AS kind, (turn + 2) % 4 AS target FROM conversations),
+m AS (SELECT *, kind = 'move' OR (kind IN ('delete', 'replace', 'rotate') AND turn % 2 = 1) AS moved FROM p),
+r AS (SELECT conv_id, turn AS source, CASE WHEN kind IN ('replace', 'rotate') THEN kind ELSE 'original' END AS made, CASE kind WHEN 'rotate' THEN 90 END AS turned, CASE WHEN moved THEN target ELSE turn END AS slot, CASE WHEN moved THEN 1 ELSE 0 END AS rank, turn AS tie, unnest(CASE kind WHEN 'replace' THEN [0, 1] ELSE [0] END) AS part FROM m WHERE kind <> 'delete'
+ UNION ALL SELECT conv_id, NULL, 'insert', NULL, target, 2, turn, unnest([0, 1]) FROM p WHERE kind = 'insert')
+SELECT conv_id, source, made, part, turned, row_number() OVER (PARTITION BY conv_id ORDER BY slot, rank, tie, part) - 1 AS final FROM r""")
 def q36_slot_order(spark: SparkSession, sf: str) -> DataFrame:
     pages = load(spark, sf, "conversations").select("conv_id", "turn")
     digit = F.substring(F.md5(F.concat(F.lit("e|"), "conv_id", F.lit("|"), "turn")), 1, 1)
-    kind = F.when(digit < "2", "delete").when(digit < "4", "move").when(digit < "6", "insert")
-    edits = pages.withColumn("kind", kind).withColumn("target", (F.col("turn") + 2) % 4).where("kind IS NOT NULL")
-    return seq.slot_order(pages, edits, "conv_id", "turn").select("conv_id", "source", F.col("final").cast("long").alias("final"))
+    kind = F.when(digit < "2", "delete").when(digit < "4", "move").when(digit < "6", "insert").when(digit < "8", "replace").when(digit < "a", "rotate")
+    also = F.when(kind.isin("delete", "replace", "rotate") & (F.col("turn") % 2 == 1), F.array(kind, F.lit("move"))).otherwise(F.array(kind))
+    edits = pages.select("conv_id", F.col("turn").alias("page"), ((F.col("turn") + 2) % 4).alias("target"), F.explode(also).alias("kind"), F.lit(2).alias("count"), F.lit(90).alias("turn")).where("kind IS NOT NULL")
+    out = seq.slot_order(pages.withColumnRenamed("turn", "page"), edits, "conv_id", "page")
+    return out.select("conv_id", "source", "made", F.col("part").cast("int").alias("part"), F.col("turn").alias("turned"), F.col("final").cast("long").alias("final"))
 
 
 _TOKEN = "CASE p_partkey % 5 WHEN 0 THEN concat(p_partkey, '-', p_partkey + p_size) WHEN 1 THEN concat(p_partkey, 'b') WHEN 2 THEN concat(p_partkey, '-', greatest(p_partkey - p_size, 0)) WHEN 3 THEN CAST(p_partkey AS VARCHAR) ELSE p_name END"
@@ -200,3 +203,18 @@ def q102_page_number_candidates(spark: SparkSession, sf: str) -> DataFrame:
     zone = F.when(F.col("l_returnflag") == "R", "header").when(F.col("l_returnflag") == "A", "footer")
     units = load(spark, sf, "lineitem").select("l_orderkey", (p * 10 + n).alias("unit"), text.alias("text"), x0.alias("x0"), (x0 + 190).alias("x1"), y0.alias("y0"), (y0 + 20).alias("y1"), F.lit(1000.0).alias("width"), F.lit(1000.0).alias("height"), zone.alias("zone"))
     return pages.candidates(units, ["l_orderkey"]).where("rank = 1").select("l_orderkey", "detected", F.col("type").alias("kind"), "zone", "score")
+
+
+@query("""
+WITH n AS (SELECT l_orderkey AS k, l_linenumber AS page, min(1000 + CASE WHEN l_partkey % 9 = 0 THEN 0 ELSE 2 * l_linenumber END) AS low, bool_or(l_returnflag = 'R') AS ranged FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL),
+b AS (SELECT o_orderkey AS k, 1 + o_orderkey % 3 AS s, 1 + o_orderkey % 3 + o_custkey % 4 AS e FROM orders),
+j AS (SELECT b.k, s, e, n.low, CASE WHEN ranged THEN n.low + 1 ELSE n.low END AS high, (SELECT max_by(m.low, m.page) FROM n m WHERE m.k = b.k AND m.page > b.s AND m.page <= b.e) AS later FROM b LEFT JOIN n ON n.k = b.k AND n.page = b.s),
+f AS (SELECT *, CASE WHEN e <= s THEN low ELSE high END AS f, CASE WHEN e <= s THEN high ELSE coalesce(later, high) END AS l FROM j)
+SELECT k, CASE WHEN l >= f THEN f END AS "first", CASE WHEN l >= f THEN l END AS "last", CASE WHEN low IS NULL THEN 'no_number' WHEN l < f THEN 'backwards' END AS fault FROM f""")
+def q118_printed_spans(spark: SparkSession, sf: str) -> DataFrame:
+    number = 1000 + F.when(F.col("l_partkey") % 9 == 0, 0).otherwise(2 * F.col("l_linenumber"))
+    lines = load(spark, sf, "lineitem").where("l_returnflag <> 'A'").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("page"))
+    numbers = lines.agg(F.min(number).alias("low"), F.bool_or(F.col("l_returnflag") == "R").alias("r")).select("k", "page", "low", F.when(F.col("r"), F.col("low") + 1).alias("high"))
+    start = 1 + F.col("o_orderkey") % 3
+    bounds = load(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), start.alias("start"), (start + F.col("o_custkey") % 4).alias("end"))
+    return seq.printed_spans(bounds, numbers, "k").select("k", "first", "last", "fault")

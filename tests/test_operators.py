@@ -92,6 +92,21 @@ def test_slot_order(spark):
     assert [r[1] for r in rows(sequences.slot_order(pages, edits, "k", "p"), "final")] == [2, 0, 3, None]
 
 
+def test_moved_pages_land_before_inserts_and_the_stronger_edit_wins(spark):
+    pages = spark.createDataFrame([(1, p) for p in range(1, 5)], "k int, p long")
+    edits = [(1, 1, "move", 3, None, None), (1, 0, "insert", 3, 2, None), (1, 2, "replace", None, 2, None), (1, 2, "rotate", None, None, 90), (1, 4, "rotate", None, None, 180), (1, 4, "move", 0, None, None), (1, 3, "move", 9, None, None), (1, 3, "delete", None, None, None)]
+    out = sequences.slot_order(pages, spark.createDataFrame(edits, "k int, p long, kind string, target long, count int, turn int"), "k", "p")
+    assert [tuple(r)[1:5] for r in out.orderBy("final").collect()] == [(4, "rotate", 0, 180), (2, "replace", 0, None), (2, "replace", 1, None), (1, "original", 0, None), (None, "insert", 0, None), (None, "insert", 1, None)]
+
+
+def test_printed_spans(spark):
+    numbers = spark.createDataFrame([(1, 0, 10, None), (1, 1, 11, 12), (1, 3, 14, 15), (1, 5, 3, None)], "k int, page int, low int, high int")
+    bounds = spark.createDataFrame([(1, 1, 1), (1, 1, 3), (1, 1, 4), (1, 1, 2), (1, 2, 3), (1, 3, 5), (2, 1, 1), (None, 1, 1)], "k int, start int, end int")
+    out = {tuple(r)[:3]: tuple(r)[3:] for r in sequences.printed_spans(bounds, numbers, "k").collect()}
+    assert out == {(1, 1, 1): (11, 12, None), (1, 1, 3): (12, 14, None), (1, 1, 4): (12, 14, None), (1, 1, 2): (12, 12, None), (1, 2, 3): (None, None, "no_number"), (1, 3, 5): (None, None, "backwards"), (2, 1, 1): (None, None, "no_number"), (None, 1, 1): (None, None, "no_number")}
+    assert sequences.printed_spans(bounds.limit(0), numbers, "k").count() == 0
+
+
 def test_greedy_orders_differ(spark):
     pairs = spark.createDataFrame([("p", 1, 1, 0.6), ("p", 1, 2, 0.6), ("p", 2, 1, 0.9)], "k string, a long, b long, s double")
     assert rows(matching.greedy_by_row(pairs, ["k"], "a", "b", "s")) == [("p", 1, 1, 0.6)]
