@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from leafline.plans import boxes, jobs, relational, review, sequences, texts
+from leafline.plans import boxes, jobs, relational, review, sequences, texts, writings
 
 QUERIES = {}
 ORACLE_SQL = {}
-for module in (relational, review, sequences, boxes, texts, jobs):
+for module in (relational, review, sequences, boxes, texts, jobs, writings):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
