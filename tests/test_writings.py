@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafline.functions import boxes
-from leafline.operators import matching, writings
+from leafline.operators import consensus, matching, pages, writings
 
 SPANS = "k int, i long, tagged boolean, caption boolean, author boolean, opens boolean, separate boolean"
 
@@ -94,3 +94,58 @@ def test_edges_and_text_boxes(spark):
     cells = spark.createDataFrame([([(-5.0, 10.0, 50.0, 20.0), (10.0, 5.0, 120.0, 30.0)],), ([],), (None,)], "cells array<struct<x0:double,y0:double,x1:double,y1:double>>")
     box = boxes.text_box(F.col("cells"), (F.lit(100.0), F.lit(100.0)), (F.lit(200.0), F.lit(400.0)))
     assert [r[0] and tuple(r[0]) for r in cells.select(box).collect()] == [(0.0, 20.0, 200.0, 120.0), None, None]
+
+
+def unit(rank, box, text, kind=None):
+    return rank, "abc"[rank], tuple(float(v) for v in box), text, kind
+
+
+def test_a_page_is_ordered_and_voted():
+    left, right, top, note = (40, 100, 280, 130), (320, 100, 560, 130), (40, 20, 560, 40), (40, 700, 280, 730)
+    more = [unit(r, b, t) for r in range(3) for b, t in (((40, 200, 280, 230), "Low left"), ((320, 200, 560, 230), "Low right"))]
+    units = [
+        *more,
+        *(unit(r, right, "Right text", "heading" if r == 0 else "list_item") for r in range(3)),
+        *(unit(r, left, t) for r, t in enumerate(["Left text", "Left text", "Lift text"])),
+        unit(0, top, "Head"), unit(1, top, "Head"),
+        unit(2, note, "1 A note"),
+        unit(0, (300, 500, 310, 510), "  "),
+    ]
+    got = pages.page_groups(units, 600.0, 800.0, [(0.0, 690.0, 600.0, 760.0)])
+    assert [(g["band"], g["side"], g["text"], g["status"], g["level"], g["readers"]) for g in got] == [
+        ("head", None, "Head", "unanimous", "none", "a,b"),
+        ("body", "left", "Left text", "majority", "warning", "a,b,c"),
+        ("body", "left", "Low left", "unanimous", "none", "a,b,c"),
+        ("body", "right", "Right text", "unanimous", "none", "a,b,c"),
+        ("body", "right", "Low right", "unanimous", "none", "a,b,c"),
+        ("footnotes", "left", "1 A note", "single", "blocking", "c"),
+    ]
+    assert [g["kind"] for g in got][3] == "list_item" and [g["id"] for g in got] == list(range(6))
+    assert [(g["start"], g["end"]) for g in got if g["section"] == "footnotes"] == [(0, 8)] and got[1]["start"] == len("Head") + 2
+    assert pages.page_groups([], 600.0, 800.0, []) == []
+
+
+def test_a_block_over_the_zone_does_not_take_its_notes():
+    zone = (0.0, 100.0, 100.0, 200.0)
+    units = [("a", (0.0, 0.0, 100.0, 160.0), "body and note"), ("b", (0.0, 0.0, 100.0, 90.0), "body"), ("b", (0.0, 110.0, 100.0, 160.0), "note")]
+    assert sorted(map(sorted, consensus.align_page(units))) != sorted(map(sorted, consensus.align_page(units, zones=[zone])))
+    assert sorted(map(sorted, consensus.align_page(units, zones=[zone])))[-1] == [2]
+
+
+def test_open_places_and_items():
+    assert consensus.open_places(["the cat sat", "the cot sat", "the cut sat"]) == [("cat", ["cat", "cot", "cut"])]
+    assert consensus.open_places(["the cat", "the cat", "the cot"]) == [] and consensus.open_places([None, "x"]) == []
+    text = "Held: 1. One thing 2. Two things"
+    assert consensus.item_starts(text, [(text, [6, 19]), ("Held: 1. One thing 2. Too things", [6]), ("1. One", [0])], 2) == [6]
+    assert consensus.item_starts("", [("a", [0])], 1) == []
+
+
+def test_built_pages_and_documents(spark):
+    heads = spark.createDataFrame([(1, p, r, k, w, 800.0, e) for p, r, k, w, e in [(1, "a", 0, 600.0, None), (1, "b", 1, None, None), (1, "c", 2, 600.0, "timed out"), (2, "a", 0, None, None), (3, "a", 0, 600.0, "gone"), (4, "a", 0, 600.0, None)]], "doc int, page int, reader string, rank int, width double, height double, error string")
+    units = spark.createDataFrame([(1, 1, r, k, 40.0, y, 280.0, y + 30, t, None) for r, k, y, t in [("a", 0, 100.0, "One text"), ("b", 1, 101.0, "One text"), ("c", 2, 100.0, "Not this"), ("a", 0, 700.0, "A note")]] + [(1, 4, "a", 0, 1.0, 100.0, 9.0, 120.0, "Last", "heading")], "doc int, page int, reader string, rank int, x0 double, y0 double, x1 double, y1 double, text string, kind string")
+    zones = spark.createDataFrame([(1, 1, 0.0, 690.0, 600.0, 790.0)], "doc int, page int, x0 double, y0 double, x1 double, y1 double")
+    out = pages.built(heads, units, zones, ["doc", "page"])
+    assert sorted((r.page, r.id, r.section, r.text, r.missing, r.error) for r in out.where("page <> 2 AND page <> 3").collect()) == [(1, 0, "body", "One text", "c", None), (1, 1, "footnotes", "A note", "c", None), (4, 0, "body", "Last", "", None)]
+    assert sorted((r.page, r.id, r.missing, r.error) for r in out.where("page IN (2, 3)").collect()) == [(2, None, "", pages.UNMEASURED), (3, None, "a", "gone")]
+    assert [tuple(r) for r in pages.documents(out, ["doc"], "page").collect()] == [(1, "One text\n\nLast", "A note", 3, 2, 0)]
+    assert pages.built(heads.limit(0), units.limit(0), zones.limit(0), ["doc", "page"]).count() == 0
