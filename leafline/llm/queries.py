@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import decontaminate, embedding_dedup, jaccard_join, language_id, lm_score, mixing, scratch, substring_dedup, suffix_dedup, token_count, warc
+from leafline.llm import decontaminate, embedding_dedup, jaccard_join, language_id, lm_score, mixing, piece_codec, scratch, substring_dedup, suffix_dedup, token_count, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,6 +60,16 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = piece_codec.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), model, packed=True)
+    out = piece_codec.decode(coded, model, text="decoded")
+    n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return out.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = read(spark, sf_dir, "labels").where("quality = 1")
     return lm_score.score(read(spark, sf_dir, "documents"), good)
@@ -76,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_count": op9_token_count,
     "op10_lm_score": op10_lm_score,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 _COMPONENTS = """c(id, r) AS (SELECT DISTINCT a, a FROM l UNION SELECT c.id, l.b FROM c JOIN l ON l.a = c.r), m AS (SELECT id, min(r) AS least FROM c GROUP BY 1)"""
 #: SQL of the operators that it can express; the language model, the alignment, the byte-pair

@@ -86,6 +86,13 @@ class HeapBpe:
         ranks = self.ranks
         if unit in ranks and len(unit) <= 2:
             return 1
+        symbols, merges = self.merged(unit)
+        return len(symbols) - merges + sum(len(s.encode("utf-8", "surrogatepass")) - 1 for s in symbols if s is not None and len(s) == 1 and s not in ranks)
+
+    def merged(self, unit: str) -> tuple[list[str | None], int]:
+        """The symbols of ``unit`` when no pair is left to merge, None where one was merged into
+        a symbol before it, and the number of merges."""
+        ranks = self.ranks
         symbols: list[str | None] = list(unit)
         n = len(symbols)
         heap = [(r, i, p) for i, p in enumerate(map("".join, zip(symbols, symbols[1:], strict=False))) if (r := ranks.get(p)) is not None]
@@ -114,7 +121,7 @@ class HeapBpe:
                     joined = symbols[h] + piece  # type: ignore[operator]
                     if (r := ranks.get(joined)) is not None:
                         heappush(heap, (r, h, joined))
-        return n - merges + sum(len(s.encode("utf-8", "surrogatepass")) - 1 for s in symbols if s is not None and len(s) == 1 and s not in ranks)
+        return symbols, merges
 
 
 _MODELS: dict[int, HeapBpe] = {}
