@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import decontaminate, embedding_dedup, jaccard_join, language_id, lm_score, mixing, piece_codec, scratch, substring_dedup, suffix_dedup, token_count, warc
+from leafline.llm import decontaminate, embedding_dedup, filter_audit, jaccard_join, language_id, lm_score, mixing, piece_codec, scratch, substring_dedup, suffix_dedup, token_count, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_count": op9_token_count,
     "op10_lm_score": op10_lm_score,
+    "op12_filter_audit": op12_filter_audit,
     "op13_sentencepiece": op13_sentencepiece,
 }
 _COMPONENTS = """c(id, r) AS (SELECT DISTINCT a, a FROM l UNION SELECT c.id, l.b FROM c JOIN l ON l.a = c.r), m AS (SELECT id, min(r) AS least FROM c GROUP BY 1)"""
@@ -107,6 +112,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(removed, 0) AS n_remo
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), u AS (SELECT *, sqrt(list_inner_product(e, e)) AS s FROM v),
 w AS (SELECT * FROM u WHERE s > 0), l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM w x JOIN w y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_inner_product(x.e, y.e) / (x.s * y.s) >= 0.93), {_COMPONENTS},
 n AS (SELECT a, count(*) AS links FROM l GROUP BY 1) SELECT vec_id, coalesce(links, 0) AS n_links, coalesce(least, vec_id) AS component_id, coalesce(least, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN m ON id = vec_id""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents), b AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(least < doc_id, false)] AS x FROM b),
+y AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, x, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN y USING (doc_id) GROUP BY 1, 2),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c), o AS (SELECT a.c || b.c || e.c || g.c || h.c AS filter_order FROM c a, c b, c e, c g, c h WHERE len(list_distinct([a.c, b.c, e.c, g.c, h.c])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS f, list_transform(range(1, step), lambda k: ascii(filter_order[k]) - 64) AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step) q),
+r AS (SELECT part, filter_order, step, f, n, good, toxic, x[ascii(f) - 64] AS own, len(list_filter(before, lambda k: x[k])) > 0 AS gone, len(list_filter(x, lambda v: v)) AS fails FROM m, s),
+z AS (SELECT part, filter_order, step, f, sum(n) FILTER (NOT own AND NOT gone) AS kept, sum(n) FILTER (own AND NOT gone) AS removed, sum(n) FILTER (own AND gone) AS redundant, sum(n) FILTER (own AND fails = 1) AS unique_fails, sum(good) FILTER (own AND NOT gone) AS good_lost, sum(toxic) FILTER (own AND NOT gone) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+ CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley FROM z""",
     "op7_ngram_jaccard": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
