@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import decontaminate, embedding_dedup, filter_audit, jaccard_join, language_id, lm_score, mixing, piece_codec, scratch, substring_dedup, suffix_dedup, token_count, warc
+from leafline.llm import decontaminate, embedding_dedup, filter_audit, jaccard_join, language_id, lm_score, mixing, piece_codec, scratch, spelling, substring_dedup, suffix_dedup, token_count, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_count": op9_token_count,
     "op10_lm_score": op10_lm_score,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_filter_audit": op12_filter_audit,
     "op13_sentencepiece": op13_sentencepiece,
 }
