@@ -19,6 +19,7 @@ BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xC2B2AE3D27D4EB4F
 WORD_BASE_2 = 0xA0761D6478BD642F
 BYTE_WINDOW_BASE = 0xD6E8FEB86659FD93
+BLOCK_STEP = 0x8EBC6AF09C88C6E3
 MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 #: The word separators of the contracts: space and 0x09 to 0x0D.
@@ -105,20 +106,37 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BYTE_BASE) -> np.ndarray:
-    """A 64-bit polynomial hash of each word's bytes, from one prefix sum."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes.
+
+    A word is cut into blocks of eight bytes; each block is mixed with its place, and the
+    sums of a word's blocks are mixed again with its length.  A polynomial modulo 2**64 would
+    take different words of one structure for equal, whatever its base; here they would
+    have to meet by chance."""
     if len(starts) == 0:
         return np.zeros(0, U64)
-    up, down = powers(base, data.size + 1)
-    prefix = np.zeros(data.size + 1, dtype=U64)
-    term = data.astype(U64)
-    term += U64(1)
-    term *= up[: data.size]
-    np.cumsum(term, out=prefix[1:])
-    h = prefix[ends]
-    h -= prefix[starts]
-    h *= down[starts]
-    return mix(h)
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    short = size <= 8
+    h = np.zeros(len(starts), dtype=U64)
+    h[short] = mix(_block(eight, starts[short], size[short]) + U64(BLOCK_STEP))
+    at, some = starts[~short], size[~short]
+    if len(at):
+        blocks = (some + 7) >> 3
+        first = np.cumsum(blocks) - blocks
+        nth = np.arange(int(blocks.sum()), dtype=np.int64) - np.repeat(first, blocks)
+        left = np.repeat(some, blocks) - 8 * nth
+        term = _block(eight, np.repeat(at, blocks) + 8 * nth, left) + (nth + 1).astype(U64) * U64(BLOCK_STEP)
+        h[~short] = np.add.reduceat(mix(term), first)
+    return mix(h + size.astype(U64) * U64(BYTE_BASE))
+
+
+def _block(eight: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as a number, without those from ``left`` on."""
+    x = eight[at].view("<u8").ravel()
+    cut = np.maximum(0, 8 - left).astype(U64) * U64(8)
+    return (x << cut) >> cut
 
 
 def windows(x: np.ndarray, length: int, base: int) -> np.ndarray:

@@ -70,10 +70,7 @@ class Words:
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.code, self.documents = code, len(texts)
         self.doc = np.searchsorted(off, starts, side="right") - 1
-        up, down = kernels.powers(CHAR_BASE, len(code) + 1)
-        prefix = np.zeros(len(code) + 1, dtype=U64)
-        np.cumsum((code.astype(U64) + U64(1)) * up[: len(code)], out=prefix[1:])
-        h = kernels.mix((prefix[ends] - prefix[starts]) * down[starts])
+        h = kernels.word_hashes(code.view(np.uint8), 4 * starts, 4 * ends)
         self.key, first, self.of = np.unique(h, return_index=True, return_inverse=True)
         self.start, self.size = starts[first], (ends - starts)[first]
 
