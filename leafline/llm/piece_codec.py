@@ -5,7 +5,8 @@ the escaped text falls apart at its markers into *chunks*: markers with the word
 behind them.  No merge crosses a chunk's edge, so the ids of a text are those of its
 chunks in order.  A task keeps a table of the distinct chunks that it has met: each
 is segmented once, into a row of ids, and a text is a list of row numbers by position.
-The ids are joined back for a whole Arrow batch at once, by gathering the rows.
+New short chunks of a batch are merged together, round by round, in arrays; a long one
+is merged by a heap.  The ids are joined back for a whole Arrow batch at once, by gathering the rows.
 
 The table is a task's own.  One table for the corpus would need every chunk of every
 text to be shuffled by its word and back by its position, many times the input; a
@@ -52,70 +53,179 @@ def gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndar
     return values[np.arange(total, dtype=np.int64) + np.repeat(start - (ends - size), size)]
 
 
-class ChunkTable:
-    """The distinct chunks of a task and their ids."""
+class Merges:
+    """Byte-pair merging of many chunks at once.
+
+    Symbols are numbers: the piece's id, a number behind all ids for a character that is
+    only part of pieces, and ``other`` for all other characters.  In each round every
+    chunk merges its pair of lowest rank, the leftmost of equal ones, as a chunk alone would."""
+
+    def __init__(self, ranks: dict[str, float], ids: dict[str, int], byte_ids: list[int]):
+        self.ids, self.byte_ids = ids, np.array(byte_ids, dtype=np.int32)
+        number = dict(ids)
+        self.pieces = max(number.values(), default=0) + 1
+        for c in sorted({c for p in ranks for c in p} - set(number)):
+            number[c] = self.pieces + len(number) - len(ids)
+        self.other = self.pieces + len(number) - len(ids)
+        order = sorted(p for p in ranks if len(p) > 1)
+        place = {r: k for k, r in enumerate(sorted({ranks[p] for p in order}))}
+        pairs = sorted((number[p[:k]] << 32 | number[p[k:]], place[ranks[p]], number[p]) for p in order for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
+        self.none = len(place)
+        keys = np.array([x[0] for x in pairs], dtype=np.int64)
+        self.rank, self.made = np.array([x[1] for x in pairs] + [self.none], np.int64), np.array([x[2] for x in pairs] + [0], np.int64)
+        self._slots(keys)
+        singles = {ord(c): n for c, n in number.items() if len(c) == 1}
+        self.known = np.full(max(singles, default=0) + 2, self.other, dtype=np.int64)
+        self.known[list(singles)] = list(singles.values())
+
+    def _slots(self, keys: np.ndarray) -> None:
+        """An open table of the pairs: their places by a hash of the pair."""
+        self.bits = max(4, int(8 * len(keys)).bit_length())
+        self.slot_key, self.slot = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, len(keys), np.int64)
+        left = np.arange(len(keys))
+        at = self._hash(keys)
+        while len(left):
+            free = np.flatnonzero(self.slot_key[at] < 0)
+            self.slot_key[at[free]], self.slot[at[free]] = keys[left[free]], left[free]
+            lost = self.slot_key[at] != keys[left]
+            left, at = left[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair of symbols, behind all for one that does not merge."""
+        keys = left << 32 | right
+        at = self._hash(keys)
+        out = np.where(self.slot_key[at] == keys, self.slot[at], len(self.rank) - 1)
+        miss = np.flatnonzero((self.slot_key[at] != keys) & (self.slot_key[at] >= 0))
+        at = at[miss]
+        while len(miss):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            hit = self.slot_key[at] == keys[miss]
+            out[miss[hit]] = self.slot[at[hit]]
+            go = ~hit & (self.slot_key[at] >= 0)
+            miss, at = miss[go], at[go]
+        return out
 
-    def __init__(self, bpe: HeapBpe, ids: dict[str, int], byte_ids: list[int], most_chunks: int = 500_000, most_ids: int = 8_000_000):
-        self.bpe, self.ids, self.byte_ids, self.most_chunks, self.most_ids = bpe, ids, byte_ids, most_chunks, most_ids
+    def segment(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, one after another, and how many each has."""
+        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        size = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        sym = self.known[np.minimum(code, len(self.known) - 1)]
+        chunk = np.repeat(np.arange(len(chunks)), size)
+        at = np.arange(len(sym))  # the character at which each symbol begins
+        done = []
+        pair = np.full(len(sym), len(self.rank) - 1)
+        if len(sym):
+            inner = np.flatnonzero(chunk[1:] == chunk[:-1])
+            pair[inner] = self.pairs(sym[inner], sym[inner + 1])
+        while len(sym):
+            first = np.flatnonzero(np.diff(chunk, prepend=-1))
+            best = np.minimum.reduceat(self.rank[pair] << 32 | np.arange(len(sym)), first)
+            over = best >> 32 == self.none
+            if over.any():
+                gone = np.repeat(over, np.diff(first, append=len(sym)))
+                done.append((at[gone], sym[gone], chunk[gone]))
+                shift = np.cumsum(gone)
+                best = best[~over]
+                best = (best & 0xFFFFFFFF) - shift[best & 0xFFFFFFFF]
+                sym, chunk, at, pair = sym[~gone], chunk[~gone], at[~gone], pair[~gone]
+            else:
+                best &= 0xFFFFFFFF
+            sym[best] = self.made[pair[best]]
+            stays = np.ones(len(sym), dtype=bool)
+            stays[best + 1] = False
+            best -= np.arange(len(best))  # where they are without the symbols merged into others
+            sym, chunk, at, pair = sym[stays], chunk[stays], at[stays], pair[stays]
+            near = np.concatenate((best, best[best > 0] - 1))
+            near = near[near < len(sym) - 1]
+            near = near[chunk[near] == chunk[near + 1]]
+            pair[best] = len(self.rank) - 1
+            pair[near] = self.pairs(sym[near], sym[near + 1])
+        if not done:
+            return np.zeros(0, np.int32), np.zeros(len(chunks), np.int64)
+        at, sym, chunk = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(at)
+        return self._with_bytes(code, at[order], sym[order], chunk[order], len(chunks))
+
+    def _with_bytes(self, code: np.ndarray, at: np.ndarray, sym: np.ndarray, chunk: np.ndarray, chunks: int) -> tuple[np.ndarray, np.ndarray]:
+        """Characters that are no piece become their bytes."""
+        odd = np.flatnonzero(sym >= self.pieces)
+        size = np.ones(len(sym), dtype=np.int64)
+        c = code[at[odd]]
+        size[odd] = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+        ends = np.cumsum(size)
+        out = np.repeat(sym, size).astype(np.int32)
+        if len(odd):
+            flat = np.frombuffer(c.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+            places = np.arange(len(flat)) + np.repeat((ends - size)[odd] - (np.cumsum(size[odd]) - size[odd]), size[odd])
+            out[places] = self.byte_ids[flat]
+        return out, np.bincount(chunk, weights=size, minlength=chunks).astype(np.int64)
+
+
+class ChunkTable(dict):
+    """The distinct chunks of a task with their rows of ids; a chunk that is missing gets a row."""
+
+    def __init__(self, bpe: HeapBpe, merges: Merges, most_chunks: int = 700_000, most_ids: int = 8_000_000):
+        super().__init__()
+        self.bpe, self.merges, self.most_chunks, self.most_ids = bpe, merges, most_chunks, most_ids
+        self.new: list[str] = []
         self._begin()
 
     def _begin(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.long: list[str] = []
-        self.flat = np.zeros(1 << 16, dtype=np.int32)
-        self.used = 0
-        self.ends: list[int] = [0]
-
-    def segment(self, chunk: str) -> list[int]:
-        """Ids of one chunk, merged as a whole; a character that is no piece gives its bytes."""
+        self.clear()
+        self.flat = np.zeros(0, dtype=np.int32)
+        self.ends = np.zeros(1, dtype=np.int64)
+
+    def __missing__(self, chunk: str) -> int:
+        at = self[chunk] = len(self.ends) - 1 + len(self.new)
+        self.new.append(chunk)
+        return at
+
+    def segment(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, one after another, and how many each has.  Short ones are
+        merged together, each long one by a heap."""
+        short = [c for c in chunks if len(c) <= LONG_CHUNK]
+        flat, size = self.merges.segment(short)
+        if len(short) == len(chunks):
+            return flat, size
+        parts = iter(np.split(flat, np.cumsum(size)[:-1]))
+        rows = [next(parts) if len(c) <= LONG_CHUNK else self._by_heap(c) for c in chunks]
+        return np.concatenate(rows), np.array([len(r) for r in rows], dtype=np.int64)
+
+    def _by_heap(self, chunk: str) -> np.ndarray:
+        number, as_bytes = self.merges.ids, self.merges.byte_ids
         out: list[int] = []
         for s in self.bpe.merged(chunk)[0]:
             if s is not None:
-                i = self.ids.get(s)
-                if i is None:
-                    out += [self.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")]
-                else:
-                    out.append(i)
-        return out
-
-    def row(self, chunk: str) -> int:
-        """The row of a chunk, made when it is met first."""
-        found = self.segment(chunk)
-        if self.used + len(found) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(found)), np.int32)))
-        self.flat[self.used : self.used + len(found)] = found
-        self.used += len(found)
-        self.ends.append(self.used)
-        at = self.rows[chunk] = len(self.ends) - 2
-        if len(chunk) > LONG_CHUNK:
-            self.long.append(chunk)
-        return at
+                i = number.get(s)
+                out += [i] if i is not None else as_bytes[list(s.encode("utf-8", "surrogatepass"))].tolist()
+        return np.array(out, dtype=np.int32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``texts`` in one array, and where each text's begin."""
-        rows, units, prefix = self.rows, self.bpe.units, self.bpe.prefix
+        units, prefix, row = self.bpe.units, self.bpe.prefix, self.__getitem__
         places: list[int] = []
         cuts = [0]
         for text in texts:
             if text:
-                chunks = units.findall(prefix + text.replace(" ", SPACE))
-                try:
-                    places += [rows[c] for c in chunks]
-                except KeyError:
-                    for c in chunks:
-                        at = rows.get(c)
-                        places.append(self.row(c) if at is None else at)
+                places += map(row, units.findall(prefix + text.replace(" ", SPACE)))
             cuts.append(len(places))
-        ends = np.array(self.ends, dtype=np.int64)
+        if self.new:
+            flat, size = self.segment(self.new)
+            self.flat = np.concatenate((self.flat, flat))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(size)))
         at = np.array(places, dtype=np.int64)
-        size = ends[at + 1] - ends[at]
-        joined = gathered(self.flat, ends[at], size)
+        size = self.ends[at + 1] - self.ends[at]
+        joined = gathered(self.flat, self.ends[at], size)
         offsets = np.concatenate(([0], np.cumsum(size)))[np.array(cuts)]
-        if len(self.rows) > self.most_chunks or self.used > self.most_ids:
+        for chunk in self.new:
+            if len(chunk) > LONG_CHUNK:
+                del self[chunk]
+        self.new = []
+        if len(self) > self.most_chunks or len(self.flat) > self.most_ids:
             self._begin()
-        for chunk in self.long:
-            self.rows.pop(chunk, None)
-        self.long = []
         return joined, offsets
 
 
@@ -133,7 +243,7 @@ class PieceCodec:
         kinds = np.array([p.type for p in proto.pieces])
         names = [p.piece for p in proto.pieces]
         as_byte = {int(p[3:5], 16): i for i, p in enumerate(names) if kinds[i] == BYTE}
-        self.table = ChunkTable(bpe, {p: i for i, p in enumerate(names) if kinds[i] == NORMAL}, [as_byte[b] for b in range(256)])
+        self.table = ChunkTable(bpe, Merges(bpe.ranks, {p: i for i, p in enumerate(names) if kinds[i] == NORMAL}, [as_byte[b] for b in range(256)]))
         self.begin, self.end = names.index(proto.trainer_spec.bos_piece), names.index(proto.trainer_spec.eos_piece)
         bodies = [self._bytes(p, int(k), proto.trainer_spec.unk_surface) for p, k in zip(names, kinds, strict=True)]
         self.bytes = np.frombuffer(b"".join(bodies), dtype=np.uint8)
@@ -247,10 +357,14 @@ def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", begin_end: bool = True, packed: bool = False) -> DataFrame:
+def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", begin_end: bool = True, packed: bool = False, decoded: str | None = None) -> DataFrame:
     """All columns of ``df`` but ``text``, and the ``ids`` of the text: an array, or with
-    ``packed`` their 32-bit little-endian bytes.  One narrow pass."""
+    ``packed`` their 32-bit little-endian bytes.  One narrow pass.
+
+    ``decoded``: a column for the text that the ids decode to, made in the same pass."""
     rest = _others(df, text, ids)
+    if decoded in (ids, *rest):
+        raise ValueError(f"there is a column {decoded} already")
     sent = _sent(df, model_path)
     shown = df.select(*(F.col(f"`{c}`") for c in rest), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(ids))
 
@@ -264,10 +378,12 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
                     made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(4 * offsets.astype("<i8")), pa.py_buffer(found.astype("<i4"))]).cast(pa.binary())
                 else:
                     made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], made], names=names)
+                back = [pa.array(codec.decode(found, offsets), pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], made, *back], names=schema.names)
 
-    names = shown.columns
     schema = StructType(shown.schema.fields[:-1]).add(ids, BinaryType() if packed else ArrayType(IntegerType()))
+    if decoded:
+        schema = schema.add(decoded, StringType())
     return shown.mapInArrow(run, schema)
 
 
@@ -292,5 +408,5 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "text")
                 made = pa.array([None if v is None else t for v, t in zip(each[a:b], texts, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], made], names=[*names, text])
 
-    names = shown.columns[:-1]
+    names = df.columns
     return shown.mapInArrow(run, StructType(shown.schema.fields[:-1]).add(text, StringType()))

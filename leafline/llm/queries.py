@@ -72,8 +72,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = piece_codec.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), model, packed=True)
-    out = piece_codec.decode(coded, model, text="decoded")
+    out = piece_codec.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), model, packed=True, decoded="decoded")
     n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return out.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

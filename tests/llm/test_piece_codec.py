@@ -58,9 +58,9 @@ def test_a_bad_byte_is_one_mark():
 
 
 def test_each_distinct_chunk_is_segmented_once(codec, monkeypatch):
-    table = piece_codec.ChunkTable(codec.table.bpe, codec.table.ids, codec.table.byte_ids)
+    table = piece_codec.ChunkTable(codec.table.bpe, codec.table.merges)
     seen = []
-    monkeypatch.setattr(table, "segment", lambda chunk, f=table.segment: seen.append(chunk) or f(chunk))
+    monkeypatch.setattr(table, "segment", lambda chunks, f=table.segment: seen.extend(chunks) or f(chunks))
     table.encode(["one two one", "two one  two", "x" * 100])
     assert sorted(seen) == sorted({"▁one", "▁two", "▁▁two", "▁" + "x" * 100})
     seen.clear()
@@ -69,12 +69,19 @@ def test_each_distinct_chunk_is_segmented_once(codec, monkeypatch):
 
 
 def test_a_full_table_begins_again(codec, library):
-    table = piece_codec.ChunkTable(codec.table.bpe, codec.table.ids, codec.table.byte_ids, most_chunks=3, most_ids=9)
+    table = piece_codec.ChunkTable(codec.table.bpe, codec.table.merges, most_chunks=3, most_ids=9)
     for text in ("a b c d e f", "g a b h", "a"):
         ids, offsets = table.encode([text, text])
         assert lists(ids, offsets) == [library.encode(text)] * 2
 
 
+def test_chunks_merged_together_are_as_merged_alone(codec):
+    made = random.Random(8)
+    chunks = list({"".join(made.choice("aabbth▁ei日𝔘nr") for _ in range(made.randrange(1, 64))) for _ in range(3000)})
+    flat, size = codec.table.merges.segment(chunks)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(size)[:-1])] == [codec.table._by_heap(c).tolist() for c in chunks]
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_rows_of_every_kind(spark, library, packed):
     """Null, empty, very long and repeated texts, a null id, and columns with clashing names."""
@@ -90,6 +97,8 @@ def test_rows_of_every_kind(spark, library, packed):
         ids = library.encode(text or "", add_bos=True, add_eos=True)
         want.append((i or 0, other, hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), library.decode(ids)))
     assert got == sorted(want)
+    both = piece_codec.encode(df, MODEL, packed=packed, decoded="back")
+    assert sorted((r["doc_id"] or 0, r["n_tokens"], r["back"]) for r in both.collect()) == sorted((a, b, d) for a, b, _, d in want)
 
 
 def test_null_ids_empty_tables_and_names_that_are_taken(spark):
@@ -99,6 +108,8 @@ def test_null_ids_empty_tables_and_names_that_are_taken(spark):
     assert piece_codec.decode(piece_codec.encode(none, MODEL), MODEL).count() == 0
     with pytest.raises(ValueError):
         piece_codec.encode(none.withColumn("ids", F.lit(1)), MODEL)
+    with pytest.raises(ValueError):
+        piece_codec.encode(none, MODEL, decoded="doc_id")
 
 
 def test_the_query_gives_the_librarys_digests(spark, library):
