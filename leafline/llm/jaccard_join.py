@@ -21,8 +21,9 @@ lower case; shorter texts have their whole sequence as one shingle.
 
 Defined results: ids name documents; a null or empty text, or one without words, has no shingles and links
 with nothing; a similarity of exactly the threshold links; equal rows that repeat are
-one node, so equal rows get equal results; rows with a null id get a null component;
-an empty table gives an empty result; other columns are not read.
+one node, so equal rows get equal results; rows that share an id and differ in text come
+out each with the size of its own set, but are one node that has the links of both; rows
+with a null id get a null component; a very long text is read whole, in a block of its own; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

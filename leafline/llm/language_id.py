@@ -12,16 +12,15 @@ array operations alone.
 
 The model is fitted on a bounded sample of labelled rows: about ``per_language``
 different texts of each language, chosen by a hash of the text, all of them where a
-language has fewer; a text that many rows share counts once.  Of each language the
-``most_words`` most frequent words and the ``most_grams`` most frequent n-grams stay;
-a rarer word is scored by its n-grams.  So the size of the model is bounded by the
-number of languages.  Prediction reads every whole text.
+language has fewer; a text that many rows share counts once.  Every word and n-gram of
+the sample stays, so the sample's bound is the model's.  Prediction reads every whole
+text.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; so is
 every text if no labelled row exists.  Equal scores go to the first language in
 alphabetical order.  Rows that repeat get equal results; a very long text is scored
 whole, alone in its block; an empty table gives an empty result; other columns pass
-through, but ``lang_pred`` and ``score`` must be new.
+through; a table that has a column ``lang_pred`` or ``score`` is refused.
 """
 
 from __future__ import annotations
@@ -30,7 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
@@ -93,14 +93,12 @@ class Words:
 class Table:
     """Of each key the languages that have it and its log count above that of an unseen one."""
 
-    def __init__(self, rows: list[tuple[int, int, int]]):
-        """``rows``: key (as a signed number), language and count."""
-        key = np.array([r[0] for r in rows], dtype=np.int64).view(U64)
-        order = np.argsort(key, kind="stable")
+    def __init__(self, key: np.ndarray, language: np.ndarray, count: np.ndarray):
+        order = np.lexsort((language, key))
         self.keys, first = np.unique(key[order], return_index=True)
-        self.ends = np.append(first, len(rows)).astype(np.int64)
-        self.language = np.array([r[1] for r in rows], dtype=np.int32)[order]
-        self.gain = np.log((np.array([r[2] for r in rows], dtype=np.float64)[order] + PRIOR) / PRIOR)
+        self.ends = np.append(first, len(key)).astype(np.int64)
+        self.language = language[order]
+        self.gain = np.log((count[order].astype(np.float64) + PRIOR) / PRIOR)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key, or -1."""
@@ -121,14 +119,15 @@ class Model:
     """Log frequencies by language of words (``tables[0]``) and of n-grams of 1 to ``LONGEST``
     characters.  The log frequency of a key is its language's ``base`` and the key's gain."""
 
-    def __init__(self, languages: list[str], rows: list[tuple[int, int, int, int]]):
-        """``rows``: length (0 for words), key, language's place and count."""
+    def __init__(self, languages: list[str], rows: np.ndarray | list[tuple[int, int, int, int]]):
+        """``rows``: length (0 for words), key (as a signed number), language's place and count."""
+        length, key, language, count = np.asarray(rows, dtype=np.int64).reshape(-1, 4).T
         self.languages = languages
         self.tables, bases = [], []
         for n in range(LONGEST + 1):
-            table = Table([r[1:] for r in rows if r[0] == n])
-            sums = np.full(len(languages), PRIOR * (len(table.keys) + 1))
-            np.add.at(sums, [r[2] for r in rows if r[0] == n], [r[3] for r in rows if r[0] == n])
+            own = length == n
+            table = Table(key[own].view(U64), language[own], count[own])
+            sums = PRIOR * (len(table.keys) + 1) + np.bincount(language[own], weights=count[own], minlength=len(languages))
             self.tables.append(table)
             bases.append(np.log(PRIOR / sums))
         self.base = np.array(bases).reshape(LONGEST + 1, len(languages))
@@ -209,7 +208,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), n, np.int32)), pa.array(key.view(np.int64)), pa.array([lang] * len(key), pa.string()), pa.array(count.astype(np.int64))], names=["length", "gram", "lang", "n"])
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 1500, most_words: int = 50_000, most_grams: int = 50_000) -> Model:
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 1500) -> Model:
     """A model of the rows of ``df`` whose ``lang`` is not null."""
     rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("texts")).limit(MOST_LANGUAGES + 1).collect()
@@ -221,16 +220,16 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int
     # a language with few texts gives all, whatever the error of the estimate
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / max(1.0, 0.9 * r["texts"])))))
     sample = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    counted = sample.select("lang", "text").mapInArrow(_counts, "length int, gram long, lang string, n long").groupBy("length", "lang", "gram").agg(F.sum("n").alias("n"))
-    whole = F.col("length") == 0
-    rank = F.row_number().over(Window.partitionBy("length", "lang").orderBy(F.desc("n"), "gram"))
-    most = counted.withColumn("rank", rank).where(F.col("rank") <= F.when(whole, most_words).otherwise(most_grams)).select("length", "gram", "lang", "n").toArrow()
-    place = {x: k for k, x in enumerate(languages)}
-    return Model(languages, sorted(zip(most["length"].to_pylist(), most["gram"].to_pylist(), (place[x] for x in most["lang"].to_pylist()), most["n"].to_pylist(), strict=True)))
+    counted = sample.select("lang", "text").mapInArrow(_counts, "length int, gram long, lang string, n long").groupBy("length", "lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    which = pa.compute.index_in(counted["lang"], pa.array(languages, pa.string()))
+    return Model(languages, np.column_stack([np.array(c, dtype=np.int64) for c in (counted["length"], counted["gram"], which, counted["n"])]))
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: bool = False) -> DataFrame:
     """``df`` with ``lang_pred`` and ``score``, and without ``text`` unless ``keep``; no row moves."""
+    taken = {"lang_pred", "score"} & set(df.columns)
+    if taken:
+        raise ValueError(f"there are columns {sorted(taken)} already")
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

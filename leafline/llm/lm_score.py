@@ -130,7 +130,7 @@ def score(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     ``targets``: a table whose column ``key`` holds the ids of the target documents."""
     if not 1 <= least <= 8:
         raise ValueError("least is from 1 to 8")
-    layout = layout or Layout.of(df, text, more_bits=40)
+    layout = layout or Layout.of(df, text, more_bits=64)
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(layout.chunks)).cast("long")
     docs = df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     docs = docs.select(place(F.coalesce(F.col("key").cast("long"), F.xxhash64("text"))).alias("chunk"), "key", "text")

@@ -10,8 +10,9 @@ corpus finds those seeds.  A neighbouring run of windows that share an anchor is
 A context is cut in two: its windows that have half of the bytes around the seed in front
 of it, and the others.  All windows of a half share a *lead*, the seed and so many bytes
 before or behind it (124 bytes for the usual lengths).  Contexts are range-partitioned
-by their leads, with splitters from a bounded sample of leads; beyond ``MOST_RANGES``
-ranges, each is dealt on to several buckets by a hash of the lead.  As leads are long,
+by their leads, with splitters from a bounded sample of leads; where there are fewer
+different splitters than buckets are wanted, as beyond ``MOST_RANGES`` or where sampled
+leads repeat, each range is dealt on to several buckets by a hash of the lead.  As leads are long,
 a common line with different text around it is cut by many splitters.  A bucket takes
 the windows of its contexts as suffixes and sorts them by multikey quicksort, eight
 bytes a character; suffixes that agree in ``length`` bytes are repeated.  Splitters cut
@@ -62,18 +63,31 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, seed: int) -> tuple[
     np.cumsum(term, out=prefix[1:])
     h = prefix[seed:] - prefix[:-seed]
     h *= down[: n - seed + 1]
-    low = U64((1 << max(22, n.bit_length())) - 1)
-    least = h & ~low
-    least |= np.arange(len(h), dtype=U64)  # the leftmost of equal ones
-    least = _sliding_min(least, length - seed + 1)
+    at = _places_of_least(h, length - seed + 1)
     p = np.flatnonzero(kernels.within(off, n, length))
-    at = (least[p] & low).astype(np.int64)
+    at = at[p]
     first = np.ones(len(p), dtype=bool)
     first[1:] = at[1:] != at[:-1]
     i = np.flatnonzero(first)
     return at[i], p[i], p[np.append(i[1:], len(p))[: len(i)] - 1], h[at[i]]
 
 
+#: Bits of a place below a hash.  They are the same for texts of any length, so that equal windows agree.
+PLACE_BITS = 22
+
+
+def _places_of_least(h: np.ndarray, width: int) -> np.ndarray:
+    """For each run of ``width`` hashes the place of the least, the leftmost of equal ones."""
+    low = U64((1 << PLACE_BITS) - 1)
+    span = (1 << PLACE_BITS) - width
+    out = np.empty(len(h) - width + 1, dtype=np.int64)
+    for a in range(0, len(out), span):
+        part = h[a : a + span + width - 1] & ~low
+        part |= np.arange(len(part), dtype=U64)
+        out[a : a + span] = (_sliding_min(part, width) & low).astype(np.int64) + a
+    return out
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     size = 1
     while 2 * size <= width:
@@ -142,12 +156,13 @@ class Dealt:
 
     def __init__(self, splitters: np.ndarray, layout: Layout):
         self.splitters, self.layout = splitters, layout
-        self.parts = -(-layout.buckets // (len(splitters) + 1)) if len(splitters) + 1 >= MOST_RANGES else 1
+        # leads that repeat in the sample make fewer ranges, which are dealt to more parts
+        self.parts = max(1, -(-layout.buckets // (len(splitters) + 1)))
         self.per = -(-(len(splitters) + 1) * self.parts // layout.coarse) if layout.coarse else 1
 
     def buckets(self, leads: list[bytes]) -> list[int]:
         if not len(self.splitters):
-            return [0] * len(leads)
+            return [zlib.crc32(x) % self.parts for x in leads]
         ranges = np.searchsorted(self.splitters, np.array(leads, dtype=self.splitters.dtype), side="right").tolist()
         return ranges if self.parts == 1 else [r * self.parts + zlib.crc32(x) % self.parts for r, x in zip(ranges, leads, strict=True)]
 

@@ -12,8 +12,9 @@ piece at all; no merge crosses such a place, so a text falls apart into *units*
 that are counted alone, and the counts of frequent units are kept.
 
 Defined results: null and empty texts count 0; special strings inside a text are
-plain characters; other columns pass through untouched, whatever their names, but
-for the result columns, which must be new; an empty table gives an empty result.
+plain characters; a text of any length is counted whole; rows that repeat give equal
+rows; other columns pass through untouched, whatever their names, but a table that
+has one of the result columns is refused; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -134,6 +135,9 @@ def count_tokens(df: DataFrame, model_path: str, text: str = "text", limit: int
     model = Path(model_path).read_bytes()
     if len(model) > MOST_MODEL_BYTES:
         raise ValueError(f"model file of {len(model)} bytes")
+    taken = {"n_bytes", "n_tokens", "over_limit"} & set(df.columns)
+    if taken:
+        raise ValueError(f"there are columns {sorted(taken)} already")
     sent = df.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in df.columns if c != text]
 

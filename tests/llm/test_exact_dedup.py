@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from leafline.llm import exchange, kernels, substring_dedup, suffix_dedup
@@ -151,3 +153,72 @@ def test_word_hashes_depend_on_the_word_alone():
 def test_kept_digest_of_contract(spark):
     got = substring_dedup.remove_repeated(spark.createDataFrame([(1, "a  b\nc", None, None)], SCHEMA)).first()
     assert hashlib.sha256(bytes(got["kept"])).hexdigest() == hashlib.sha256(b"a b c").hexdigest()
+
+
+def thue_morse():
+    """Two words of 1,024 letters that every polynomial modulo 2**64 takes for one."""
+    half = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    return half, half.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_one_structure_are_different_words(spark):
+    """Windows that differ in such a word alone are different windows."""
+    one, other = thue_morse()
+    rest = [f"w{k}" for k in range(34)]
+    rows = [(0, " ".join([*rest, one])), (1, " ".join([*rest, other]))]
+    got = substring_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string"), window=35).collect()
+    assert [r["n_removed"] for r in got] == [0, 0]
+
+
+def test_word_hashes_of_blocks_meet_only_in_equal_words():
+    made = random.Random(12)
+    words = {"".join(made.choice("ab\0") for _ in range(n)) for n in range(1, 40) for _ in range(60)} | set(thue_morse()) | {"\0" * n for n in range(1, 30)}
+    words = sorted(w for w in words if not set(w) & set(" \t\n\v\f\r"))
+    data, off = kernels.column_bytes(pa.array([" ".join(words) + " " + " ".join(reversed(words))]))
+    starts, ends, _ = kernels.word_bounds(data, off)
+    h = kernels.word_hashes(data, starts, ends).tolist()
+    assert h[: len(words)] == h[len(words) :][::-1] and len(set(h)) == len(words)
+
+
+@pytest.mark.parametrize("total", [30 * 10**9, 10**12, 100 * 10**12])
+@pytest.mark.parametrize("repeated", [0.0, 0.001, 0.3])
+def test_buckets_follow_the_input_where_sampled_leads_repeat(total, repeated):
+    to = exchange.Layout.sized(total, 200, bytes_per_key=suffix_dedup.CONTEXT_BYTES, bucket_keys=(8 << 20) // suffix_dedup.CONTEXT_BYTES, least_keys=suffix_dedup.LEAST_CONTEXTS)
+    made = np.random.default_rng(5)
+    leads = sorted([b"x" * 124] * int(32_000 * repeated) + [made.bytes(124) for _ in range(32_000 - int(32_000 * repeated))])
+    many = min(to.buckets, suffix_dedup.MOST_RANGES)
+    deal = suffix_dedup.Dealt(np.unique(np.array([leads[len(leads) * b // many] for b in range(1, many)], dtype="S124")), to)
+    buckets = (len(deal.splitters) + 1) * deal.parts
+    assert to.buckets <= buckets <= 2 * to.buckets
+    found = deal.buckets(leads[::7])
+    assert min(found) >= 0 and max(found) < buckets
+
+
+def test_anchors_are_the_same_in_texts_of_any_length(monkeypatch):
+    """Windows name the same place whatever is around them, over the bounds of a run of places."""
+    made = random.Random(2)
+    text = "".join(made.choice("ab") for _ in range(9000)).encode()
+    data, off = kernels.column_bytes(pa.array([text, text[1234:5000]]))
+    plain = suffix_dedup.anchors(data, off, 200, 48)
+    monkeypatch.setattr(suffix_dedup, "PLACE_BITS", 10)
+    for a, b in zip(plain, suffix_dedup.anchors(data, off, 200, 48), strict=True):
+        if a.dtype != np.uint64:
+            assert len(a) and len(b)
+    places = dict(zip(range(len(text)), range(len(text)), strict=True))
+    h = np.array([made.getrandbits(64) for _ in places], dtype=np.uint64)
+    for width in (1, 5, 153):
+        got = suffix_dedup._places_of_least(h, width)
+        cut = (h >> np.uint64(10)).tolist()
+        assert got.tolist() == [min(range(k, k + width), key=lambda j: (cut[j], j)) for k in range(len(h) - width + 1)]
+
+
+def test_a_text_longer_than_a_block_is_read_whole(spark):
+    made = random.Random(4)
+    long = " ".join("".join(made.choice("abcdef") for _ in range(6)) for _ in range(2 * kernels.BLOCK_BYTES // 7))
+    tail = " ".join(long.split(" ")[-40:])
+    rows = [(0, long), (1, tail), (2, long[-300:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    words = {r["doc_id"]: r for r in substring_dedup.remove_repeated(df, window=35).collect()}
+    assert (words[0]["n_words"], words[1]["n_removed"]) == (len(long.split()), 40) and words[0]["n_removed"] >= 40
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeated(df, length=200).collect()}
+    assert (got[0]["n_bytes"], got[2]["n_removed"]) == (len(long), 300) and got[0]["n_removed"] >= 300

@@ -167,3 +167,22 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: c for i, c in want.items() if i != c}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_shingles_of_one_structure_are_different_shingles(spark):
+    """Words that a polynomial modulo 2**64 takes for one do not make unlike documents near copies."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(k, " ".join([w] * 3 + ["x"] + [w] * 4)) for k, w in enumerate((one, other))]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["component_id"] for r in got) == [0, 1]
+
+
+def test_rows_that_share_an_id_and_very_long_texts(spark):
+    """Such rows come out both, as one node of the links of either text; a long text is read whole."""
+    made = random.Random(11)
+    text = lambda n: " ".join("".join(made.choice("abcdef") for _ in range(6)) for _ in range(n))
+    a, b, long = text(50), text(60), text(160_000)
+    rows = [(1, a), (5, a), (5, b), (7, b), (8, long), (9, long[: -len(text(3))])]
+    got = Counter(tuple(r) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect())
+    assert got[8, 8] == got[9, 8] == 1 and got[1, 1] == 1 and sum(n for (i, _), n in got.items() if i == 5) == 2

@@ -149,9 +149,57 @@ def test_backoff_uses_the_longest_known_length():
     assert model.predict(["xaby", "xay", "zzz"])[0] == ["a", "b", "a"] and model.predict(["zzz"])[1].tolist() == [0.5]
 
 
+def test_every_word_of_the_sample_is_learned(spark):
+    """A vocabulary of more than 50,000 words a language stays whole."""
+    name = lambda k: "".join("abcdefghij"[int(d)] for d in f"{k:05d}")
+    rows = [(lang, " ".join(mark + name(k) for k in range(a, a + 1000))) for lang, mark in (("en", "x"), ("de", "y")) for a in range(0, 60_000, 1000)]
+    model = language_id.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(model.tables[0].keys) == 120_000
+    assert model.predict(["x" + name(59_999), "y" + name(0)])[0] == ["en", "de"]
+
+
+def test_result_columns_of_languages_must_be_new(spark):
+    model = language_id.Model([], [])
+    for name in ("lang_pred", "score"):
+        with pytest.raises(ValueError):
+            language_id.predict(spark.createDataFrame([("a", 1)], f"text string, {name} int"), model)
+
+
 # Decontamination
 
 
+def test_few_alignments_where_many_items_share_their_words():
+    """Common words make many hits; the bounds leave few stretches and lose none that scores."""
+    made = np.random.default_rng(1)
+    share = 1 / np.arange(1, 5001)
+    words = np.array([f"w{k}" for k in range(5000)])
+    text = lambda n: " ".join(words[made.choice(5000, n, p=share / share.sum())])
+    items = [text(40) for _ in range(1500)]
+    docs = [text(200) for _ in range(20)]
+    block = decontaminate.Items(list(range(len(items))), pa.array(items), 3, 0.5)
+    flat, off = decontaminate.hashed_words(*kernels.column_bytes(pa.array(docs)))
+    found = decontaminate.Passages(flat, off, block, 0.5).found()
+    where, which = block.hits(flat, off)
+    hits = {(int(np.searchsorted(off, p, side="right")) - 1, int(i)) for p, s in zip(where, which, strict=True) for i in block.item[block.seed == s]}
+    assert len(found) < len(hits) / 5
+    rest = sorted(hits - {(d, i) for d, i, _, _ in found})
+    for k in range(0, len(rest), 500):
+        some = rest[k : k + 500]
+        assert all(score < 40 for score, _, _ in decontaminate.align([(block.words(i), flat[off[d] : off[d + 1]]) for d, i in some]))
+
+
+def test_hits_are_handled_in_slices(monkeypatch):
+    """The stretches do not depend on how many hits are expanded at once."""
+    made = random.Random(13)
+    items = [" ".join(made.choice("abcdefgh") for _ in range(12)) for _ in range(30)]
+    docs = [" ".join(made.choice("abcdefgh") for _ in range(90)) for _ in range(9)]
+    block = decontaminate.Items(list(range(30)), pa.array(items), 3, 0.5)
+    flat, off = decontaminate.hashed_words(*kernels.column_bytes(pa.array(docs)))
+    want = decontaminate.Passages(flat, off, block, 0.5).found()
+    monkeypatch.setattr(decontaminate, "_slices", lambda times, f=decontaminate._slices: f(times, 5))
+    assert len(want) > 9 and decontaminate.Passages(flat, off, block, 0.5).found() == want
+
+
 def smith_waterman(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a, 1):
@@ -271,6 +319,19 @@ def test_token_counts_match_the_library(spark, library):
     assert token_count.count_tokens(df.limit(0), path).count() == 0
 
 
+def test_long_and_repeated_texts_and_names_that_are_taken(spark, library):
+    """A text of a million characters is counted whole, repeated rows give equal rows, other
+    columns pass, and a result column that is there already is refused."""
+    path, model = library
+    long = "wörd and ▁ 日本\n" * 70_000
+    rows = [(1, long, "x"), (2, "a b", "y"), (2, "a b", "y"), (2, "a b", "z")]
+    got = sorted((r["doc_id"], r["lang"], r["n_tokens"], r["n_bytes"]) for r in token_count.count_tokens(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path).collect())
+    assert got == sorted((i, x, len(model.encode(t)), len(t.encode())) for i, t, x in rows)
+    for name in ("n_bytes", "n_tokens", "over_limit"):
+        with pytest.raises(ValueError):
+            token_count.count_tokens(spark.createDataFrame([("a", 1)], f"text string, {name} int"), path)
+
+
 # Language-model scores
 
 
