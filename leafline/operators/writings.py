@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -85,20 +85,25 @@ def owners(marks: Sequence[Sequence[str]], pages: Sequence[Sequence[int]], notes
     A note takes an unused mark of its label in a writing from that of the note before on, up to
     the last one that holds its page; without such a mark it goes to the first one that holds its
     page, and without a page it stays with the note before."""
-    free = [Counter(m) for m in marks]
-    out: list[int] = []
-    at = 0
+    # the writings of each label's unused marks and of each page, in order: both are searched, not walked
+    unused: dict[str, list[int]] = {}
+    holders: dict[int, list[int]] = {}
+    for writing, (own_marks, own_pages) in enumerate(zip(marks, pages, strict=True)):
+        for mark in own_marks:
+            unused.setdefault(mark, []).append(writing)
+        for page in set(own_pages):
+            holders.setdefault(page, []).append(writing)
+    out = [0]
     for label, page in notes:
-        held = [k for k in range(at, len(pages)) if page in pages[k]]
-        reach = range(at, (held[-1] if held else len(pages) - 1) + 1)
-        mine = next((k for k in reach if label is not None and free[k][label] > 0), None)
-        if mine is None:
-            at = held[0] if held else at
+        held = holders.get(page, [])
+        held = held[bisect_left(held, out[-1]) :]
+        queue = unused.get(label, [])
+        place = bisect_left(queue, out[-1])
+        if place < len(queue) and queue[place] <= (held[-1] if held else len(pages) - 1):
+            out.append(queue.pop(place))
         else:
-            free[mine][label] -= 1
-            at = mine
-        out.append(at)
-    return out
+            out.append(held[0] if held else out[-1])
+    return out[1:]
 
 
 @F.arrow_udf(ArrayType(IntegerType()))

@@ -95,7 +95,7 @@ SELECT doc_id, line, CASE WHEN NOT plain THEN 'not plain' WHEN n = 0 THEN 'nothi
 def q46a_settled_places(spark: SparkSession, sf: str) -> DataFrame:
     places = consensus.settled(consensus.gathered(readings(spark, sf), ["doc_id", "line"], "reader", "text"))
     plain = F.forall("readings", lambda r: r.rlike(compare.PLAIN) & r.rlike(r"[\p{L}\d]|^$"))
-    return places.select("doc_id", "line", F.when(~plain, "not plain").otherwise(F.coalesce("status", F.lit("open"))).alias("status"), F.md5("text").alias("digest"))
+    return places.select("doc_id", "line", F.when(~plain, "not plain").otherwise(F.coalesce("status", F.lit("open"))).alias("status"), F.when(plain, F.md5("text")).alias("digest"))
 
 
 @query()
@@ -104,13 +104,31 @@ def q46_consensus(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "line", "status", "open_words", F.md5("text").alias("digest"))
 
 
+def _places(spark: SparkSession, sf: str) -> DataFrame:
+    """The readings of each line in the order of their readers."""
+    each = readings(spark, sf).groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("reader", "text"))).alias("r"))
+    return each.select("doc_id", "line", F.transform("r", lambda x: x["text"]).alias("readings"))
+
+
 @query()
 def q47_difference_types(spark: SparkSession, sf: str) -> DataFrame:
-    each = readings(spark, sf).groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("reader", "text"))).alias("r"))
-    kinds = each.select(reasons.reason(F.transform("r", lambda x: x["text"])).alias("reason"))
+    places = _places(spark, sf).withColumn("minor", reasons.minor_reason("readings"))
+    kinds = places.withColumn("rest", reasons.reason(F.when(F.col("minor").isNull(), F.col("readings")))).select(F.coalesce("minor", "rest").alias("reason"))
     return kinds.groupBy("reason").count().withColumnRenamed("count", "n")
 
 
+@query(rf"""WITH {_READINGS}, g AS (SELECT doc_id, line, list(t ORDER BY reader) AS e, any_value(len(list_distinct(list_value(t)))) AS one FROM r GROUP BY 1, 2),
+f AS (SELECT e, list_transform(e, lambda t: regexp_replace(t, '\s+', '', 'g')) AS f1, list_transform(e, lambda t: regexp_replace(t, '[\s"''‘’‚‛“”„‟`´]+', '', 'g')) AS f2, list_transform(e, lambda t: regexp_replace(t, '[\s"''‘’‚‛“”„‟`´‐‑‒–—―-]+', '', 'g')) AS f3,
+ list_transform(e, lambda t: regexp_replace(t, '[^\pL\pN\pM\p{{Pc}}]', '', 'g')) AS f4, list_transform(e, lambda t: lower(regexp_replace(t, '[^\pL\pN\pM\p{{Pc}}]', '', 'g'))) AS f5 FROM g),
+m AS (SELECT list_max(list_transform(e, lambda v: len(list_filter(e, lambda o: o = v)))) AS m0, list_max(list_transform(f1, lambda v: len(list_filter(f1, lambda o: o = v)))) AS m1, list_max(list_transform(f2, lambda v: len(list_filter(f2, lambda o: o = v)))) AS m2,
+ list_max(list_transform(f3, lambda v: len(list_filter(f3, lambda o: o = v)))) AS m3, list_max(list_transform(f4, lambda v: len(list_filter(f4, lambda o: o = v)))) AS m4, list_max(list_transform(f5, lambda v: len(list_filter(f5, lambda o: o = v)))) AS m5 FROM f),
+k AS (SELECT *, CASE WHEN m0 > 1 THEN 3 ELSE 2 END AS need FROM m)
+SELECT CASE WHEN m1 >= need THEN 'spacing' WHEN m2 >= need THEN 'quotes' WHEN m3 >= need THEN 'spacing' WHEN m4 >= need THEN 'punctuation' WHEN m5 >= need THEN 'capitals' ELSE 'by words' END AS reason, count(*) AS n FROM k GROUP BY 1""")
+def q47b_minor_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = _places(spark, sf).select(F.coalesce(reasons.minor_reason("readings"), F.lit("by words")).alias("reason"))
+    return kinds.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
 def q56_repaired_json(spark: SparkSession, sf: str) -> DataFrame:
     broken = F.when(F.col("event_id") % 3 == 0, F.expr("substring(props, 1, length(props) - 1)")).when(F.col("event_id") % 3 == 1, F.concat("props", F.lit("}"))).otherwise(F.col("props"))
