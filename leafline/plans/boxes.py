@@ -54,12 +54,22 @@ def _report(spark: SparkSession, sf: str, matched: DataFrame) -> DataFrame:
     return counts.join(hits, "label", "left").select("label", "old", "new", F.coalesce("matched", F.lit(0)).alias("matched"), F.round(F.coalesce("total", F.lit(0.0)), 6).alias("total_iou"))
 
 
-@query()
+def _walk(order: str) -> str:
+    """SQL of a greedy walk over the candidate pairs of each label in an order."""
+    return f"""WITH {_BOX}, p AS (SELECT a.label, a.vec_id AS a_id, c.vec_id AS b_id, (least(a.x1, c.x1) - greatest(a.x0, c.x0)) * (least(a.y1, c.y1) - greatest(a.y0, c.y0)) AS inter, (a.x1 - a.x0) * (a.y1 - a.y0) AS aa, (c.x1 - c.x0) * (c.y1 - c.y0) AS ab
+ FROM b a JOIN b c ON a.label = c.label AND a.vec_id % 2 = 0 AND c.vec_id % 2 = 1 AND a.x0 < c.x1 AND c.x0 < a.x1 AND a.y0 < c.y1 AND c.y0 < a.y1),
+r AS (SELECT label, a_id, b_id, inter / (aa + ab - inter) AS iou FROM p WHERE inter / (aa + ab - inter) >= 0.2), w AS (SELECT label, list({{'a': a_id, 'b': b_id, 'iou': iou}} ORDER BY {order}) AS w FROM r GROUP BY 1),
+t AS (SELECT label, list_reduce(w, lambda s, x: CASE WHEN list_contains(s.a, x.a) OR list_contains(s.b, x.b) THEN s ELSE {{'a': list_append(s.a, x.a), 'b': list_append(s.b, x.b), 'n': s.n + 1, 'total': s.total + x.iou}} END, {{'a': []::BIGINT[], 'b': []::BIGINT[], 'n': 0::BIGINT, 'total': 0::DOUBLE}}) AS t FROM w),
+c AS (SELECT label, count(*) FILTER (vec_id % 2 = 0) AS old, count(*) FILTER (vec_id % 2 <> 0) AS new FROM embeddings GROUP BY 1)
+SELECT c.label, old, new, coalesce(t.n, 0) AS matched, round(coalesce(t.total, 0), 6) AS total_iou FROM c LEFT JOIN t ON c.label = t.label"""
+
+
+@query(_walk("a_id, iou DESC, b_id"))
 def q19_greedy_by_row(spark: SparkSession, sf: str) -> DataFrame:
     return _report(spark, sf, matching.greedy_by_row(_runs(spark, sf), ["label"], "a_vec_id", "b_vec_id", "iou"))
 
 
-@query()
+@query(_walk("iou DESC, a_id, b_id"))
 def q19b_greedy_by_score(spark: SparkSession, sf: str) -> DataFrame:
     return _report(spark, sf, matching.greedy_by_score(_runs(spark, sf), ["label"], "a_vec_id", "b_vec_id", "iou"))
 
@@ -72,6 +82,17 @@ def q19c_nearest_within(spark: SparkSession, sf: str) -> DataFrame:
     return matching.nearest_within(b.where("vec_id % 2 = 0"), b.where("vec_id % 2 = 1"), ["label"], "x0", "vec_id", 0.01).select("vec_id", "nearest")
 
 
+@query(f"""
+WITH {_BOX}, d AS (SELECT l.label, l.vec_id AS a, r.vec_id AS b, abs(l.x0 - r.x0) AS d FROM b l JOIN b r ON l.label = r.label AND l.vec_id % 10 = 0 AND r.vec_id % 2 = 1 AND abs(l.x0 - r.x0) <= 0.01),
+w AS (SELECT label, list({{'a': a, 'b': b}} ORDER BY a, d, b) AS w FROM d GROUP BY 1),
+t AS (SELECT label, list_reduce(w, lambda s, x: CASE WHEN list_contains(s.a, x.a) OR list_contains(s.b, x.b) THEN s ELSE {{'a': list_append(s.a, x.a), 'b': list_append(s.b, x.b)}} END, {{'a': []::BIGINT[], 'b': []::BIGINT[]}}) AS t FROM w)
+SELECT label, unnest(t.a) AS left_key, unnest(t.b) AS right_key FROM t""")
+def q19d_nearest_once(spark: SparkSession, sf: str) -> DataFrame:
+    b = boxed(spark, sf).select("vec_id", "label", "x0")
+    found = matching.nearest_once(b.where("vec_id % 10 = 0"), b.where("vec_id % 2 = 1"), ["label"], "x0", "vec_id", 0.01)
+    return found.select("label", "left_key", "right_key")
+
+
 @query(f"""
 WITH {_BOX}, x AS (SELECT label, x0 AS v FROM b UNION SELECT label, x1 FROM b), xs AS (SELECT label, v AS lo, lead(v) OVER (PARTITION BY label ORDER BY v) AS hi FROM x),
 s AS (SELECT xs.label, lo, hi, y0, y1, max(y1) OVER (PARTITION BY xs.label, lo ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM xs JOIN b ON b.label = xs.label AND x0 <= lo AND x1 >= hi)
