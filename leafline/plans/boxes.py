@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafline.functions import boxes
-from leafline.operators import matching
+from leafline.functions import boxes, covers
+from leafline.operators import matching, tracks
 from leafline.operators import sequences as seq
 from leafline.plans.registry import registry
 from leafline.sources.tables import load
@@ -163,3 +163,67 @@ SELECT vec_id, round(CASE WHEN fa < fz AND fc < fe THEN fz - fa ELSE i1 - i0 END
 def q108_fitted_overrun(spark: SparkSession, sf: str) -> DataFrame:
     f = boxes.fit_overrun(boxes.box(), F.lit(0.15), F.lit(0.15), _rects())
     return boxed(spark, sf).select("vec_id", F.round(f["x1"] - f["x0"], 6).alias("width"), F.round(f["y1"] - f["y0"], 6).alias("height"))
+
+
+# Boxes of a page in points from the embedding's, and covers near them: two with a seam, two that overlap
+_POINTS = """g AS (SELECT vec_id, 300 + 900 * x0 AS x0, 300 + 900 * y0 AS y0, 300 + 900 * x1 AS x1, 300 + 900 * y1 AS y1 FROM b WHERE x1 > x0 AND y1 > y0)"""
+_COVERS = ((80.0, 80.0, 290.0, 400.0), (292.5, 80.0, 420.0, 300.0), (150.0, 390.0, 300.0, 500.0), (400.0, 303.0, 520.0, 520.0))
+_COVER_SQL = ", ".join("({}::DOUBLE, {}::DOUBLE, {}::DOUBLE, {}::DOUBLE, {})".format(*r, k) for k, r in enumerate(_COVERS))
+_SHARE = f"""{_POINTS}, c AS (SELECT * FROM (VALUES {_COVER_SQL}) v(a0, b0, a1, b1, k)),
+k AS (SELECT *, x0 + least(3, (x1 - x0) / 4) AS u0, y0 + least(3, (y1 - y0) / 4) AS v0, x1 - least(3, (x1 - x0) / 4) AS u1, y1 - least(3, (y1 - y0) / 4) AS v1 FROM g),
+h AS (SELECT vec_id, c.* FROM k JOIN c ON a0 < u1 + 3 AND a1 > u0 - 3 AND b0 < v1 + 3 AND b1 > v0 - 3),
+q AS (SELECT l.vec_id, greatest(l.a0, r.a0) AS m0, least(l.a1, r.a1) AS m1, greatest(l.b0, r.b0) AS n0, least(l.b1, r.b1) AS n1 FROM h l JOIN h r ON l.vec_id = r.vec_id AND l.k < r.k),
+e AS (SELECT vec_id, a0, b0, a1, b1 FROM h UNION ALL SELECT vec_id, m0, n1, m1, n0 FROM q WHERE m1 > m0 AND n1 <= n0 AND n0 - n1 <= 3 UNION ALL SELECT vec_id, m1, n0, m0, n1 FROM q WHERE n1 > n0 AND m1 <= m0 AND m0 - m1 <= 3),
+t AS (SELECT e.vec_id, greatest(a0, u0) AS a0, greatest(b0, v0) AS b0, least(a1, u1) AS a1, least(b1, v1) AS b1 FROM e JOIN k USING (vec_id) WHERE greatest(a0, u0) < least(a1, u1) AND greatest(b0, v0) < least(b1, v1)),
+xs AS (SELECT vec_id, v AS lo, lead(v) OVER (PARTITION BY vec_id ORDER BY v) AS hi FROM (SELECT vec_id, a0 AS v FROM t UNION SELECT vec_id, a1 FROM t)), ys AS (SELECT vec_id, v AS lo, lead(v) OVER (PARTITION BY vec_id ORDER BY v) AS hi FROM (SELECT vec_id, b0 AS v FROM t UNION SELECT vec_id, b1 FROM t)),
+w AS (SELECT xs.vec_id, (xs.hi - xs.lo) * (ys.hi - ys.lo) AS area FROM xs JOIN ys USING (vec_id) WHERE EXISTS (SELECT 1 FROM t WHERE t.vec_id = xs.vec_id AND a0 <= xs.lo AND a1 >= xs.hi AND b0 <= ys.lo AND b1 >= ys.hi)),
+n AS (SELECT vec_id, sum(area) AS area FROM w GROUP BY 1), o AS (SELECT vec_id, max((least(a1, u1) - greatest(a0, u0)) * (least(b1, v1) - greatest(b0, v0))) AS most FROM k JOIN c ON a0 < u1 AND u0 < a1 AND b0 < v1 AND v0 < b1 GROUP BY 1),
+s AS (SELECT k.vec_id, CASE WHEN o.most IS NULL THEN 0 ELSE least(1, n.area / ((u1 - u0) * (v1 - v0))) END AS share FROM k LEFT JOIN n ON n.vec_id = k.vec_id LEFT JOIN o ON o.vec_id = k.vec_id)"""
+
+
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    return boxed(spark, sf).where("x1 > x0 AND y1 > y0").select("vec_id", *((300 + 900 * F.col(s)).alias(s) for s in boxes.SIDES))
+
+
+def _cover_boxes(some=_COVERS) -> Column:
+    return F.array(*(F.struct(*(F.lit(v).alias(s) for s, v in zip(boxes.SIDES, r, strict=True))) for r in some))
+
+
+@query(f"WITH {_BOX}, {_SHARE} SELECT vec_id, round(share, 6) AS share FROM s")
+def q132_covered_share(spark: SparkSession, sf: str) -> DataFrame:
+    return _points(spark, sf).select("vec_id", F.round(covers.covered_share(boxes.box(), _cover_boxes()), 6).alias("share"))
+
+
+@query(f"""WITH {_BOX}, {_SHARE} SELECT vec_id, CASE WHEN share >= 0.1 THEN 'redaction' END AS reason, CASE WHEN share < 0.9 AND share > 0 THEN 'part' WHEN share > 0 THEN 'whole' ELSE 'none' END AS cover FROM s""")
+def q133_cover_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    share = covers.covered_share(boxes.box(), _cover_boxes())
+    no = F.lit(False)
+    rows = _points(spark, sf).withColumn("share", share)
+    why = boxes.verdict(F.lit(True), no, F.col("share"), F.lit(0.0), no, F.lit(1.0))
+    return rows.select("vec_id", why["reason"].alias("reason"), F.when((F.col("share") < boxes.FULL_COVER) & (F.col("share") > 0), "part").when(F.col("share") > 0, "whole").otherwise("none").alias("cover"))
+
+
+# Lines of a page from the line items of a part: most start at a leaning edge, some are indented, few lie outside
+_LINES = """i AS (SELECT l_partkey AS page, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS line, l_orderkey AS o, CAST(l_quantity AS INTEGER) AS q, l_linenumber AS n FROM lineitem),
+l AS (SELECT page, line, CAST((o * 37 + n * 11) % 3000 AS DOUBLE) AS y, 200 + 0.01 * ((o * 37 + n * 11) % 3000) + CASE WHEN q % 7 = 0 THEN 40 + q WHEN q % 19 = 0 THEN -25 ELSE q % 5 END AS x FROM i)"""
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber"))
+    q, y = F.col("l_quantity").cast("int"), (F.col("l_orderkey") * 37 + F.col("l_linenumber") * 11) % 3000
+    off = F.when(q % 7 == 0, 40 + q).when(q % 19 == 0, -25).otherwise(q % 5)
+    return load(spark, sf, "lineitem").select(F.col("l_partkey").alias("page"), n.alias("line"), y.cast("double").alias("y"), (200 + 0.01 * y + off).cast("double").alias("x"))
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT a.page, a.line AS first, b.line AS second, a.x AS fx, a.y AS fy, (b.x - a.x) / (b.y - a.y) AS slope FROM l a JOIN l b ON a.page = b.page AND a.line < b.line AND abs(b.y - a.y) >= 300 WHERE abs((b.x - a.x) / (b.y - a.y)) <= 0.035),
+r AS (SELECT p.page, first, second, l.x - (fx + slope * (l.y - fy)) AS r FROM p JOIN l USING (page)), s AS (SELECT page, first, second, count(*) FILTER (r BETWEEN -10 AND 6) AS hugging, count(*) FILTER (r < -14) AS outside FROM r GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY hugging - 6 * outside DESC, outside, hugging DESC, first, second) AS rank FROM s) SELECT page, CAST(first AS INTEGER) AS first, CAST(second AS INTEGER) AS second, CAST(hugging AS INTEGER) AS hugging, CAST(outside AS INTEGER) AS outside FROM k WHERE rank = 1""")
+def q130_edge_proposals(spark: SparkSession, sf: str) -> DataFrame:
+    return tracks.proposals(_lines(spark, sf), ["page"]).select("page", "first", "second", "hugging", "outside")
+
+
+@query()
+def q131_column_edges(spark: SparkSession, sf: str) -> DataFrame:
+    at = lambda y: F.col("c0") + F.col("c1") * (y - F.col("middle")) / F.col("scale") + F.col("c2") * F.pow((y - F.col("middle")) / F.col("scale"), F.lit(2))
+    found = tracks.edges(_lines(spark, sf), ["page"])
+    return found.select("page", "n", F.round(at(F.col("low")), 4).alias("top"), F.round(at(F.col("high")), 4).alias("bottom"))
