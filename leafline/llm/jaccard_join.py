@@ -13,8 +13,9 @@
    that are in different components then.  So a group of near copies costs some
    comparisons a member and not one for every pair, and no link that joins two
    components is missed.
-4. A comparison is made in fragments: the order is cut into ``fragments`` ranges, the
-   overlaps of each range are counted apart, and summed per pair.
+4. A comparison is made in fragments: the global order is cut into ``fragments`` ranges of
+   about equally many items, rarest first; the overlaps of each range are counted apart,
+   and summed per pair.
 
 Shingles are runs of ``width`` words, words being ``[^\\x20\\x09-\\x0D]+`` with A-Z in
 lower case; shorter texts have their whole sequence as one shingle.
@@ -135,9 +136,9 @@ def _u4(body: bytes, n: int) -> np.ndarray:
 
 
 def ordered_sets(sets: DataFrame, percent: int, layout: Layout | None = None) -> DataFrame:
-    """``id``, ``n``, ``items`` (shared shingles, sorted), ``prefix`` (the shared ones of the
-    prefix, rarest first), ``skip`` (unshared ones before them) and ``levels`` (a byte for each
-    of the prefix: the class of its document frequency) of sets that can link."""
+    """``id``, ``n``, ``items`` (shared shingles in the global order, rarest first), ``classes`` (a
+    byte for each: the class of its document frequency), ``prefix`` (those of the prefix),
+    ``skip`` (unshared ones before them) and ``levels`` (their classes) of sets that can link."""
     if layout is None:
         parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         total = sets.agg(F.sum(F.octet_length("shared")).alias("n")).first()["n"] or 0
@@ -154,7 +155,7 @@ def ordered_sets(sets: DataFrame, percent: int, layout: Layout | None = None) ->
         return exchange.messages(table["chunk"][0].as_py(), RARITY, keys, np.zeros(len(keys), bool), 64, layout, n.astype("<u4"))
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
-        names = ["id", "n", "items", "prefix", "skip", "levels"]
+        names = ["id", "n", "items", "prefix", "skip", "levels", "classes"]
         h, off = hashes(table) if len(table) else (np.zeros(0, U64), np.zeros(1, np.int64))
         keys, of = np.unique(h, return_inverse=True)
         at = dict(zip(replies["bucket"].to_pylist(), replies["body"].to_pylist(), strict=True))
@@ -167,15 +168,17 @@ def ordered_sets(sets: DataFrame, percent: int, layout: Layout | None = None) ->
             if len(items) < least:
                 continue
             skip = n - len(items)
-            order = np.lexsort((items, lv))[: max(0, n - least + 1 - skip)]
-            out.append((k, n, items.tobytes(), items[order].tobytes(), skip, lv[order].tobytes()))
-        columns = list(zip(*out, strict=True)) or [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+            order = np.lexsort((items, lv))
+            items, lv = items[order], lv[order]
+            size = max(0, n - least + 1 - skip)
+            out.append((k, n, items.tobytes(), items[:size].tobytes(), skip, lv[:size].tobytes(), lv.tobytes()))
+        columns = list(zip(*out, strict=True)) or [[]] * 7
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     kind = exchange.Counts(64, _rarity, _u4, lambda c: c[0].astype("<u4").tobytes(), lambda b, n: np.frombuffer(b, np.uint8, n)[None, :], lambda a: a[0].tobytes())
     told = exchange.round_trip(rows.groupBy("chunk").applyInArrow(ask, exchange.MESSAGE), kind, layout)
-    return exchange.with_answers(rows, told, finish, "id long, n long, items binary, prefix binary, skip long, levels binary")
+    return exchange.with_answers(rows, told, finish, "id long, n long, items binary, prefix binary, skip long, levels binary, classes binary")
 
 
 ENTRY = np.dtype([("h", "<u8"), ("id", "<i8"), ("n", "<i8"), ("at", "<i4"), ("side", "<i4"), ("component", "<i8")])
@@ -355,34 +358,60 @@ def _across(percent: int, block: int = 1 << 20):
     return cross_pairs
 
 
-def _fragments(n: int):
+def _places(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The place of shingles in the global order, to 56 bits: by class, then by hash."""
+    return classes.astype(U64) << U64(56) | h >> U64(8)
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many items lie in each of 65,536 steps of the order."""
+    for batch in batches:
+        h = np.frombuffer(kernels.column_bytes(batch.column(0))[0].tobytes(), U64)
+        step, n = np.unique(_places(h, kernels.column_bytes(batch.column(1))[0]) >> U64(48), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(step.astype(np.int32)), pa.array(n.astype(np.int64))], names=["step", "n"])
+
+
+def fragment_bounds(ordered: DataFrame, n: int) -> list[int]:
+    """Where the global order is cut into ``n`` fragments of about equally many items, in steps."""
+    counts = ordered.select("items", "classes").mapInArrow(_steps, "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").toArrow()
+    ends = np.cumsum(np.array(counts["n"], dtype=np.int64))
+    steps = np.array(counts["step"])
+    return [int(steps[np.searchsorted(ends, ends[-1] * k // n)]) for k in range(1, n)] if len(steps) else []
+
+
+def _fragments(bounds: list[int]):
     """The items of each set, cut at fixed places of the order."""
+    cut = np.array(bounds, dtype=U64) << U64(48)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, part, body = [], [], []
-            for k, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, items, classes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 h = np.frombuffer(items, U64)
-                at, cuts = exchange.spans(exchange.range_of(h, 64, n))
-                for f, a, b in zip(at.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    ids.append(k)
-                    part.append(f)
-                    body.append(h[a:b].tobytes())
+                cuts = [0, *np.searchsorted(_places(h, np.frombuffer(classes, np.uint8)), cut).tolist(), len(h)]
+                for f, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if a < b:
+                        ids.append(k)
+                        part.append(f)
+                        body.append(h[a:b].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(part, pa.int32()), pa.array(body, pa.binary())], names=["id", "fragment", "items"])
 
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = [len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64())], names=["a", "b", "na", "nb", "common"])
+def _overlaps(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """How many items two sets share in one fragment; few sets are copied at once."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            batch = whole.slice(at, rows)
+            n = [len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64())], names=["a", "b", "na", "nb", "common"])
 
 
-def links(pairs: DataFrame, ordered: DataFrame, percent: int, fragments: int) -> DataFrame:
-    """The pairs that reach the threshold; overlaps are counted in fragments and summed."""
-    cut = ordered.select("id", "items").mapInArrow(_fragments(fragments), "id long, fragment int, items binary")
-    spread = pairs.select("a", "b", "na", "nb", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment"))
+def links(pairs: DataFrame, ordered: DataFrame, percent: int, bounds: list[int]) -> DataFrame:
+    """The pairs that reach the threshold; overlaps are counted in fragments of the order and summed."""
+    cut = ordered.select("id", "items", "classes").mapInArrow(_fragments(bounds), "id long, fragment int, items binary")
+    spread = pairs.select("a", "b", "na", "nb", F.explode(F.sequence(F.lit(0), F.lit(len(bounds)))).alias("fragment"))
     one = spread.join(cut.select(F.col("id").alias("a"), "fragment", F.col("items").alias("x")), ["a", "fragment"])
     both = one.join(cut.select(F.col("id").alias("b"), "fragment", F.col("items").alias("y")), ["b", "fragment"])
     parts = both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_overlaps, "a long, b long, na long, nb long, common long")
@@ -402,6 +431,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     classes = some.groupBy("sig").agg(F.min("id").alias("class"))
     own = some.where("shared IS NOT NULL").join(classes, (some["sig"] == classes["sig"]) & (some["id"] == classes["class"])).select(some["id"], "n", "shared")
     ordered = scratch.stored(ordered_sets(own, percent, layout), "ordered")
+    bounds = fragment_bounds(ordered, fragments)
     entries = (ordered.agg(F.sum(F.octet_length("prefix")).alias("n")).first()["n"] or 0) // 8
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries * ENTRY.itemsize / bucket_bytes))
 
@@ -433,7 +463,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
     def joined_by(label: DataFrame | None, pairs: DataFrame) -> DataFrame:
         """Components after the links among ``pairs``; those so far are stars, so little has to settle."""
-        found = links(pairs, ordered, percent, fragments).select("a", "b")
+        found = links(pairs, ordered, percent, bounds).select("a", "b")
         return components(found if label is None else label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 
     single = ordered.select("id", "n", "prefix", "skip", "levels", F.col("id").alias("component"))

@@ -186,3 +186,23 @@ def test_rows_that_share_an_id_and_very_long_texts(spark):
     rows = [(1, a), (5, a), (5, b), (7, b), (8, long), (9, long[: -len(text(3))])]
     got = Counter(tuple(r) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect())
     assert got[8, 8] == got[9, 8] == 1 and got[1, 1] == 1 and sum(n for (i, _), n in got.items() if i == 5) == 2
+
+
+def test_fragments_are_ranges_of_the_rarity_order(spark):
+    """Cut items are all items in order, no fragment has an item before the last one's, and sizes are alike."""
+    made = np.random.default_rng(5)
+    rows = []
+    for k in range(40):
+        classes = np.sort(made.integers(4, 30, 50).astype(np.uint8))
+        h = made.integers(0, 1 << 63, 50, dtype=np.uint64)
+        order = np.lexsort((h, classes))
+        rows.append((k, bytearray(h[order].tobytes()), bytearray(classes[order].tobytes())))
+    df = spark.createDataFrame(rows, "id long, items binary, classes binary")
+    bounds = jaccard_join.fragment_bounds(df, 4)
+    cut = df.mapInArrow(jaccard_join._fragments(bounds), "id long, fragment int, items binary").collect()
+    place = {k: dict(zip(np.frombuffer(h, np.uint64).tolist(), jaccard_join._places(np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint8)).tolist(), strict=True)) for k, h, c in rows}
+    by_fragment = {}
+    for r in cut:
+        by_fragment.setdefault(r["fragment"], []).extend(place[r["id"]][x] for x in np.frombuffer(r["items"], np.uint64).tolist())
+    assert sorted(by_fragment) == [0, 1, 2, 3] and sum(map(len, by_fragment.values())) == 2000
+    assert all(max(by_fragment[f]) < min(by_fragment[f + 1]) for f in range(3)) and max(map(len, by_fragment.values())) < 700
