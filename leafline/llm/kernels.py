@@ -7,6 +7,8 @@ modulo 2**64 and wraps on purpose.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,20 @@ import pyarrow as pa
 
 U64 = np.uint64
 MOD = 1 << 64
+
+
+def return_large_buffers(most_kept: int = 8 << 20) -> None:
+    """Buffers above ``most_kept`` bytes go back to the system as soon as they are freed.
+
+    By default the allocators learn to keep them, so that a worker which has once held a large
+    chunk stays large for as long as it lives, and the workers of later stages come on top."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        for option in (-1, -3):  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
+            ctypes.CDLL(None).mallopt(option, most_kept)
+
+
+return_large_buffers()
 #: Odd multipliers; any odd constants would do, but they must not change between passes.
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xC2B2AE3D27D4EB4F
