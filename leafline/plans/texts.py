@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leafline.functions import compare, reasons, scalars
 from leafline.operators import consensus, markup, structure
+from leafline.operators import marks as marked
 from leafline.plans.registry import registry
 from leafline.sources.tables import load
 from leafline.streaming import streams
@@ -189,3 +190,24 @@ def q111_editors_notes(spark: SparkSession, sf: str) -> DataFrame:
     end = F.when(F.col("o_orderkey") % 2 == 0, " open").otherwise(" closed] end")
     found = scalars.notes(F.concat(F.lit("Held. [Editor's note: see "), F.col("o_custkey"), F.lit("] and [ EDITORS’ Note"), end))
     return load(spark, sf, "orders").select("o_orderkey", F.size(found).alias("n"), F.element_at(found, -1).alias("last"), F.element_at(found, 1).alias("first"))
+
+
+@query()
+def q134_marks_of_a_vote(spark: SparkSession, sf: str) -> DataFrame:
+    """Each reader marks one word of a line: the first bold, the second italic, the end of the third raised."""
+    places = consensus.settled(_places(spark, sf)).withColumn("vote", consensus.voted("readings"))
+    mark = lambda start, end, kind: F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(kind).alias("kind")))
+    first = lambda r: F.length(F.substring_index(r, " ", 1))
+    second = lambda r: F.length(F.substring_index(r, " ", 2))
+    own = (lambda r: mark(F.lit(0), first(r), "bold"), lambda r: mark(first(r) + 1, second(r), "italic"), lambda r: mark(F.length(r) - 1, F.length(r), "sup"))
+    said = F.array(*(F.struct(F.get("readings", F.lit(k)).alias("text"), make(F.get("readings", F.lit(k))).alias("marks")) for k, make in enumerate(own)))
+    got = places.select("doc_id", "line", F.col("vote.text").alias("text"), marked.united_marks(F.col("vote.text"), said).alias("marks"))
+    return got.select("doc_id", "line", F.size("marks").alias("n_marks"), F.md5(F.concat_ws("|", "text", F.to_json("marks"))).alias("digest"))
+
+
+@query()
+def q135_open_places(spark: SparkSession, sf: str) -> DataFrame:
+    # a filter on the status would be pushed down and work the status out again for each of its uses
+    todo = consensus.settled(_places(spark, sf)).select("doc_id", "line", F.when(F.col("status").isNull(), F.col("readings")).alias("open"))
+    cards = todo.select("doc_id", "line", F.inline(marked.open_cards("open")))
+    return cards.select("doc_id", "line", "kind", "position", "start", "length", "level", F.posexplode("readings").alias("reader", "word"))
