@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafline.functions import pages, scalars
 from leafline.operators import relational as rel
 from leafline.operators import sequences as seq
+from leafline.operators import scoring, windows
 from leafline.plans.registry import registry
 from leafline.sources.tables import load
 
@@ -218,3 +219,39 @@ def q118_printed_spans(spark: SparkSession, sf: str) -> DataFrame:
     start = 1 + F.col("o_orderkey") % 3
     bounds = load(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), start.alias("start"), (start + F.col("o_custkey") % 4).alias("end"))
     return seq.printed_spans(bounds, numbers, "k").select("k", "first", "last", "fault")
+
+
+_SIZE, _OVERLAP = 100, 20
+
+
+@query(rf"""WITH d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \n\t\r\v\f]+')) AS n FROM documents), w AS (SELECT doc_id, n, unnest(generate_series(0, CAST(greatest(0, ceil((n - {_SIZE}) / {_SIZE - _OVERLAP}.0)) AS BIGINT))) AS w FROM d WHERE n > 0),
+b AS (SELECT doc_id, w, w * {_SIZE - _OVERLAP} AS s, least(w * {_SIZE - _OVERLAP} + {_SIZE}, n) AS e FROM w), t AS (SELECT doc_id, w, s, e, unnest(generate_series(s, e - 1)) AS k FROM b),
+o AS (SELECT doc_id, k, arg_min(w, row(-least(k - s, e - k - 1), w)) AS owner FROM t GROUP BY 1, 2) SELECT doc_id, CAST(owner AS INTEGER) AS "window", CAST(min(k) AS INTEGER) AS first, CAST(max(k) AS INTEGER) AS last, count(*) AS n FROM o GROUP BY 1, 2""")
+def q137_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's words in windows, scored apart (here the word's place in its window) and stitched."""
+    n = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \n\t\r\x0B\f]+"), F.lit(0)))
+    plan = windows.plan(load(spark, sf, "documents").select("doc_id", n.alias("n")), ["doc_id"], F.col("n"), _SIZE, _OVERLAP)
+    scored = plan.select("doc_id", "window", "own_start", "own_end", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("place"))
+    return windows.stitched(scored, "place").groupBy("doc_id", "window").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n"))
+
+
+def _measured(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of a volume (the parts of a supplier) with two measures and whether they are known as bad."""
+    pages = load(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("volume"), F.col("l_partkey").alias("page")).agg(F.avg("l_quantity").cast("double").alias("ink"), F.avg("l_discount").cast("double").alias("lean"))
+    return pages.withColumn("bad", F.when(F.col("page") % 3 == 0, (F.col("ink") > 40).cast("int")))
+
+
+@query("""WITH p AS (SELECT l_suppkey AS volume, l_partkey AS page, CAST(avg(l_quantity) AS DOUBLE) AS ink, CAST(avg(l_discount) AS DOUBLE) AS lean FROM lineitem GROUP BY 1, 2),
+m AS (SELECT volume, page % 2 AS parity, median(ink) AS ink, median(lean) AS lean FROM p GROUP BY 1, 2) SELECT p.volume, page, round(p.ink - m.ink, 6) AS ink_rel, round(p.lean - m.lean, 6) AS lean_rel FROM p JOIN m ON p.volume = m.volume AND page % 2 = parity""")
+def q138_relative_measures(spark: SparkSession, sf: str) -> DataFrame:
+    got = scoring.relative(_measured(spark, sf), ["volume"], "page", ["ink", "lean"])
+    return got.select("volume", "page", F.round("ink_rel", 6).alias("ink_rel"), F.round("lean_rel", 6).alias("lean_rel"))
+
+
+@query("""WITH p AS (SELECT l_suppkey AS volume, l_partkey AS page, CAST(avg(l_quantity) AS DOUBLE) AS ink FROM lineitem GROUP BY 1, 2), m AS (SELECT volume, page % 2 AS parity, median(ink) AS ink FROM p GROUP BY 1, 2),
+r AS (SELECT p.volume, page, p.ink - m.ink AS x, CASE WHEN page % 3 = 0 THEN CAST(p.ink > 40 AS INTEGER) END AS y FROM p JOIN m ON p.volume = m.volume AND page % 2 = parity), f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM r WHERE y IS NOT NULL)
+SELECT volume, page, round(least(1, greatest(0, a + b * x)), 4) AS score FROM r, f""")
+def q139_scored_pages(spark: SparkSession, sf: str) -> DataFrame:
+    rows = scoring.relative(_measured(spark, sf), ["volume"], "page", ["ink"])
+    model = scoring.fit(rows, ["ink_rel"], "bad", "least squares", ridge=0.0)
+    return scoring.score(rows.select("volume", "page", "ink_rel"), model).select("volume", "page", F.round("score", 4).alias("score"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafline.functions import compare, reasons, scalars
-from leafline.operators import consensus, markup, structure
+from leafline.operators import consensus, markup, structure, tables
 from leafline.operators import marks as marked
 from leafline.plans.registry import registry
 from leafline.sources.tables import load
@@ -211,3 +211,16 @@ def q135_open_places(spark: SparkSession, sf: str) -> DataFrame:
     todo = consensus.settled(_places(spark, sf)).select("doc_id", "line", F.when(F.col("status").isNull(), F.col("readings")).alias("open"))
     cards = todo.select("doc_id", "line", F.inline(marked.open_cards("open")))
     return cards.select("doc_id", "line", "kind", "position", "start", "length", "level", F.posexplode("readings").alias("reader", "word"))
+
+
+@query("""
+SELECT l_orderkey, CAST(0 AS INTEGER) AS table_no, CAST(row_number() OVER (PARTITION BY l_orderkey, c.k ORDER BY l_linenumber, concat(l_partkey, '</td><td><b>', l_returnflag, '</b>', l_linestatus, '</td>', chr(10), '<td> ', l_suppkey, ' ')) AS INTEGER) AS row_no, CAST(c.k AS INTEGER) AS column_no,
+ CASE c.k WHEN 0 THEN concat('line ', l_linenumber, ' & ', l_partkey) WHEN 1 THEN concat(l_returnflag, l_linestatus) ELSE CAST(l_suppkey AS VARCHAR) END AS cell FROM lineitem, (VALUES (0), (1), (2)) c(k)
+UNION ALL SELECT o_orderkey, 0, 0, c.k, CASE c.k WHEN 0 THEN 'item' WHEN 1 THEN 'flags' ELSE 'supplier' END FROM orders, (VALUES (0), (1), (2)) c(k) WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def q136_table_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The line items of an order written as a table, and read back cell by cell."""
+    row = F.concat(F.lit("<tr><td>line  "), F.col("l_linenumber"), F.lit(" &amp; "), F.col("l_partkey"), F.lit("</td><td><b>"), F.col("l_returnflag"), F.lit("</b>"), F.col("l_linestatus"), F.lit("</td>\n<td> "), F.col("l_suppkey"), F.lit(" </td></tr>"))
+    rows = load(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", row.alias("row")).alias("r"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["row"]), "\n")
+    written = rows.groupBy("l_orderkey").agg(F.concat(F.lit("<p>Order</p><table><tr><th>item</th><th>flags</th><th>supplier</th></tr>"), body, F.lit("</table>")).alias("html"))
+    return tables.cells(written, ["l_orderkey"], "html")
