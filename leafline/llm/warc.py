@@ -101,8 +101,12 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     at most ``segment_bytes`` bytes, so a reader can hold any file in memory."""
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    copies = rows.where(F.octet_length("payload") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
-    told = rows.join(copies, "digest", "left").select("page_id", "url", "payload", "digest", F.when((F.octet_length("payload") >= revisit_bytes) & ~F.col("last").eqNullSafe(F.col("page_id")), F.col("last")).alias("refers_to"), F.monotonically_increasing_id().alias("copy"))
+    # who revisits whom is found among ids and digests; payloads then meet it by their own ids, so
+    # the payloads that are all alike do not meet in one task
+    ids = rows.where(F.octet_length("payload") >= revisit_bytes).select("page_id", "digest")
+    copies = ids.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
+    revisits = ids.join(copies, "digest").where(~F.col("last").eqNullSafe(F.col("page_id"))).select(F.col("page_id").alias("own_id"), F.col("digest").alias("own_digest"), F.col("last").alias("refers_to")).distinct()
+    told = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")), "left").select("page_id", "url", "payload", "digest", "refers_to", F.monotonically_increasing_id().alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
