@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafline.functions import boxes, covers
-from leafline.operators import matching, tracks
+from leafline.operators import layouts, matching, tracks
 from leafline.operators import sequences as seq
 from leafline.plans.registry import registry
 from leafline.sources.tables import load
@@ -227,3 +227,19 @@ def q131_column_edges(spark: SparkSession, sf: str) -> DataFrame:
     at = lambda y: F.col("c0") + F.col("c1") * (y - F.col("middle")) / F.col("scale") + F.col("c2") * F.pow((y - F.col("middle")) / F.col("scale"), F.lit(2))
     found = tracks.edges(_lines(spark, sf), ["page"])
     return found.select("page", "n", F.round(at(F.col("low")), 4).alias("top"), F.round(at(F.col("high")), 4).alias("bottom"))
+
+
+@query(f"""WITH {_BOX}, k AS (SELECT vec_id, vec_id % 7 AS k, x0, y0, x1, y1, x1 > x0 AND y1 > y0 AS legal FROM b)
+SELECT vec_id, CASE WHEN k = 6 THEN 'Expecting value' WHEN NOT legal THEN 'cell 0: a box without an area' END AS fault, CASE k WHEN 1 THEN 'escaped' WHEN 2 THEN 'marked' WHEN 3 THEN 'cut' WHEN 4 THEN 'controls' WHEN 5 THEN 'escaped,cut' ELSE '' END AS edits,
+ CASE WHEN k = 6 OR NOT legal THEN NULL ELSE round(x1 - x0, 6) END AS width, CASE WHEN k = 6 OR NOT legal THEN NULL WHEN k IN (1, 5) THEN 'said "out." and ' || vec_id WHEN k = 2 THEN 'see "' || vec_id WHEN k = 4 THEN 'line' || chr(10) || vec_id ELSE 'plain ' || vec_id END AS text FROM k""")
+def q140_mended_layouts(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers with a planted fault each: stray marks, loose backslashes, trailing text, line breaks, garbage."""
+    k, n = F.col("vec_id") % 7, F.col("vec_id").cast("string")
+    quote, slash = F.lit('"'), F.lit("\\")
+    text = F.when(k.isin(1, 5), F.concat(F.lit('said \\"out."'), F.lit(" and "), n)).when(k == 2, F.concat(F.lit("see "), slash, F.lit(" "), n)).when(k == 4, F.concat(F.lit("line\n"), n)).otherwise(F.concat(F.lit("plain "), n))
+    text = F.when(k == 2, F.concat(F.lit("see "), slash, n)).otherwise(text)
+    body = F.concat(F.lit('[{"bbox": ['), F.concat_ws(", ", *(F.col(s).cast("string") for s in boxes.SIDES)), F.lit('], "category": "Text", "text": '), quote, text, quote, F.lit("}]"))
+    answer = F.when(k == 6, F.lit("no answer")).when(k.isin(3, 5), F.concat(body, F.lit("]}"))).otherwise(body)
+    got = boxed(spark, sf).select("vec_id", layouts.cells(answer).alias("m"))
+    cell = F.get("m.cells", F.lit(0))
+    return got.select("vec_id", F.col("m.fault").alias("fault"), F.array_join("m.edits", ",").alias("edits"), F.round(F.get(cell["bbox"], F.lit(2)) - F.get(cell["bbox"], F.lit(0)), 6).alias("width"), cell["text"].alias("text"))
