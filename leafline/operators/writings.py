@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from leafline.functions import scalars
+
 
 def writings(paragraphs: DataFrame, keys: Sequence[str], order: str, tagged: Column, caption: Column, author: Column, opens: Column, separate: Column) -> DataFrame:
     """One row a document: ``split``, where the head matter ends, and ``starts``, where writings begin.
@@ -38,6 +40,51 @@ def writings(paragraphs: DataFrame, keys: Sequence[str], order: str, tagged: Col
     return lines.select(*keys, "split", F.concat(F.array("split"), later).alias("starts"))
 
 
+# The edges that are no words, how much of the text after an author is read, the
+# abbreviations whose period ends no sentence, and words that may stand before a role.
+EDGE, ROLE_REACH = " \n\t.,;:", 300
+ABBREVIATIONS = ("JJ", "Mr", "Mrs", "Ch", "Jr")
+BEFORE_ROLE = (("i", "respectfully"), ("i",), ("specially",))
+
+
+def first_sentence(text: Column) -> Column:
+    """The words up to the first that ends a sentence; a single capital and an abbreviation do not."""
+    words = F.split(F.trim(F.regexp_replace(F.substring(text, 1, ROLE_REACH), r"(?U)\s+", " ")), " ")
+    short = rf"(?:^|[^A-Za-z0-9])(?:[A-Z]|{'|'.join(ABBREVIATIONS)})[.;:!?]$"
+    ends = F.filter(F.transform(words, lambda w, i: F.when(w.rlike(r"[.;:!?]$") & ~w.rlike(short), i + 1)), lambda i: i.isNotNull())
+    return F.array_join(F.when(F.size(ends) > 0, F.slice(words, F.lit(1), F.get(ends, F.lit(0)))).otherwise(words), " ")
+
+
+def names_role(sentence: Column) -> Column:
+    """Whether a sentence begins with a concurrence or a dissent, in brackets or of the writer's own."""
+    words = F.transform(F.split(F.regexp_replace(F.lower(sentence), r"^\(\s*", ""), " "), lambda w: F.regexp_extract(w, "^[a-z]+", 0))
+    word = lambda k: F.coalesce(F.get(words, F.lit(k)), F.lit(""))
+    skip = F.lit(0)
+    for lead in reversed(BEFORE_ROLE):
+        met = F.lit(True)
+        for k, w in enumerate(lead):
+            met = met & (word(k) == w)
+        skip = F.when(met, len(lead)).otherwise(skip)
+    return F.coalesce(F.get(words, skip).isin(*scalars.CONCUR, *scalars.DISSENT), F.lit(False))
+
+
+def role_words(paragraphs: DataFrame, keys: Sequence[str], order: str, text: Column, heading: Column, author_end: Column) -> DataFrame:
+    """``paragraphs`` with ``role_words``, the folded words that name the type of a writing that begins there.
+
+    They are a heading just before, the text up to ``author_end`` (null or 0: no author begins the
+    paragraph), and the first sentence after it, or of the next paragraph where nothing stands
+    after the author, if it begins with a role."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    said = F.coalesce(text, F.lit(""))
+    rows = paragraphs.withColumn("_said", said).withColumn("_end", F.coalesce(author_end, F.lit(0)))
+    rows = rows.withColumn("_head", F.lag(F.when(F.coalesce(heading, F.lit(False)), said)).over(w)).withColumn("_next", F.lead(said).over(w))
+    rest = F.ltrim(F.substring("_said", F.col("_end") + 1, F.length("_said")), F.lit(EDGE))
+    rest = F.when((rest == "") & F.col("_next").isNotNull(), F.ltrim("_next", F.lit(EDGE))).otherwise(rest)
+    rows = rows.withColumn("_sentence", first_sentence(rest))
+    parts = F.concat_ws(" ", "_head", F.substring("_said", F.lit(1), F.col("_end")), F.when(names_role(F.col("_sentence")), F.col("_sentence")))
+    return rows.withColumn("role_words", F.lower(scalars.squeeze(parts))).drop("_said", "_end", "_head", "_next", "_sentence")
+
+
 def citations(paragraphs: DataFrame, keys: Sequence[str], order: str, before: Column, first_page: Column, last_page: Column, bare: Column, cites: Column) -> DataFrame:
     """The head-matter paragraphs that are one full citation: ``bare`` ones (no span, mark, list, table,
     quote or page break) with ``cites``, that do not begin a page.  ``before`` says head matter."""

@@ -149,3 +149,15 @@ def test_built_pages_and_documents(spark):
     assert sorted((r.page, r.id, r.missing, r.error) for r in out.where("page IN (2, 3)").collect()) == [(2, None, "", pages.UNMEASURED), (3, None, "a", "gone")]
     assert [tuple(r) for r in pages.documents(out, ["doc"], "page").collect()] == [(1, "One text\n\nLast", "A note", 3, 2, 0)]
     assert pages.built(heads.limit(0), units.limit(0), zones.limit(0), ["doc", "page"]).count() == 0
+
+
+def test_role_words(spark):
+    rows = [
+        (1, 0, "ON PETITION  FOR REHEARING", True, None), (1, 1, "Andrews, J. (dissenting). Assisting a passenger.", False, 10), (1, 2, "Text.", False, None),
+        (2, 0, "Text", False, None), (2, 1, "Ciklin, J.,", False, 10), (2, 2, "I respectfully concur with Ch. J. Roe; and more.", False, None),
+        (3, 0, "Roe, J. We concur with the court.", False, 6), (4, 0, None, False, None), (4, 1, "Dissented. x", None, 0), (5, 0, "A" * 400, False, 0),
+    ]
+    df = spark.createDataFrame(rows, "k int, i int, text string, heading boolean, end int")
+    got = {(r["k"], r["i"]): r["role_words"] for r in writings.role_words(df, ["k"], "i", F.col("text"), F.col("heading"), F.col("end")).collect()}
+    assert got[1, 1] == "on petition for rehearing andrews, j (dissenting)." and got[2, 1] == "ciklin, j. i respectfully concur with ch. j. roe;"
+    assert got[3, 0] == "roe, j" and got[4, 0] == "dissented." and got[4, 1] == "dissented." and got[5, 0] == "" and got[1, 0] == ""
