@@ -156,6 +156,13 @@ def q48_day_windows(spark: SparkSession, sf: str) -> DataFrame:
     return streams.run_once(spark, streams.day_windows(streams.event_stream(spark, sf)), "q48", "complete").select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("""WITH c AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
+SELECT * FROM c WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""")
+def q48b_closed_days(spark: SparkSession, sf: str) -> DataFrame:
+    """The days that no event can change any more, each given once."""
+    return streams.run_once(spark, streams.day_windows(streams.event_stream(spark, sf)), "q48b", "append").select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 @query("SELECT user_id, arg_max(event_type, row(ts, event_id)) AS status, count(*) AS seen FROM events GROUP BY 1")
 def q49_latest_state(spark: SparkSession, sf: str) -> DataFrame:
     return streams.latest_state(spark, streams.event_stream(spark, sf))

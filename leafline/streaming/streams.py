@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from leafline.sources import shared
 from leafline.sources.tables import load
 
 STATE = "user_id long, ts timestamp, event_id long, status string, seen long"
@@ -34,7 +35,11 @@ def day_windows(events: DataFrame, late: str = "2 days") -> DataFrame:
 
 
 def run_once(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over all that is there; the rows of its last result."""
+    """Runs a stream over all that is there; the rows of its last result.
+
+    ``complete`` keeps the last epoch; ``append`` gives each window once, when the watermark has passed
+    it, so windows that may still change are not there and late events change nothing.  The
+    checkpoint goes when the run is over, the rows when the driver ends."""
     folder = _shared(spark)
     table = f"{name}_{uuid.uuid4().hex}"
 
@@ -44,12 +49,13 @@ def run_once(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> Da
 
     query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/{table}-checkpoint").foreachBatch(write).start()
     query.awaitTermination()
+    shared.remove(spark, f"{folder}/{table}-checkpoint")
+    shared.removed_at_exit(spark, f"{folder}/{table}")
     return spark.read.schema(stream.schema).parquet(f"{folder}/{table}/epoch=*")
 
 
 def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/streams"
+    return f"{shared.folder(spark)}/streams"
 
 
 @contextlib.contextmanager
