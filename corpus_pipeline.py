@@ -103,7 +103,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops documents that hold a test item or an edited copy of one.
 
     Rows go by id and text, so rows with a null id go as well, and rows that repeat go
-    together.  Null texts match nothing and stay."""
+    together.  Null texts match nothing and stay.  A score of exactly the least counts, so a
+    tie with it goes; of equally good stretches any is enough."""
     packed = _packed(docs, "doc_id", "text")
     digest = F.sha2("text", 256)
     named = docs.select(F.struct("doc_id", digest.alias("digest")).alias("row"), "text")
