@@ -94,7 +94,7 @@ b AS (SELECT *, list_filter(said, lambda x: 2 * len(list_filter(said, lambda y:
 SELECT doc_id, line, CASE WHEN NOT plain THEN 'not plain' WHEN n = 0 THEN 'nothing_read' WHEN n = 1 THEN 'single' WHEN len(list_filter(said, lambda y: y = best)) = n THEN 'unanimous' WHEN best IS NOT NULL THEN 'majority' ELSE 'open' END AS status,
  CASE WHEN plain THEN md5(CASE WHEN n = 0 THEN '' ELSE best END) END AS digest FROM b""")
 def q46a_settled_places(spark: SparkSession, sf: str) -> DataFrame:
-    places = consensus.settled(consensus.gathered(readings(spark, sf), ["doc_id", "line"], "reader", "text"))
+    places = consensus.settled(consensus.gathered(readings(spark, sf), ["doc_id", "line"], "reader", "text", keyed=True))
     plain = F.forall("readings", lambda r: r.rlike(compare.PLAIN) & r.rlike(r"[\p{L}\d]|^$"))
     return places.select("doc_id", "line", F.when(~plain, "not plain").otherwise(F.coalesce("status", F.lit("open"))).alias("status"), F.when(plain, F.md5("text")).alias("digest"))
 
