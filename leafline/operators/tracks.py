@@ -42,10 +42,13 @@ def proposals(lines: DataFrame, keys: Sequence[str], start: bool = True) -> Data
     """The best straight edge of each page: the two lines that propose it, ``points``, ``hugging`` and
     ``outside`` lines.  ``lines`` has ``line``, ``x`` (starts, or ends if not ``start``) and ``y``.
 
-    More points win, then fewer lines outside, then more that hug, then the first pair."""
-    side = lambda p: lines.select(*keys, F.col("line").alias(f"{p}"), F.col("x").cast("double").alias(f"{p}_x"), F.col("y").cast("double").alias(f"{p}_y"))
+    More points win, then fewer lines outside, then more that hug, then the first pair.  Places are
+    subtracted in the type they are given in, so decimals lose nothing before the slope."""
+    side = lambda p: lines.select(*keys, F.col("line").alias(f"{p}"), F.col("x").alias(f"{p}_x"), F.col("y").alias(f"{p}_y"))
     pairs = side("first").join(side("second"), list(keys)).where((F.col("first") < F.col("second")) & (F.abs(F.col("second_y") - F.col("first_y")) >= LEAST_APART))
-    pairs = pairs.withColumn("slope", (F.col("second_x") - F.col("first_x")) / (F.col("second_y") - F.col("first_y"))).where(F.abs("slope") <= STEEPEST)
+    apart = lambda c: (F.col(f"second_{c}") - F.col(f"first_{c}")).cast("double")
+    pairs = pairs.withColumn("slope", apart("x") / apart("y")).where(F.abs("slope") <= STEEPEST)
+    pairs = pairs.withColumns({c: F.col(c).cast("double") for c in ("first_x", "first_y")})
     scored = pairs.join(_pages(lines, keys), list(keys))
     off = F.transform("lines", lambda p: p["x"] - (F.col("first_x") + F.col("slope") * (p["y"] - F.col("first_y"))))
     scored = scored.select(*keys, "first", "second", "first_x", "first_y", "slope", F.size(F.filter(off, lambda r: _hugs(r, start))).alias("hugging"), F.size(F.filter(off, lambda r: _strays(r, start))).alias("outside"))

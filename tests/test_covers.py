@@ -4,10 +4,12 @@ import random
 
 import numpy as np
 import pytest
+from oracle import differences
 from pyspark.sql import functions as F
 
 from leafline.functions import boxes, covers
 from leafline.operators import tracks
+from leafline.plans import catalogue
 
 
 def slow_share(box, rects, step=0.5):
@@ -95,3 +97,9 @@ def test_edges_against_numpy(spark, start):
     for k, w in want.items():
         assert got[k] == pytest.approx(w, abs=1e-5)
     assert tracks.edges(df.where("false"), ["page"], start).count() == 0
+
+
+def test_lines_on_the_border_of_an_edge_hug_as_in_sql(spark):
+    """Many lines lie exactly ten inside or six outside; sums of doubles put some on the wrong side."""
+    sf = "/root/testdata/sf0.01"
+    assert differences(catalogue.QUERIES["q130_edge_proposals"](spark, sf), catalogue.ORACLE_SQL["q130_edge_proposals"], sf) == ""
