@@ -3,7 +3,7 @@
 import random
 
 from leafline.functions import pages
-from leafline.operators import markup, tables
+from leafline.operators import markup, matching, tables
 
 
 def planned(df) -> str:
@@ -44,3 +44,28 @@ def test_bare_tags_are_read_as_the_parser_reads_them():
         got = said(lambda h: (r := markup._read(h)).out and ("".join(r.out), r.raw, r.open, r.parsed) or ([], r.raw, r.open, r.parsed), html)
         assert got == want, html
         assert said(markup.tables_of, html) == (want if want == "no row" else want[3].tables), html
+
+
+def test_covered_area_by_a_sweep_is_that_of_all_stretches():
+    made = random.Random(1)
+    for n in range(60):
+        span = lambda: sorted(made.sample(range(9), 2))
+        some = [(x[0], y[0], x[1], y[1]) for x, y in ((span(), span()) for _ in range(n % 20))]
+        cells = {(x, y) for x0, y0, x1, y1 in some for x in range(x0, x1) for y in range(y0, y1)}
+        assert matching.covered(some) == len(cells)
+    # of this many boxes a walk of all of them for each stretch would take hours
+    assert matching.covered([(k, k, k + 2, k + 2) for k in range(30_000)]) == 4 + 3 * 29_999
+
+
+def test_nearest_rows_make_no_pairs(spark):
+    made = random.Random(3)
+    rows = lambda n: [(made.randrange(2), k, made.choice([made.randrange(40) / 8, -0.25, float("inf"), float("nan"), None])) for k in range(n)]
+    left, right = rows(120), rows(120)
+    frame = lambda some: spark.createDataFrame(some, "g int, id int, at double")
+    found = matching.nearest_within(frame(left), frame(right), ["g"], "at", "id", 0.25)
+    assert "Join" not in planned(found)
+    want = []
+    for g, k, at in left:
+        near = [(abs(at - r), j) for h, j, r in right if h == g and at is not None and r is not None and abs(at - r) <= 0.25]
+        want += [(g, k, at, min(near)[1], min(near)[0])] if near else []
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want) and len(want) > 30
