@@ -5,16 +5,22 @@ a point for each line that hugs it and loses ``OUTSIDE_COST`` for each that lies
 outside of it, which text inside a column cannot do.  The best proposal's lines are fitted
 by a polynomial, by least squares, three times over the lines that hug the last fit.
 
-Pairs come from an equi-join on the page, scores from array functions and sums from windows:
-all in the JVM, and a group is one page's lines.
+A page's lines come together once and its pairs are scored by arrays, so no pair is a row; the sums
+of the fits come from windows in the JVM.  A group is one page's lines.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Fixed values, in pixels of the render that the measures are calibrated for: how far a flush line may
 # lie inside and outside of its edge, from where it is clearly outside and what that costs, the
@@ -24,6 +30,8 @@ INSIDE, OUTSIDE, CLEARLY_OUTSIDE, OUTSIDE_COST = 6.0, 10.0, 14.0, 6
 STEEPEST, LEAST_APART = 0.035, 300.0
 LEAST_FIT, LEAST_CURVED, LEAST_LINES, LEAST_SPAN, MOST_OUTSIDE = 6, 15, 8, 500.0, 0.3
 FITS = 3
+#: Distances of lines from proposed edges that are held at a time.
+BLOCK = 1 << 20
 
 
 def _hugs(r: Column, start: bool) -> Column:
@@ -34,28 +42,62 @@ def _strays(r: Column, start: bool) -> Column:
     return r < -CLEARLY_OUTSIDE if start else r > CLEARLY_OUTSIDE
 
 
-def _pages(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("lines"))
-
-
 def proposals(lines: DataFrame, keys: Sequence[str], start: bool = True) -> DataFrame:
     """The best straight edge of each page: the two lines that propose it, ``points``, ``hugging`` and
     ``outside`` lines.  ``lines`` has ``line``, ``x`` (starts, or ends if not ``start``) and ``y``.
 
     More points win, then fewer lines outside, then more that hug, then the first pair.  Places are
-    subtracted in the type they are given in, so decimals lose nothing before the slope."""
-    side = lambda p: lines.select(*keys, F.col("line").alias(f"{p}"), F.col("x").alias(f"{p}_x"), F.col("y").alias(f"{p}_y"))
-    pairs = side("first").join(side("second"), list(keys)).where((F.col("first") < F.col("second")) & (F.abs(F.col("second_y") - F.col("first_y")) >= LEAST_APART))
-    apart = lambda c: (F.col(f"second_{c}") - F.col(f"first_{c}")).cast("double")
-    pairs = pairs.withColumn("slope", apart("x") / apart("y")).where(F.abs("slope") <= STEEPEST)
-    pairs = pairs.withColumns({c: F.col(c).cast("double") for c in ("first_x", "first_y")})
-    scored = pairs.join(_pages(lines, keys), list(keys))
-    off = F.transform("lines", lambda p: p["x"] - (F.col("first_x") + F.col("slope") * (p["y"] - F.col("first_y"))))
-    scored = scored.select(*keys, "first", "second", "first_x", "first_y", "slope", F.size(F.filter(off, lambda r: _hugs(r, start))).alias("hugging"), F.size(F.filter(off, lambda r: _strays(r, start))).alias("outside"))
-    scored = scored.withColumn("points", F.col("hugging") - OUTSIDE_COST * F.col("outside"))
-    rank = F.struct(-F.col("points"), F.col("outside"), -F.col("hugging"), F.col("first"), F.col("second"))
-    best = scored.groupBy(*keys).agg(F.min_by(F.struct("first", "second", "first_x", "first_y", "slope", "points", "hugging", "outside"), rank).alias("b"))
-    return best.select(*keys, "b.*")
+    subtracted in the type they are given in, so decimals (of up to 18 digits) lose nothing before the slope."""
+    kind = lines.schema["x"].dataType
+    exact = isinstance(kind, T.DecimalType) and kind.precision <= 18
+    x = (F.col("x") * 10**kind.scale).cast("long") if exact else F.col("x").cast("double")
+    line = F.struct("line", x.alias("x"), F.col("y").cast("double").alias("y"))
+    packed = lines.where("x IS NOT NULL AND y IS NOT NULL").groupBy(*keys).agg(F.array_sort(F.collect_list(line)).alias("_l"))
+    kinds = {"first": lines.schema["line"].dataType, "second": lines.schema["line"].dataType}
+    fields = [T.StructField(n, kinds.get(n, T.DoubleType() if n in ("first_x", "first_y", "slope") else T.IntegerType())) for n in _BEST]
+    scale = 10.0**kind.scale if exact else 1.0
+
+    @F.arrow_udf(T.StructType(fields))
+    def best(pages: pa.Array) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(pages), 0).to_numpy(zero_copy_only=False))])
+        flat = pages.flatten()
+        number, x, y = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        rows = [_best_pair(number[a:b], x[a:b], y[a:b], scale, start) for a, b in zip(ends, ends[1:], strict=False)]
+        return pa.array([r and dict(zip(_BEST, r, strict=True)) for r in rows], pa.struct([(f.name, to_arrow_type(f.dataType)) for f in fields]))
+
+    some = reduce(lambda p, q: p & q, (F.col(k).isNotNull() for k in keys))
+    return packed.where(some).select(*keys, best("_l").alias("b")).where("b IS NOT NULL").select(*keys, "b.*")
+
+
+_BEST = ("first", "second", "first_x", "first_y", "slope", "points", "hugging", "outside")
+
+
+def _best_pair(number: np.ndarray, x: np.ndarray, y: np.ndarray, scale: float, start: bool) -> tuple | None:
+    """The best proposal of one page; none if no pair proposes.  Pairs are scored in blocks, so a page with many
+    lines takes time but no more memory."""
+    at, best, rank, n = x / scale, None, None, len(x)
+    step = max(1, BLOCK // max(1, n * n))
+    for k in range(0, n, step):
+        i, j = np.nonzero(number[k : k + step, None] < number)
+        i += k
+        apart = y[j] - y[i]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = (x[j] - x[i]) / scale / apart
+            good = (np.abs(apart) >= LEAST_APART) & (np.abs(slope) <= STEEPEST)
+        i, j, slope = i[good], j[good], slope[good]
+        if not len(i):
+            continue
+        off = at - (at[i, None] + slope[:, None] * (y - y[i, None]))
+        hugging = np.count_nonzero((off >= (-OUTSIDE if start else -INSIDE)) & (off <= (INSIDE if start else OUTSIDE)), axis=1)
+        outside = np.count_nonzero(off < -CLEARLY_OUTSIDE if start else off > CLEARLY_OUTSIDE, axis=1)
+        points = hugging - OUTSIDE_COST * outside
+        # more points, fewer lines outside (with both equal as many hug), the first pair
+        top = np.flatnonzero(points == points.max())
+        t = top[outside[top].argmin()]
+        if rank is None or (-points[t], outside[t]) < rank:
+            rank = (-points[t], outside[t])
+            best = (number[i[t]].item(), number[j[t]].item(), at[i[t]].item(), y[i[t]].item(), slope[t].item(), int(points[t]), int(hugging[t]), int(outside[t]))
+    return best
 
 
 def _solved(s: Sequence[Column], m: Sequence[Column], curved: Column) -> list[Column]:

@@ -3,7 +3,7 @@
 import random
 
 from leafline.functions import pages
-from leafline.operators import markup, matching, tables
+from leafline.operators import markup, matching, tables, tracks
 
 
 def planned(df) -> str:
@@ -69,3 +69,15 @@ def test_nearest_rows_make_no_pairs(spark):
         near = [(abs(at - r), j) for h, j, r in right if h == g and at is not None and r is not None and abs(at - r) <= 0.25]
         want += [(g, k, at, min(near)[1], min(near)[0])] if near else []
     assert sorted(tuple(r) for r in found.collect()) == sorted(want) and len(want) > 30
+
+
+def test_pairs_of_lines_are_no_rows(spark, monkeypatch):
+    lines = spark.createDataFrame([(1, k, 200.0 + 0.01 * 90 * k + (40.0 if k % 7 == 3 else 0.0), 90.0 * k) for k in range(30)], "page int, line int, x double, y double")
+    found = tracks.proposals(lines, ["page"])
+    assert "Join" not in planned(found)
+    (best,) = found.collect()
+    assert (best["first"], best["second"], best["hugging"], best["outside"]) == (0, 4, 26, 0)
+    line = lines.toPandas()
+    whole = tracks._best_pair(line["line"].to_numpy(), line["x"].to_numpy(), line["y"].to_numpy(), 1.0, True)
+    monkeypatch.setattr(tracks, "BLOCK", 1)
+    assert whole == tracks._best_pair(line["line"].to_numpy(), line["x"].to_numpy(), line["y"].to_numpy(), 1.0, True)
