@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import asdict, astuple, dataclass
+from dataclasses import dataclass
+from operator import attrgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from leafline.streaming.streams import run_once, with_rocksdb
 
 HOUR = 3_600_000_000  # times are whole microseconds
 QUEUE_WAIT, RUN_TIME, MOST_ATTEMPTS = 6 * HOUR, 12 * HOUR, 3
 IN_FLIGHT = ("submitted", "in_progress")
-STATE = "status string, attempt int, deferred int, deadline long, last long, seen long, ignored long, late long"
+BUCKETS = 2048  # of a stream's jobs; state in a checkpoint is keyed by it
+STATE = "jobs array<struct<job long, status string, attempt int, deferred int, deadline long, last long, seen long, ignored long, late long>>"
 RESULT = "job long, status string, attempt int, deferred int, deadline long, seen long, ignored long, late long, version long"
+_NAMES = [f.split()[0] for f in RESULT.split(", ")]
+_SHOWN = attrgetter(*_NAMES[1:-1])
+_FIELDS = attrgetter("status", "attempt", "deferred", "deadline", "last", "seen", "ignored", "late")
 
 
 @dataclass
@@ -98,7 +104,6 @@ def job_states(commands: DataFrame, as_of: int) -> DataFrame:
     One shuffle by job and a sort; a task reads its rows in Arrow batches and holds one job's
     state, so a job with many commands needs no more memory than another.  Ties in time go by
     ``event_id``; rows without a job are left out, an empty table has no states."""
-    names = [f.split()[0] for f in RESULT.split(", ")]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (r for b in batches for r in zip(b["job"], b["at"], b["command"], strict=True))
@@ -106,58 +111,52 @@ def job_states(commands: DataFrame, as_of: int) -> DataFrame:
         for row in folded(rows, as_of):
             part.append(row)
             if len(part) == 10_000:
-                yield pd.DataFrame(part, columns=names)
+                yield pd.DataFrame(part, columns=_NAMES)
                 part = []
-        yield pd.DataFrame(part, columns=names)
+        yield pd.DataFrame(part, columns=_NAMES)
 
     ordered = commands.where("job IS NOT NULL").repartition("job").sortWithinPartitions("job", "at", "event_id")
     return ordered.select("job", "at", "command").mapInPandas(fold, RESULT).drop("version")
 
 
-class JobProcessor(StatefulProcessor):
-    """The same fold over a stream.  A micro-batch's commands of one job are put in order;
-    older ones than those of batches before count as late.  A timer for the deadline writes
-    off jobs of which nothing more is heard."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("job", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        job = Job(*self.state.get()) if self.state.exists() else Job()
-        batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        for at, command in zip(batch["at"], batch["command"], strict=True):
-            job.apply(int(at), command)
-        self._clock(job)
-        yield self._keep(key, job)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        job = Job(*self.state.get())
-        if job.wait(timerValues.getCurrentWatermarkInMs() * 1000 + 1):
-            yield self._keep(key, job)
-
-    def close(self) -> None:
-        pass
-
-    def _clock(self, job: Job) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if job.deadline and job.status in ("pending", *IN_FLIGHT):
-            self.handle.registerTimer(-(-job.deadline // 1000))
-
-    def _keep(self, key, job: Job) -> pd.DataFrame:
-        self.state.update(astuple(job))
-        shown = {k: v for k, v in asdict(job).items() if k != "last"}
-        # a write-off after the newest command ranks above that command
-        return pd.DataFrame([{"job": key[0], **shown, "version": job.seen * 10 + job.attempt + 5 * (job.status == "failed")}])
+def folded_batch(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+    """The same fold over a stream, one call for all jobs of a bucket.  A micro-batch's commands
+    are put in order; a job's commands that are older than those of batches before count as late.
+    A timeout at a bucket's first deadline writes off jobs of which nothing more is heard."""
+    jobs = {job: Job(*fields) for job, *fields in held.get[0]} if held.exists else {}
+    changed = set()
+    if not held.hasTimedOut:
+        parts = [tuple(f[c].to_numpy() for c in ("job", "at", "event_id", "command")) for f in frames]
+        names, at, ids, commands = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((ids, at))
+        for job, now, command in zip(names[order].tolist(), at[order].tolist(), commands[order], strict=True):
+            if job not in jobs:
+                jobs[job] = Job()
+            jobs[job].apply(int(now), command)
+            changed.add(job)
+    as_of = held.getCurrentWatermarkMs() * 1000 + 1
+    changed.update([job for job, state in jobs.items() if state.wait(as_of)])
+    held.update(([(job, *_FIELDS(state)) for job, state in jobs.items()],))
+    clocks = [state.deadline for state in jobs.values() if state.deadline and state.status in ("pending", *IN_FLIGHT)]
+    if clocks:
+        # a timeout comes once the watermark is past it, a deadline is over once the watermark reaches it
+        held.setTimeoutTimestamp(max(-(-min(clocks) // 1000) - 1, 1))
+    # a write-off after the newest command ranks above that command
+    rows = [(None if key[0] < 0 else job, *_SHOWN(s), s.seen * 10 + s.attempt + 5 * (s.status == "failed")) for job in changed for s in (jobs[job],)]
+    yield pd.DataFrame(rows, columns=_NAMES)
 
 
 def job_stream(spark: SparkSession, commands: DataFrame, late: str) -> DataFrame:
     """``job_states`` of a stream, as of its watermark: ``late`` behind the newest ``ts``.
 
-    Commands older than the watermark are dropped, as no one waits for them any more."""
+    Commands older than the watermark are dropped, as no one waits for them any more.  The state
+    is keyed by ``BUCKETS`` buckets of jobs, as a call of Python and its exchange with the state
+    store cost far more than a job's fold; a bucket's states are read and written as one.
+    Commands without a job are one job, in a bucket of its own."""
+    bucket = F.when(F.col("job").isNull(), -1).otherwise(F.pmod(F.xxhash64("job"), F.lit(BUCKETS))).alias("bucket")
     with with_rocksdb(spark):
-        stream = commands.withWatermark("ts", late).groupBy("job").transformWithStateInPandas(JobProcessor(), RESULT, "Update", "EventTime")
+        read = commands.withWatermark("ts", late).select(bucket, F.coalesce("job", F.lit(0)).alias("job"), "ts", "at", F.coalesce("event_id", F.lit(2**63 - 1)).alias("event_id"), "command")
+        stream = read.groupBy("bucket").applyInPandasWithState(folded_batch, RESULT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
         rows = run_once(spark, stream, "jobs", "update")
     fields = [c for c in rows.columns if c not in ("job", "version", "epoch")]
     newest = rows.groupBy("job").agg(F.max_by(F.struct(*fields), "version").alias("s"))

@@ -4,6 +4,7 @@ import datetime
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from leafline.streaming import jobs, streams
 
@@ -58,6 +59,27 @@ def test_stream_of_files_gives_the_batch_states(spark, tmp_path):
     assert {r[2] for r in by_job(want)} != {1}
 
 
+def test_a_stream_keeps_its_jobs_by_the_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "BUCKETS", 8, raising=False)
+    start, runs, begin = datetime.datetime(2024, 1, 1), [], DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **b: runs.append(begin(self, *a, **b)) or runs[-1])
+    kinds = ["submit", "start", "done", "decline", "fail", "consume", "submit", "start", "lost", None]
+    made = [((None, 2**62 + 1, 2**62 + 2)[k % 200] if k % 200 < 3 else k % 200, start + datetime.timedelta(minutes=k), k if k % 3 else None, kinds[k * k % 7 + k % 3]) for k in range(3000)]
+    schema = "job long, ts timestamp, event_id long, command string"
+    for part in range(3):
+        spark.createDataFrame(made[part * 1000 : part * 1000 + 1000], schema).coalesce(1).write.parquet(str(tmp_path / f"{part}"))
+    commands = lambda df: df.withColumn("at", F.unix_micros("ts"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    got = {r["job"]: tuple(r) for r in jobs.job_stream(spark, commands(stream), "2 days").collect()}
+    newest = max(r[1] for r in made)
+    as_of = round((newest - datetime.datetime(1970, 1, 1)).total_seconds()) * 1_000_000 - 48 * H + 1
+    want = {r["job"]: tuple(r) for r in jobs.job_states(commands(spark.createDataFrame(made, schema)), as_of).collect()}
+    nobody = got.pop(None)
+    assert got == want
+    assert nobody[5] == sum(r[0] is None for r in made)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in runs[0].recentProgress) <= 9
+
+
 def test_repeats_count_once(spark, tmp_path):
     spark.createDataFrame([(1, 5), (1, 5), (2, 6)], "k long, v long").withColumn("ts", F.lit("2024-01-01").cast("timestamp")).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("k long, v long, ts timestamp").parquet(str(tmp_path / "in"))
