@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -16,6 +17,15 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+#: What Python takes for white space and Java does not, and what both do.
+_SEPARATORS, _SPACE = re.compile(r"[\x1c-\x1f]"), re.compile(r"[^\S\x1c-\x1f]+")
+
+
+def split_words(text: str) -> list[str]:
+    """The words of ``squeeze`` of a text."""
+    return [w for w in _SPACE.split(text) if w] if _SEPARATORS.search(text) else text.split()
+
+
 def bare(c: Column) -> Column:
     """Word characters only, of any script."""
     return F.regexp_replace(c, r"(?U)[^\w]", "")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from hashlib import md5
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafline.functions import compare, reasons, scalars
 from leafline.operators import consensus, markup, structure, tables
@@ -68,19 +72,45 @@ def q45_dehyphenate(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("doc_id", F.md5(scalars.dehyphenate(broken)).alias("digest"))
 
 
+_READERS = ("a", "b", "c")
+_LINE_READINGS = pa.struct([("reader", pa.string()), ("text", pa.string())])
+
+
+@F.arrow_udf(T.ArrayType(T.StructType().add("reader", T.StringType()).add("text", T.StringType())))
+def _noisy(docs: pa.Array, lines: pa.Array, texts: pa.Array) -> pa.Array:
+    made: list[str] = []
+    for doc, line, text in zip(docs.to_pylist(), lines.to_pylist(), texts.to_pylist(), strict=True):
+        words = scalars.split_words(text)
+        for reader in _READERS:
+            # a digest has a byte for each of sixteen words
+            head = "|".join(str(v) for v in (reader, doc, line) if v is not None)
+            marks = b"".join([md5(f"{head}|{k}".encode()).digest() for k in range(len(words) // 16 + 1)])
+            hits = [m.start() for m in _CHANGED.finditer(marks, 0, len(words))]
+            said = words
+            if hits:
+                said = words.copy()
+                for k in reversed(hits):
+                    if marks[k] < 4:
+                        del said[k]
+                    else:
+                        said[k] += "x"
+            made.append(" ".join(said))
+    n = len(_READERS)
+    ends = pa.array(range(0, len(made) + 1, n), pa.int32())
+    readers = pa.array(_READERS * (len(made) // n), pa.string())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([readers, pa.array(made, pa.string())], fields=list(_LINE_READINGS)))
+
+
+_CHANGED = re.compile(rb"[\x00-\x07]")
+
+
 def readings(spark: SparkSession, sf: str) -> DataFrame:
-    """Three readings of each line, with words changed or dropped by a digest of reader, document, line and place."""
-    lines = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    words = lines.select("doc_id", "line", F.split(scalars.squeeze(F.col("t")), " ").alias("words"))
-    # a digest has a byte for each of sixteen words; made by the generator, it is made once
-    blocks = F.sequence(F.lit(0), (F.size("words") / 16).cast("int"))
-    digests = lambda r: F.transform(blocks, lambda b: F.md5(F.concat_ws("|", r, "doc_id", "line", b.cast("string"))))
-    each = F.transform(F.array(F.lit("a"), F.lit("b"), F.lit("c")), lambda r: F.struct(r.alias("reader"), digests(r).alias("digests")))
-    read = words.withColumn("each", F.explode(each)).select("doc_id", "line", "words", "each.reader", "each.digests")
-    mark = lambda i: F.substring(F.get("digests", (i / 16).cast("int")), i % 16 * 2 + 1, 2)
-    marked = F.transform("words", lambda w, i: F.struct(w.alias("w"), mark(i).alias("m")))
-    noisy = F.transform(marked, lambda x: F.when(x["m"] < "04", "").when(x["m"] < "08", F.concat(x["w"], F.lit("x"))).otherwise(x["w"]))
-    return read.select("doc_id", "line", "reader", F.array_join(F.filter(noisy, lambda w: w != ""), " ").alias("text"))
+    """Three readings of each line, with words changed or dropped by a digest of reader, document, line and place.
+
+    Documents are dealt by their key first, as a file with one row group would be one task."""
+    docs = load(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return lines.select("doc_id", "line", F.inline(_noisy("doc_id", "line", "t")))
 
 
 _READINGS = """n AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, list_filter(regexp_split_to_array(trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')), ' '), lambda w: w <> '') AS words FROM documents),
@@ -94,7 +124,7 @@ b AS (SELECT *, list_filter(said, lambda x: 2 * len(list_filter(said, lambda y:
 SELECT doc_id, line, CASE WHEN NOT plain THEN 'not plain' WHEN n = 0 THEN 'nothing_read' WHEN n = 1 THEN 'single' WHEN len(list_filter(said, lambda y: y = best)) = n THEN 'unanimous' WHEN best IS NOT NULL THEN 'majority' ELSE 'open' END AS status,
  CASE WHEN plain THEN md5(CASE WHEN n = 0 THEN '' ELSE best END) END AS digest FROM b""")
 def q46a_settled_places(spark: SparkSession, sf: str) -> DataFrame:
-    places = consensus.settled(consensus.gathered(readings(spark, sf), ["doc_id", "line"], "reader", "text", keyed=True))
+    places = consensus.settled(consensus.gathered(readings(spark, sf), ["doc_id", "line"], "reader", "text"))
     plain = F.forall("readings", lambda r: r.rlike(compare.PLAIN) & r.rlike(r"[\p{L}\d]|^$"))
     return places.select("doc_id", "line", F.when(~plain, "not plain").otherwise(F.coalesce("status", F.lit("open"))).alias("status"), F.when(plain, F.md5("text")).alias("digest"))
 
@@ -202,7 +232,7 @@ def q111_editors_notes(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def q134_marks_of_a_vote(spark: SparkSession, sf: str) -> DataFrame:
     """Each reader marks one word of a line: the first bold, the second italic, the end of the third raised."""
-    places = consensus.settled(_places(spark, sf)).withColumn("vote", consensus.voted("readings"))
+    places = _places(spark, sf).withColumn("vote", consensus.voted("readings"))
     mark = lambda start, end, kind: F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(kind).alias("kind")))
     first = lambda r: F.length(F.substring_index(r, " ", 1))
     second = lambda r: F.length(F.substring_index(r, " ", 2))
@@ -214,9 +244,7 @@ def q134_marks_of_a_vote(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def q135_open_places(spark: SparkSession, sf: str) -> DataFrame:
-    # a filter on the status would be pushed down and work the status out again for each of its uses
-    todo = consensus.settled(_places(spark, sf)).select("doc_id", "line", F.when(F.col("status").isNull(), F.col("readings")).alias("open"))
-    cards = todo.select("doc_id", "line", F.inline(marked.open_cards("open")))
+    cards = _places(spark, sf).select("doc_id", "line", F.inline(marked.undecided_cards("readings")))
     return cards.select("doc_id", "line", "kind", "position", "start", "length", "level", F.posexplode("readings").alias("reader", "word"))
 
 
