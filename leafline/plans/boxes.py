@@ -211,7 +211,8 @@ l AS (SELECT page, line, CAST((o * 37 + n * 11) % 3000 AS DOUBLE) AS y, 200 + 0.
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber"))
+    # the SQL leaves lines of one order and number in any order; here the rest of a line decides
+    n = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_shipdate", "l_suppkey", "l_quantity"))
     q, y = F.col("l_quantity").cast("int"), (F.col("l_orderkey") * 37 + F.col("l_linenumber") * 11) % 3000
     off = F.when(q % 7 == 0, 40 + q).when(q % 19 == 0, -25).otherwise(q % 5)
     x = F.lit(Decimal("0.01")) * y.cast("decimal(4,0)") + (200 + off).cast("decimal(4,0)")  # exact, as in the SQL
